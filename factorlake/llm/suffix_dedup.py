@@ -60,7 +60,8 @@ def _runs(length: int):
                 s = spread(o[:-1], windows)
                 m = least[s]
                 new = np.ones(len(s), bool)
-                new[1:] = (m[1:] != m[:-1]) | (s[1:] != s[:-1] + 1)
+                # The leftmost minimizer stays from one window to the next unless the value changes or it was the first byte.
+                new[1:] = (m[1:] != m[:-1]) | (s[1:] != s[:-1] + 1) | (seeds[s[:-1]] == m[:-1])
                 first = np.flatnonzero(new)
                 lo, hi = s[first], s[np.append(first[1:], len(s)) - 1]
                 whole = mix(roll(lo, hi + length) + (hi - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
