@@ -15,7 +15,7 @@ Nothing is sampled: each window takes part in (3), (4) or (5).
 
 Edge cases: null text is empty; texts under `length` bytes keep all; rows with
 the same doc_id and text are documents of their own and repeat each other;
-extra columns pass through `remove` untouched.
+extra columns pass through `remove` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -86,12 +86,12 @@ def _segments(length: int):
                 raw = (texts[k].as_py() or "").encode()
                 for r in runs[k].as_py():
                     seg = raw[r["lo"] : r["hi"] + length]
-                    out.append((r["kg"], r["whole"], r["m"], seg))
+                    out.append((r["kg"], r["whole"], seg))
                     held += len(seg)
                 if held > 4 << 20 or k == batch.num_rows - 1:
                     if out:
-                        a, b, c, d = zip(*out)
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], names=["kg", "whole", "m", "seg"])
+                        a, b, c = zip(*out)
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], names=["kg", "whole", "seg"])
                     out, held = [], 0
 
     return kernel
@@ -152,31 +152,47 @@ def _windows(length: int):
     return kernel
 
 
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(__id, __th, spans) per document with a repeat: byte ranges [start, end), unmerged, of its repeated windows.
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(__id, __th, text, rest): rest has the other columns by place, so no name of theirs can clash."""
+    names = docs.columns
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    i, t = names.index(id_col), names.index(text_col)
+    rest = [F.col(f"c{k}") for k in range(len(names)) if k not in (i, t)]
+    text = F.coalesce(F.col(f"c{t}"), F.lit(""))
+    return numbered.select(F.col(f"c{i}").cast("long").alias("__id"), F.xxhash64(text).alias("__th"), text.alias("text"), *([F.struct(*rest).alias("rest")] if rest else []))
+
+
+def _same(left: str, right: str):
+    # A null doc_id is an id like any other.
+    return F.col(f"{left}.__id").eqNullSafe(F.col(f"{right}.__id")) & (F.col(f"{left}.__th") == F.col(f"{right}.__th"))
+
 
-    __th is xxhash64 of the text; rows that agree in both share their spans.
+def _repeated_ranges(keyed: DataFrame, length: int, hot: int) -> DataFrame:
+    """(__id, __th, spans): byte ranges [a, b), unmerged, of the repeated windows of each text that has one.
+
+    The texts are dealt out by (__id, __th) to cut the segments; `remove` deals
+    them out once more in the same way, so one exchange serves both.
     """
-    keyed = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("__th", F.xxhash64("text"))
-    runs = keyed.filter(F.octet_length("text") >= length).mapInArrow(_runs(length), "__id long, __th long, kg long, whole long, lo int, hi int")
+    runs = keyed.select(*_KEY, "text").filter(F.octet_length("text") >= length).mapInArrow(_runs(length), "__id long, __th long, kg long, whole long, lo int, hi int")
     shared = runs.groupBy("kg").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("kg")
     hits = session.cut(runs.join(shared, "kg"))
-    kinds = hits.groupBy("kg", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__id", "__th", "lo", "hi")).alias("r"))
-    kinds = session.cut(kinds)
+    kinds = session.cut(hits.groupBy("kg", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__id", "__th", "lo", "hi")).alias("r")))
     mixed = kinds.groupBy("kg").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     wanted = kinds.join(mixed, "kg").select("r.*", "kg", "whole", "m")
-    per_doc = wanted.groupBy(*_KEY).agg(F.collect_list(F.struct("kg", "whole", "m", "lo", "hi")).alias("runs"))
-    # Null ids compare equal here: a null doc_id is an id like any other.
-    cuts = keyed.alias("d").join(per_doc.alias("w").hint("shuffle_hash"), F.col("d.__id").eqNullSafe(F.col("w.__id")) & (F.col("d.__th") == F.col("w.__th"))).select("d.text", "w.runs")
-    segments = session.cut(cuts.mapInArrow(_segments(length), "kg long, whole long, m long, seg binary").dropDuplicates(["kg", "whole"]))
-    sorted_ = segments.filter(F.col("m") <= hot).select("kg", "whole", "seg").repartition("kg").sortWithinPartitions("kg").mapInArrow(_suffix_sort(length), "kg long, whole long, ranges array<struct<a:int,b:int>>")
-    windows = segments.filter(F.col("m") > hot).mapInArrow(_windows(length), "kg long, whole long, at int, one long, two long")
+
+    def segments(of: DataFrame) -> DataFrame:
+        """Repeated rows give a segment twice; that only confirms a run already known to repeat whole."""
+        per_doc = of.groupBy(*_KEY).agg(F.collect_list(F.struct("kg", "whole", "lo", "hi")).alias("runs"))
+        return keyed.alias("d").join(per_doc.alias("w").hint("shuffle_hash"), _same("d", "w")).select("d.*", "w.runs").mapInArrow(_segments(length), "kg long, whole long, seg binary")
+
+    sorted_ = segments(wanted.filter(F.col("m") <= hot)).repartition("kg").sortWithinPartitions("kg").mapInArrow(_suffix_sort(length), "kg long, whole long, ranges array<struct<a:int,b:int>>")
+    windows = segments(wanted.filter(F.col("m") > hot)).mapInArrow(_windows(length), "kg long, whole long, at int, one long, two long")
     again = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two")
     counted = windows.join(again, ["one", "two"]).groupBy("kg", "whole").agg(F.collect_list(F.struct(F.col("at").alias("a"), F.col("at").alias("b"))).alias("ranges"))
-    all_of_it = kinds.filter("n > 1").select("kg", "whole", F.array(F.struct(F.lit(0).alias("a"), (F.col("r.hi") - F.col("r.lo")).alias("b"))).alias("ranges"))
-    some = sorted_.unionByName(counted).filter(F.size("ranges") > 0).join(kinds.filter("n > 1").select("kg", "whole"), ["kg", "whole"], "left_anti")
-    solved = all_of_it.unionByName(some)
-    spans = hits.join(solved, ["kg", "whole"]).select(
+    twice = kinds.filter("n > 1")
+    all_of_it = twice.select("kg", "whole", F.array(F.struct(F.lit(0).alias("a"), (F.col("r.hi") - F.col("r.lo")).alias("b"))).alias("ranges"))
+    some = sorted_.unionByName(counted).filter(F.size("ranges") > 0).join(twice.select("kg", "whole"), ["kg", "whole"], "left_anti")
+    spans = hits.join(all_of_it.unionByName(some), ["kg", "whole"]).select(
         *_KEY, F.transform("ranges", lambda r: F.struct((F.col("lo") + r["a"]).alias("a"), (F.col("lo") + r["b"] + F.lit(length)).alias("b"))).alias("ranges")
     )
     return spans.groupBy(*_KEY).agg(F.flatten(F.collect_list("ranges")).alias("spans"))
@@ -196,35 +212,28 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds `kept` (bytes), `n_bytes` and `removed` (merged ranges)."""
     for batch in batches:
         kept, sizes, removed = [], [], []
-        for text, spans in zip(batch.column("__text"), batch.column("__spans")):
+        for text, spans in zip(batch.column("text"), batch.column("spans")):
             raw = (text.as_py() or "").encode()
             sizes.append(len(raw))
-            if not spans.is_valid:
-                kept.append(raw)
-                removed.append([])
-                continue
-            gone = _merge(spans.as_py())
+            gone = _merge(spans.as_py()) if spans.is_valid else []
             edges = [0, *(x for ab in gone for x in ab), len(raw)]
             kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
             removed.append([{"a": a, "b": b} for a, b in gone])
-        rest = [c for c in range(batch.num_columns) if batch.schema.names[c] not in ("__text", "__spans")]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in rest), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, _RANGES)], names=[*(batch.schema.names[c] for c in rest), "__kept", "__n_bytes", "__removed"]
-        )
+        rest = [n for n in batch.schema.names if n not in ("text", "spans")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, _RANGES)], names=[*rest, "kept", "n_bytes", "removed"])
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """Every row of docs with __kept (remaining bytes), __n_bytes and __removed (merged byte ranges)."""
-    spans = repeated_ranges(docs, id_col, text_col, length, hot)
+    """Every row of docs but its text, with __kept (remaining bytes), __n_bytes and __removed (merged byte ranges)."""
     names = docs.columns
-    rows = docs.toDF(*(f"c{i}" for i in range(len(names))))  # clashing names can't meet those made here
+    keyed = _keyed(docs, id_col, text_col)
+    spans = _repeated_ranges(keyed, length, hot)
+    rows = keyed.alias("d").join(spans.alias("s").hint("shuffle_hash"), _same("d", "s"), "left").select("d.*", "s.spans")
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema if f.name != "text"]
+    out = rows.mapInArrow(_cut_out, ", ".join([*fields, "kept binary", "n_bytes long", "removed array<struct<a:int,b:int>>"]))
     i, t = names.index(id_col), names.index(text_col)
-    rows = rows.withColumn("__text", F.coalesce(F.col(f"c{t}"), F.lit(""))).withColumn("__did", F.col(f"c{i}").cast("long")).withColumn("__dth", F.xxhash64("__text"))
-    rows = rows.join(spans.hint("shuffle_hash"), F.col("__did").eqNullSafe(F.col("__id")) & (F.col("__dth") == F.col("__th")), "left")
-    rows = rows.select(*(f"c{k}" for k in range(len(names)) if k != t), "__text", F.col("spans").alias("__spans"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("__text", "__spans")), "__kept binary", "__n_bytes long", "__removed array<struct<a:int,b:int>>"])
-    out = rows.mapInArrow(_cut_out, schema)
-    return out.select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names) if k != t), "__kept", "__n_bytes", "__removed")
+    columns = [(F.col("__id") if k == i else F.col(f"rest.c{k}")).alias(n) for k, n in enumerate(names) if k != t]
+    return out.select(*columns, F.col("kept").alias("__kept"), F.col("n_bytes").alias("__n_bytes"), F.col("removed").alias("__removed"))
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
