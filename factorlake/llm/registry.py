@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from factorlake.llm import suffix_dedup
+from factorlake.llm import licenses, mixing, suffix_dedup
 
 
 def queries() -> dict:
-    return {"op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup}
+    return {
+        "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
+        "op7_mixing": mixing.op7_mixing,
+        "op8_license_scans": licenses.op8_license_scans,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mixing": mixing.ORACLE}
