@@ -18,6 +18,7 @@ ties and repeated rows do not matter; other columns are kept as they are.
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from factorlake.llm import session
 from factorlake.llm.bytesblock import Rolling, blocks, mix, spread, utf8
 
 MODEL = "byte_bpe_50k.json"
-ENTRIES = 1_000_000
+ENTRIES = 800_000
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
 
@@ -52,6 +53,7 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.sizes = TokenBytes(path).size
         self.entries = entries
         self.clear()
 
@@ -63,8 +65,28 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, keys: list[int], pieces: list[str]) -> None:
-        for key, ids in zip(keys, self.encode(pieces)):
+    def encode_pieces(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+        """Ids of the byte ranges. Ranges that begin with white space and end in another ASCII byte are
+        encoded end to end, as the joins between them are cuts, and their ids dealt back by size."""
+        body = np.frombuffer(raw, np.uint8)
+        last = body[ends - 1]
+        plain = _GAP[body[starts]] & ~_GAP[last] & (last < 0x80)
+        out: list = [None] * len(starts)
+        run = np.flatnonzero(plain)
+        for i in range(0, len(run), 2000):
+            some = run[i : i + 2000]
+            ids = self.encode([b"".join(raw[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist())).decode()])[0]
+            so_far = np.cumsum(self.sizes[ids])
+            at = np.searchsorted(so_far, np.cumsum(ends[some] - starts[some])) + 1
+            for k, a, b in zip(some.tolist(), [0, *at[:-1].tolist()], at.tolist()):
+                out[k] = ids[a:b]
+        rest = np.flatnonzero(~plain)
+        for k, ids in zip(rest.tolist(), self.encode([raw[starts[k] : ends[k]].decode() for k in rest.tolist()]) if len(rest) else ()):
+            out[k] = ids
+        return out
+
+    def _add(self, keys: list[int], found: list[list[int]]) -> None:
+        for key, ids in zip(keys, found):
             n, at = len(self.known), self.used
             if n == len(self.start):
                 self.start, self.size = (np.append(x, np.zeros(n, np.int64)) for x in (self.start, self.size))
@@ -132,7 +154,7 @@ class ChunkEncoder:
             for i in range(0, len(new), 20_000):
                 some = new[i : i + 20_000]
                 s = at[some]
-                self._add([listed[k] for k in some], [raw[a:b].decode() for a, b in zip(starts[s].tolist(), ends[s].tolist())])
+                self._add([listed[k] for k in some], self.encode_pieces(raw, starts[s], ends[s]))
             entry[new] = np.arange(len(self.known) - len(new), len(self.known))
         entry = entry[back]
         sizes = self.size[entry]
@@ -141,9 +163,20 @@ class ChunkEncoder:
         return ids, np.diff(so_far[np.append(np.searchsorted(starts, offs[:-1]), len(starts))])
 
 
+@functools.cache
+def _encoder(path: str) -> ChunkEncoder:
+    """One for each worker process, which serves many tasks."""
+    return ChunkEncoder(path)
+
+
+@functools.cache
+def _token_bytes(path: str) -> TokenBytes:
+    return TokenBytes(path)
+
+
 def _encode_kernel(path: str, name: str, out: str):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             body, offs = utf8(batch.column(name))
             for i, j, b, o in blocks(body, offs):
@@ -157,7 +190,7 @@ def _encode_kernel(path: str, name: str, out: str):
 
 def _decode_kernel(path: str, name: str, out: str):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = TokenBytes(path)
+        table = _token_bytes(path)
         for batch in batches:
             step = 256
             for i in range(0, batch.num_rows, step):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from factorlake.llm import licenses, mixing, neardup, suffix_dedup
+from factorlake.llm import bpe, licenses, media, mixing, neardup, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
+        "op2_media_columns": media.op2_media_columns,
+        "op3_bpe": bpe.op3_bpe,
         "op7_mixing": mixing.op7_mixing,
         "op9_minhash_near_dedup": neardup.op9_minhash_near_dedup,
         "op8_license_scans": licenses.op8_license_scans,
