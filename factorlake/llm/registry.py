@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factorlake.llm import bpe, licenses, media, mixing, neardup, suffix_dedup
+from factorlake.llm import bpe, langid, licenses, media, mixing, neardup, quality, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,9 @@ def queries() -> dict:
         "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
         "op2_media_columns": media.op2_media_columns,
         "op3_bpe": bpe.op3_bpe,
+        "op5_toxicity": toxicity.op5_toxicity,
+        "op6_language_id": langid.op6_language_id,
+        "op10_quality": quality.op10_quality,
         "op7_mixing": mixing.op7_mixing,
         "op9_minhash_near_dedup": neardup.op9_minhash_near_dedup,
         "op8_license_scans": licenses.op8_license_scans,
