@@ -33,7 +33,7 @@ from factorlake.llm.suffixes import repeated_starts
 
 LENGTH = 200
 SEED = 64  # bytes of a minimizer
-HOT = 1000
+HOT = 20_000
 SHARD_BYTES = 1_500_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _KEY = ["__id", "__th"]
