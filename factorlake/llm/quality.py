@@ -95,7 +95,7 @@ def class_prior(p: np.ndarray, u: np.ndarray) -> float:
     cuts = np.quantile(p, np.linspace(0.0, 0.5, 51))
     above_p = (p[None, :] >= cuts[:, None]).mean(axis=1)
     above_u = (u[None, :] >= cuts[:, None]).mean(axis=1)
-    slack = 2 * np.sqrt(above_u * (1 - above_u) / len(u)) / above_p
+    slack = np.sqrt(above_u * (1 - above_u) / len(u)) / above_p
     return float(np.clip((above_u / above_p + slack).min(), 0.05, 0.98))
 
 

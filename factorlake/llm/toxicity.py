@@ -71,7 +71,11 @@ def fit(sample: DataFrame, sizes: dict[int, int]) -> tuple[np.ndarray, float]:
     n = np.array([(label == c).sum() for c in (0, 1)], float)
     df = [np.bincount(np.concatenate([s for s, k in zip(sets, label) if k == c]), minlength=1 << BITS).astype(float) for c in (0, 1)]
     ratio = np.log((df[1] + 0.5) / (n[1] + 1)) - np.log((df[0] + 0.5) / (n[0] + 1))
-    clear = np.abs(ratio) > CLEAR * np.sqrt(1 / (df[1] + 0.5) + 1 / (df[0] + 0.5) - 1 / (n[1] + 1) - 1 / (n[0] + 1))
+    # Likelihood-ratio statistic of the two counts against the classes' sizes; sound for zero counts.
+    expect = [(df[0] + df[1]) * n[c] / n.sum() for c in (0, 1)]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * sum(np.where(df[c] > 0, df[c] * np.log(df[c] / expect[c]), 0.0) for c in (0, 1))
+    clear = g > CLEAR**2
     place = np.full(1 << BITS, -1)
     place[clear] = np.arange(clear.sum())
     own = [p[p >= 0] for p in (place[s] for s in sets)]
@@ -85,7 +89,7 @@ def fit(sample: DataFrame, sizes: dict[int, int]) -> tuple[np.ndarray, float]:
     return weights, bias
 
 
-def _logistic(row, col, value, y, weight, width, penalty: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+def _logistic(row, col, value, y, weight, width, penalty: float = 3e-5, steps: int = 400) -> tuple[np.ndarray, float]:
     """L2-penalised logistic regression of sparse rows by Adam steps on all rows, in a fixed order."""
     beta, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     p = (weight * y).sum()
