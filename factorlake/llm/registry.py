@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factorlake.llm import bpe, langid, licenses, media, mixing, neardup, quality, suffix_dedup, toxicity
+from factorlake.llm import bpe, langid, licenses, media, mixing, neardup, quality, suffix_dedup, topk, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
         "op2_media_columns": media.op2_media_columns,
         "op3_bpe": bpe.op3_bpe,
+        "op4_exact_top_k": topk.op4_exact_top_k,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_language_id": langid.op6_language_id,
         "op10_quality": quality.op10_quality,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.ORACLE}
+    return {"op4_exact_top_k": topk.ORACLE, "op7_mixing": mixing.ORACLE}
