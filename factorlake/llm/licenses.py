@@ -171,7 +171,8 @@ def detections(texts: DataFrame, table: list[tuple[str, str, int, str, float]])
 def scan(docs: DataFrame, keep: list[str], text_col: str = "text", table: list[tuple[str, str, int, str, float]] | None = None) -> DataFrame:
     """Columns `keep` as struct `row`, with n_words, n_base, first_word, last_word, base_labels, labels (arrays) and score."""
     table = rules() if table is None else table
-    norm = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), normalised(F.col(text_col)).alias("norm"))
+    # As a generated column the form is made once a row; a filter on a projected one would make it anew for each keyword.
+    norm = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.explode(F.array(normalised(F.col(text_col)))).alias("norm"))
     may = F.lit(False)
     for k in sorted({r[0] for r in table}):
         may = may | F.contains("norm", F.lit(k))
