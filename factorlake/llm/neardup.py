@@ -5,11 +5,12 @@ of 72 registers holds the exponent of a truncated minimum, floor(1 - log_b h)
 for the least exponential hash h, so sketches merge by maximum and registers
 of similar sets agree. Documents with equal sets become one node. Bands of
 three registers bring nodes together; in a bucket every node is paired with
-the least one, the registers' likelihood drops pairs that can hardly reach the
-threshold, and the rest are confirmed on full sets. Where a bucket then still
-holds nodes of several components, the nodes outside its largest are paired
-with all nodes of other components, likewise: after that any two nodes that
-share a bucket are either connected or tested. Nothing is capped.
+its most central one, the registers' likelihood drops pairs that can hardly
+reach the threshold, and the rest are confirmed on full sets. Where a bucket
+then still holds nodes of several components, the nodes outside its largest are
+paired with all nodes of other components that an exact bound on what they can
+share leaves in, likewise: after that any two nodes that share a bucket are
+connected, tested or ruled out. Nothing is capped.
 
 Components come from large-star / small-star rounds over the confirmed links.
 
@@ -143,12 +144,12 @@ def may_reach(left: np.ndarray, right: np.ndarray, n1: np.ndarray, n2: np.ndarra
 
 def _likely(threshold: float):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("r1", "r2"))
-            n1, n2 = (batch.column(c).to_numpy().astype(float) for c in ("n1", "n2"))
-            yield batch.filter(pa.array(may_reach(left, right, n1, n2, threshold))).select(["x", "y", "d1", "h1", "d2", "h2"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                batch = whole.slice(i, 1000)
+                left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("r1", "r2"))
+                n1, n2 = (batch.column(c).to_numpy().astype(float) for c in ("n1", "n2"))
+                yield batch.filter(pa.array(may_reach(left, right, n1, n2, threshold))).select(["x", "y", "d1", "h1", "d2", "h2"])
 
     return kernel
 
@@ -202,26 +203,55 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def _own_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        body, offs = utf8(batch.column("text"))
+        for i, j, b, o in blocks(body, offs):
+            hashes, sizes = shingles(b, o)
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(np.repeat(np.arange(i, j), sizes))), pa.array(sql_long(hashes))], names=["node", "shingle"])
+
+
+def _across(shared: DataFrame, comp: DataFrame, tested: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Untested pairs (x, y) of one bucket and two components that may reach the threshold.
+
+    Of each bucket the nodes outside its largest component meet those of other
+    components. Two sets share at most the shingles of either that any other
+    such node has, which rules out, exactly, what a heavily edited copy can't reach.
+    """
+    member = session.cut(shared.join(comp, "node", "left").select("band", "node", "n", F.coalesce("comp", "node").alias("comp")))
+    parts = member.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("low")).groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max_by("comp", F.struct("m", "comp")).alias("main"), F.min("low").alias("low"))
+    mixed = session.cut(member.join(parts.filter("parts > 1").select("band", "main", "low"), "band"))
+    used = mixed.select("node").distinct().join(nodes.select("node", F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("th")), "node")
+    own = used.join(texts.withColumnRenamed("doc_id", "e"), "th").filter("d <=> e").select("node", "text").mapInArrow(_own_shingles, "node long, shingle long")
+    # A repeated row repeats its node's shingles, so counts are of distinct nodes: least and greatest are one.
+    alone = own.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    mixed = mixed.join(alone, "node", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0)))
+    ratio = (100 + threshold) / threshold
+    # n + n' - shared <= shared * 100 / threshold bounds the other's size.
+    outside = mixed.filter((F.col("comp") != F.col("main")) & (F.greatest("low", F.ceil(F.col("n") * (threshold / 100) - 1e-9)) <= F.col("c") * ratio - F.col("n") + 1e-6))
+    outside = outside.select("band", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("c").alias("sx"))
+    other = mixed.select("band", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("c").alias("sy"))
+    most = F.least("sx", "sy")
+    able = (F.col("cx") != F.col("cy")) & (100 * most >= threshold * (F.col("nx") + F.col("ny") - most))
+    found = outside.join(other, (outside["band"] == other["band"]) & able).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    return found.join(tested, ["x", "y"], "left_anti")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, th, n, comp, component_id) for each row of docs; th is xxhash64 of its text, comp null without words."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     rows = session.cut(texts.mapInArrow(_sketches, "doc_id long, th long, n long, node long, regs binary"))
     nodes = session.cut(rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("regs").alias("regs")))
     band = F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("regs", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS))))
-    bands = nodes.select(band.alias("band"), "node")
-    full = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least")).filter("m > 1").select("band", "least")
+    bands = nodes.select(band.alias("band"), "node", "n")
+    full = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     shared = session.cut(bands.join(full, "band"))
-    pairs = shared.filter("node <> least").select(F.col("least").alias("x"), F.col("node").alias("y")).distinct()
+    # A bucket's pivot is its most central node, that with the most neighbours over all bands.
+    central = shared.groupBy("node").agg(F.sum("m").alias("c"))
+    pivots = shared.join(central, "node").groupBy("band").agg(F.max_by("node", F.struct("c", "node")).alias("pivot"))
+    pairs = session.cut(shared.join(pivots, "band").filter("node <> pivot").select(F.least("pivot", "node").alias("x"), F.greatest("pivot", "node").alias("y")).distinct())
     links = session.cut(_links(pairs, nodes, texts, threshold))
-    comp = components(links)
-    member = session.cut(shared.join(comp, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp")))
-    parts = member.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max_by("comp", F.struct("m", "comp")).alias("main")).filter("parts > 1")
-    mixed = member.join(parts.select("band", "main"), "band")
-    # The nodes outside a bucket's largest part, against all of its other parts.
-    outside = mixed.filter("comp <> main").select("band", F.col("node").alias("x"), F.col("comp").alias("cx"))
-    across = outside.join(mixed.select("band", F.col("node").alias("y"), F.col("comp").alias("cy")), "band").filter("cx <> cy")
-    across = across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().join(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
-    more = session.cut(_links(across, nodes, texts, threshold))
+    more = session.cut(_links(_across(shared, components(links), pairs, nodes, texts, threshold), nodes, texts, threshold))
     comp = session.cut(components(links.unionByName(more)))
     of_node = nodes.select("node", "least").join(comp, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
     ids = of_node.groupBy("comp").agg(F.min("least").alias("component_id"))
