@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from factorlake.plans import factor_queries
+from factorlake.plans.factor_queries import flagship
+
+_MODULES = (factor_queries,)
+__all__ = ["flagship", "oracle_sql", "queries"]
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in _MODULES for k, f in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for m in _MODULES for k, q in m.oracle_sql().items()}
