@@ -38,6 +38,8 @@ THRESHOLD = 75  # per cent
 BANDS, ROWS = 24, 3
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65534
+SMALL = 32  # nodes of a bucket whose pairs are few without a bound
+RARE = 4  # nodes that have a rare shingle
 SLACK = 12.0  # log-likelihood below the maximum at which a pair is given up: about five standard deviations
 
 _rng = np.random.Generator(np.random.PCG64(99))
@@ -215,26 +217,36 @@ def _across(shared: DataFrame, comp: DataFrame, tested: DataFrame, nodes: DataFr
     """Untested pairs (x, y) of one bucket and two components that may reach the threshold.
 
     Of each bucket the nodes outside its largest component meet those of other
-    components. Two sets share at most the shingles of either that any other
-    such node has, which rules out, exactly, what a heavily edited copy can't reach.
+    components: all of them in buckets up to SMALL. In larger ones shingles are
+    told apart by how many such nodes have them. Two sets without a common rare
+    shingle (of at most RARE nodes) share at most the other shingles of either,
+    which rules out, exactly, what a heavily edited copy can't reach; pairs
+    with a common rare shingle are found by it.
     """
-    member = session.cut(shared.join(comp, "node", "left").select("band", "node", "n", F.coalesce("comp", "node").alias("comp")))
-    parts = member.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("low")).groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max_by("comp", F.struct("m", "comp")).alias("main"), F.min("low").alias("low"))
-    mixed = session.cut(member.join(parts.filter("parts > 1").select("band", "main", "low"), "band"))
-    used = mixed.select("node").distinct().join(nodes.select("node", F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("th")), "node")
-    own = used.join(texts.withColumnRenamed("doc_id", "e"), "th").filter("d <=> e").select("node", "text").mapInArrow(_own_shingles, "node long, shingle long")
-    # A repeated row repeats its node's shingles, so counts are of distinct nodes: least and greatest are one.
-    alone = own.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    mixed = mixed.join(alone, "node", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0)))
-    ratio = (100 + threshold) / threshold
-    # n + n' - shared <= shared * 100 / threshold bounds the other's size.
-    outside = mixed.filter((F.col("comp") != F.col("main")) & (F.greatest("low", F.ceil(F.col("n") * (threshold / 100) - 1e-9)) <= F.col("c") * ratio - F.col("n") + 1e-6))
-    outside = outside.select("band", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("c").alias("sx"))
-    other = mixed.select("band", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("c").alias("sy"))
+    member = shared.join(comp, "node", "left").select("band", "m", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    member = session.cut(member)
+    sizes = member.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    mixed = session.cut(member.join(sizes.filter("parts > 1").select("band", "main"), "band"))
+    large = mixed.filter(F.col("m") > SMALL)
+    used = large.select("node", "comp", "n").distinct()
+    rep = nodes.select("node", F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("th"))
+    own = used.select("node").join(rep, "node").join(texts.withColumnRenamed("doc_id", "e"), "th").filter("d <=> e").select("node", "text").dropDuplicates(["node"])
+    own = session.cut(own.mapInArrow(_own_shingles, "node long, shingle long"))
+    seldom = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= RARE)
+    rare = session.cut(own.join(seldom, "shingle"))
+    common = used.join(rare.groupBy("node").agg(F.count(F.lit(1)).alias("r")), "node", "left").select("node", "comp", (F.col("n") - F.coalesce("r", F.lit(0))).alias("c"))
+    large = large.join(common.select("node", "c"), "node")
+    # A small bucket bounds by set sizes alone.
+    rows = mixed.filter(F.col("m") <= SMALL).withColumn("c", F.col("n")).unionByName(large)
+    outside = rows.filter(F.col("comp") != F.col("main")).select("band", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("c").alias("sx"))
+    other = rows.select(F.col("band").alias("bucket"), F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("c").alias("sy"))
     most = F.least("sx", "sy")
     able = (F.col("cx") != F.col("cy")) & (100 * most >= threshold * (F.col("nx") + F.col("ny") - most))
-    found = outside.join(other, (outside["band"] == other["band"]) & able).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    return found.join(tested, ["x", "y"], "left_anti")
+    found = outside.join(other, (F.col("band") == F.col("bucket")) & able).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    of = rare.filter("df > 1").join(common.select("node", "comp"), "node")
+    left, right = (of.select("shingle", F.col("node").alias(k), F.col("comp").alias(f"c{k}")) for k in "xy")
+    by_rare = left.join(right, "shingle").filter("x < y and cx <> cy").select("x", "y")
+    return found.unionByName(by_rare).distinct().join(tested, ["x", "y"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:

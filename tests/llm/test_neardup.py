@@ -52,6 +52,22 @@ def test_components_against_brute_force(spark):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
+def test_large_groups_of_unequal_copies(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    rnd = random.Random(12)
+    base = [f"w{rnd.randint(0, 90)}" for _ in range(120)]
+    rows = []
+    for k in range(90):
+        w = list(base)
+        for _ in range(rnd.randint(0, 12)):
+            w[rnd.randrange(len(w))] = f"e{rnd.randint(0, 400)}"
+        rows.append((k, " ".join(w)))
+    rows += [(500 + k, rows[40][1] + " tail" * k) for k in range(4)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n", "component_id").collect()
+    assert len({c for *_, c in got}) > 3
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
 def test_chain_of_stars(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 7), (200, 201)], "x long, y long")
     got = {r.node: r.comp for r in neardup.components(links).collect()}
