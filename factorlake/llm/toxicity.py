@@ -47,44 +47,71 @@ def _grams(body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (Rolling(text)(at, at + N) >> np.uint64(64 - BITS)).astype(np.int64), count
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, label, n): how many texts of a class have an n-gram of the bucket."""
+    sums = np.zeros((2, 1 << BITS), np.int32)
     for batch in batches:
+        label = batch.column("label").to_numpy()
         body, offs = utf8(batch.column("text"))
         for i, j, b, o in blocks(body, offs):
             grams, count = _grams(b, o)
-            ends = np.cumsum(count)
-            sets = [np.unique(grams[e - n : e]).astype(np.int32) for e, n in zip(ends.tolist(), count.tolist())]
-            part = batch.slice(i, j - i)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "label", "grams"])
+            pair = np.unique(np.repeat(np.arange(j - i), count) << BITS | grams)
+            for c in (0, 1):
+                sums[c] += np.bincount(pair[label[i:j][pair >> BITS] == c] & ((1 << BITS) - 1), minlength=1 << BITS).astype(np.int32)
+    for c in (0, 1):
+        at = np.flatnonzero(sums[c])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), c, np.int32)), pa.array(sums[c][at].astype(np.int64))], names=["bucket", "label", "n"])
+
+
+def _sets(clear: np.ndarray):
+    """Kernel: the clear buckets of each text."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body, offs = utf8(batch.column("text"))
+            for i, j, b, o in blocks(body, offs):
+                grams, count = _grams(b, o)
+                known = np.flatnonzero(clear[grams])
+                doc = np.searchsorted(np.cumsum(count), known, side="right")
+                pair = np.unique(doc << BITS | grams[known])
+                ends = np.searchsorted(pair >> BITS, np.arange(j - i + 1))
+                low = (pair & ((1 << BITS) - 1)).astype(np.int32)
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([low[x:y].tobytes() for x, y in zip(ends, ends[1:])], pa.binary())], names=["doc_id", "label", "grams"])
+
+    return kernel
 
 
 def fit(sample: DataFrame, sizes: dict[int, int]) -> tuple[np.ndarray, float]:
-    """(weights by bucket, intercept)."""
+    """(weights by bucket, intercept). The driver gets the counts of frequent buckets and each sample text's clear ones."""
     weights = np.zeros(1 << BITS, np.float32)
     if not (sizes.get(0) and sizes.get(1)):
         return weights, -40.0
-    rows = sorted(sample.mapInArrow(_sets, "doc_id long, label int, grams binary").collect(), key=lambda r: (r["doc_id"], r["label"], r["grams"]))
-    label = np.array([r["label"] for r in rows])
-    if len(set(label.tolist())) < 2:
+    sample = session.cut(sample)
+    classes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    if len(classes) < 2:
         return weights, -40.0
-    sets = [np.frombuffer(r["grams"], np.int32) for r in rows]
-    n = np.array([(label == c).sum() for c in (0, 1)], float)
-    df = [np.bincount(np.concatenate([s for s, k in zip(sets, label) if k == c]), minlength=1 << BITS).astype(float) for c in (0, 1)]
+    n = np.array([classes[0], classes[1]], float)
+    counted = sample.mapInArrow(_frequencies, "bucket int, label int, n long").groupBy("bucket").agg(*(F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)))
+    counted = counted.filter("n0 + n1 >= 4").toArrow()
+    df = [np.zeros(1 << BITS) for _ in (0, 1)]
+    for c in (0, 1):
+        df[c][counted.column("bucket").to_numpy()] = counted.column(f"n{c}").to_numpy()
     ratio = np.log((df[1] + 0.5) / (n[1] + 1)) - np.log((df[0] + 0.5) / (n[0] + 1))
     # Likelihood-ratio statistic of the two counts against the classes' sizes; sound for zero counts.
     expect = [(df[0] + df[1]) * n[c] / n.sum() for c in (0, 1)]
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * sum(np.where(df[c] > 0, df[c] * np.log(df[c] / expect[c]), 0.0) for c in (0, 1))
     clear = g > CLEAR**2
-    place = np.full(1 << BITS, -1)
-    place[clear] = np.arange(clear.sum())
-    own = [p[p >= 0] for p in (place[s] for s in sets)]
-    row, col = np.repeat(np.arange(len(own)), [len(o) for o in own]), np.concatenate(own) if own else np.zeros(0, int)
+    rows = sample.mapInArrow(_sets(clear), "doc_id long, label int, grams binary").toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["doc_id"], r["label"], r["grams"]))
+    label = np.array([r["label"] for r in rows])
+    place = np.cumsum(clear) - 1
+    own = [place[np.frombuffer(r["grams"], np.int32)] for r in rows]
+    row, col = np.repeat(np.arange(len(own)), [len(o) for o in own]), np.concatenate(own)
     scale = ratio[clear]
-    value = scale[col]
     share = np.array([sizes[0], sizes[1]], float) / sum(sizes.values())
-    weight = (share / n)[label]
-    beta, bias = _logistic(row, col, value, label.astype(float), weight, len(scale))
+    beta, bias = _logistic(row, col, scale[col], label.astype(float), (share / n)[label], len(scale))
     weights[clear] = beta * scale
     return weights, bias
 
