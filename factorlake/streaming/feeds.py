@@ -143,7 +143,8 @@ def dedup(events: DataFrame, *keys: str) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet file or folder as a stream."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    # As a pattern, since a stream's plain path has to be a folder.
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run(stream: DataFrame, mode: str = "append", finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
