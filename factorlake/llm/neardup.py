@@ -39,7 +39,7 @@ BANDS, ROWS = 24, 3
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65534
 SMALL = 32  # nodes of a bucket whose pairs are few without a bound
-RARE = 4  # nodes that have a rare shingle
+RARE = 8  # nodes that have a rare shingle
 SLACK = 12.0  # log-likelihood below the maximum at which a pair is given up: about five standard deviations
 
 _rng = np.random.Generator(np.random.PCG64(99))
@@ -238,11 +238,14 @@ def _across(shared: DataFrame, comp: DataFrame, tested: DataFrame, nodes: DataFr
     large = large.join(common.select("node", "c"), "node")
     # A small bucket bounds by set sizes alone.
     rows = mixed.filter(F.col("m") <= SMALL).withColumn("c", F.col("n")).unionByName(large)
-    outside = rows.filter(F.col("comp") != F.col("main")).select("band", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("c").alias("sx"))
-    other = rows.select(F.col("band").alias("bucket"), F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("c").alias("sy"))
+    # A pair that shares many buckets is made in the least of them; a node has at most BANDS.
+    rows = rows.join(rows.groupBy("node").agg(F.collect_set("band").alias("of")), "node")
+    outside = rows.filter(F.col("comp") != F.col("main")).select("band", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("c").alias("sx"), F.col("of").alias("ox"))
+    other = rows.select(F.col("band").alias("bucket"), F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("c").alias("sy"), F.col("of").alias("oy"))
     most = F.least("sx", "sy")
     able = (F.col("cx") != F.col("cy")) & (100 * most >= threshold * (F.col("nx") + F.col("ny") - most))
-    found = outside.join(other, (F.col("band") == F.col("bucket")) & able).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    once = F.array_min(F.array_intersect("ox", "oy")) == F.col("band")
+    found = outside.join(other, (F.col("band") == F.col("bucket")) & able & once).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     of = rare.filter("df > 1").join(common.select("node", "comp"), "node")
     left, right = (of.select("shingle", F.col("node").alias(k), F.col("comp").alias(f"c{k}")) for k in "xy")
     by_rare = left.join(right, "shingle").filter("x < y and cx <> cy").select("x", "y")
