@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from factorlake.plans import factor_queries, stream_queries, technical_queries
+from factorlake.plans import context_queries, factor_queries, stream_queries, technical_queries
 from factorlake.plans.factor_queries import flagship
 
-_MODULES = (factor_queries, technical_queries, stream_queries)
+_MODULES = (factor_queries, technical_queries, context_queries, stream_queries)
 __all__ = ["flagship", "oracle_sql", "queries"]
 
 
