@@ -259,4 +259,5 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: the tokens of each document, as digests and counts."""
+    session.bounded_batches(spark)
     return digests(docs)

@@ -284,6 +284,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group, that of the least doc_id; those without words all stay."""
+    session.bounded_batches(spark)
     found = near_duplicates(docs).filter("doc_id <=> component_id")
     one = found.filter("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.*").withColumn("one", F.lit(True))
     rest = found.filter("comp is null").select("doc_id", "th").distinct().withColumn("one", F.lit(False))

@@ -250,6 +250,7 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without what repeats; a character cut in two goes with its removed part."""
+    session.bounded_batches(spark)
     out = remove(docs)
     text = F.when(F.size("__removed") == 0, F.decode("__kept", "UTF-8")).otherwise(_lenient("__kept"))
     out = out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))

@@ -130,7 +130,7 @@ def _logistic(row, col, value, y, weight, width, penalty: float = 3e-5, steps: i
     return beta[:-1], float(beta[-1])
 
 
-def _scorer(shared, bias: float):
+def _scorer(shared, bias: float, with_text: bool):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shared.value, np.float32)
         for batch in batches:
@@ -143,19 +143,20 @@ def _scorer(shared, bias: float):
                 pair = np.unique(doc << BITS | grams[known])
                 scores[i:j] = np.bincount(pair >> BITS, table[pair & ((1 << BITS) - 1)], j - i)
             scores = 1 / (1 + np.exp(-np.clip(scores + bias, -40, 40)))
-            rest = [n for n in batch.schema.names if n != "text"]
+            rest = [n for n in batch.schema.names if with_text or n != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(scores)], names=[*rest, "score"])
 
     return kernel
 
 
-def score(docs: DataFrame, labels: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Struct `row` of columns `keep` of each row of docs, with its score."""
-    sample, sizes = labelled(docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs, labels, "toxic", *FOLD, PER_CLASS)
+def score(docs: DataFrame, labels: DataFrame, keep: list[str], text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """Struct `row` of columns `keep` of each row of docs, its text if asked for, and its score."""
+    sample, sizes = labelled(docs.select("doc_id", F.col(text_col).alias("text")), labels, "toxic", *FOLD, PER_CLASS)
     weights, bias = fit(sample, sizes)
     shared = docs.sparkSession.sparkContext.broadcast(weights.tobytes())
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scorer(shared, bias), f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(_scorer(shared, bias, with_text), f"row {kind}, {'text string, ' if with_text else ''}score double")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,4 +166,6 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose score is under the cut."""
-    return score(docs, session.table(spark, sf_dir, "labels"), docs.columns).filter(F.col("score") < CUT).select("row.*")
+    rest = [c for c in docs.columns if c != "text"]
+    out = score(docs, session.table(spark, sf_dir, "labels"), rest, with_text=True).filter(F.col("score") < CUT)
+    return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
