@@ -1,8 +1,7 @@
 """Rank portfolios, costs and metrics, with any further keys (factor, fold) as partition keys.
 
 A sweep over factors is one job: weights, turnover, costs and the equity curve
-carry the keys along. Turnover lives on the dense grid of a key's timestamps
-and symbols, as a symbol that leaves the portfolio trades too.
+carry the keys along. A symbol that leaves the portfolio trades too.
 """
 
 from __future__ import annotations
@@ -62,13 +61,20 @@ def weights(rows: DataFrame, config: BacktestConfig, keys: tuple[str, ...] = ())
 
 
 def turnover(w: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, timestamp, symbol, turnover) over the dense grid: |change of weight|, all of it at the first timestamp."""
+    """(keys, timestamp, symbol, turnover): |change of weight| of each holding, and of each exit at the time after its last holding.
+
+    A symbol that is not held weighs 0, so this is the dense grid of times and
+    symbols without its zeros: rows grow with holdings, not with the grid.
+    """
+    of = Window.partitionBy(*keys).orderBy("timestamp")
     times = w.select(*keys, "timestamp").distinct()
-    symbols = w.select(*keys, "symbol").distinct()
-    grid = times.join(symbols, list(keys)) if keys else times.crossJoin(symbols)
-    dense = grid.join(w.select(*keys, "timestamp", "symbol", "weight"), [*keys, "timestamp", "symbol"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    before = F.lag("weight").over(Window.partitionBy(*keys, "symbol").orderBy("timestamp"))
-    return dense.select(*keys, "timestamp", "symbol", F.coalesce(F.abs(F.col("weight") - before), F.abs("weight")).alias("turnover"))
+    times = times.select(*keys, "timestamp", F.row_number().over(of).alias("i"), F.lead("timestamp").over(of).alias("then"))
+    own = Window.partitionBy(*keys, "symbol").orderBy("timestamp")
+    held = w.select(*keys, "timestamp", "symbol", "weight").join(times, [*keys, "timestamp"])
+    before = F.when(F.lag("i").over(own) == F.col("i") - 1, F.lag("weight").over(own)).otherwise(0.0)
+    leaves = F.col("then").isNotNull() & F.coalesce(F.lead("i").over(own) > F.col("i") + 1, F.lit(True))
+    moves = held.select(*keys, "symbol", F.array(F.struct("timestamp", F.abs(F.col("weight") - before).alias("turnover")), F.when(leaves, F.struct(F.col("then").alias("timestamp"), F.abs("weight").alias("turnover")))).alias("m"))
+    return moves.select(*keys, "symbol", F.explode(F.array_compact("m")).alias("x")).select(*keys, "x.timestamp", "symbol", "x.turnover")
 
 
 def execution_costs(moved: DataFrame, config: BacktestConfig, spreads: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -104,7 +110,7 @@ def funding_costs(w: DataFrame, rates: DataFrame, config: BacktestConfig, keys:
 
 def returns(rows: DataFrame, config: BacktestConfig, keys: tuple[str, ...] = (), spreads: DataFrame | None = None, rates: DataFrame | None = None) -> DataFrame:
     """(keys, timestamp, gross_return, turnover, execution_cost, funding_cost, total_cost, net_return, equity_curve)."""
-    w = weights(rows, config, keys)
+    w = weights(rows, config, keys).persist()
     on = [*keys, "timestamp"]
     gross = w.groupBy(*on).agg(F.coalesce(F.sum(F.col("weight") * F.col("target")), F.lit(0.0)).alias("gross_return"))
     out = gross.join(execution_costs(turnover(w, keys), config, spreads, keys), on, "full_outer")

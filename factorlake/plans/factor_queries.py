@@ -82,7 +82,7 @@ def _funding(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sweep(spark: SparkSession, d: str) -> DataFrame:
-    p = _line_panel(spark, d)
+    p = _line_panel(spark, d).persist()
     out = backtest.sweep(p, NAMES, evaluation.evaluate(p, NAMES, (1,)), CONFIG)
     return rounded(out.drop("error"), 5, BIG)
 
@@ -125,7 +125,7 @@ def queries() -> dict:
     f["select_top_factor"] = lambda s, d: rounded(evaluation.select_top(_eval(s, d), 1))
     f["bt_weights_long_short"] = lambda s, d: rounded(backtest.weights(_one(s, d), CONFIG))
     f["bt_weights_long_only"] = lambda s, d: rounded(backtest.weights(_one(s, d), LONG_ONLY))
-    f["bt_turnover"] = lambda s, d: rounded(backtest.turnover(backtest.weights(_one(s, d), CONFIG)))
+    f["bt_turnover"] = lambda s, d: rounded(backtest.turnover(backtest.weights(_one(s, d), CONFIG)).filter("turnover > 0"))
     f["bt_exec_cost"] = lambda s, d: rounded(backtest.execution_costs(backtest.turnover(backtest.weights(_one(s, d), COSTLY)), COSTLY, spreads(s, d)), 8)
     f["bt_funding_asof"] = _funding
     f["bt_returns"] = lambda s, d: rounded(backtest.returns(_one(s, d), CONFIG), 6, BIG)
@@ -199,7 +199,7 @@ def oracle_sql() -> dict[str, str]:
     bt = f"{_B}, {S.backtest('rows_')}"
     o["bt_weights_long_short"] = f"{bt} SELECT {S.rnd('timestamp symbol ~weight ~target')} FROM w"
     o["bt_weights_long_only"] = f"{_B}, {S.backtest('rows_', mode='long_only', quantile=0.4)} SELECT {S.rnd('timestamp symbol ~weight ~target')} FROM w"
-    o["bt_turnover"] = f"{bt} SELECT {S.rnd('timestamp symbol ~turnover')} FROM moved"
+    o["bt_turnover"] = f"{bt} SELECT {S.rnd('timestamp symbol ~turnover')} FROM moved WHERE moved.turnover > 0"
     costly = f"{_B}, {RATES}, {SPREADS}, {S.backtest('rows_', ann=8760, spread=0.5, funding=1.0)}"
     o["bt_exec_cost"] = f"{costly} SELECT {S.rnd('timestamp ~turnover ~execution_cost', 8)} FROM ex"
     o["bt_funding_asof"] = f"{costly} SELECT {S.rnd('timestamp ~funding_cost', 8)} FROM fu"
