@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorlake.llm import session
@@ -285,12 +285,14 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group, that of the least doc_id; those without words all stay."""
     session.bounded_batches(spark)
+    key = [F.coalesce("doc_id", F.lit(0)).cast("long").alias("__id"), F.col("doc_id").isNull().alias("__none"), F.col("th").alias("__th")]
     found = near_duplicates(docs).filter("doc_id <=> component_id")
-    one = found.filter("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.*").withColumn("one", F.lit(True))
-    rest = found.filter("comp is null").select("doc_id", "th").distinct().withColumn("one", F.lit(False))
-    keep = one.unionByName(rest).select(F.col("doc_id").alias("__k"), F.col("th").alias("__th"), F.col("one").alias("__one"))
-    rows = docs.withColumn("__dth", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(keep, (F.col("__dth") == F.col("__th")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__k")))
-    rows = session.cut(rows.select(*docs.columns, "__one"))
-    whole = rows.filter("not __one").select(*docs.columns)
-    return rows.filter("__one").select(*docs.columns).dropDuplicates(["doc_id", "text"]).unionByName(whole)
+    one = found.filter("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.*").withColumn("__one", F.lit(True))
+    rest = found.filter("comp is null").select("doc_id", "th").distinct().withColumn("__one", F.lit(False))
+    keep = session.cut(one.unionByName(rest).select(*key, "__one"))
+    names = ["__id", "__none", "__th"]
+    rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id"), F.lit(0)).cast("long"), "__none": F.col("doc_id").isNull(), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    rows = rows.join(keep.hint("shuffle_hash"), names)
+    # Of rows that repeat id and text one stays; they are in one task already, as the join dealt them out by the same keys.
+    nth = F.row_number().over(Window.partitionBy(*names).orderBy("__id"))
+    return rows.withColumn("__nth", nth).filter("__nth = 1 or not __one").select(*docs.columns)
