@@ -1,11 +1,11 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-A text is the set of its hashed byte 5-grams, A-Z lower-cased, a blank at both
-ends. On a bounded sample of labelled rows the log ratio of document counts in
+A text is the set of its hashed byte 5- and 8-grams, A-Z lower-cased, a blank at
+both ends. On a bounded sample of labelled rows the log ratio of document counts in
 either class is taken for each n-gram; n-grams whose ratio is not clear of
 chance leave. A logistic regression is fitted on the indicator times its
 ratio, the sample reweighted to the classes' true shares. Weights times ratios
-make one table of 4 MB, which is broadcast; texts are scored whole.
+make one table of 16 MB, which is broadcast; texts are scored whole.
 
 Edge cases: null and empty texts score as a text without any known n-gram;
 without rows of both classes every score is 0; rows are independent, so ties
@@ -25,8 +25,8 @@ from factorlake.llm import session
 from factorlake.llm.bytesblock import Rolling, blocks, spread, utf8
 from factorlake.llm.folds import held_out, labelled
 
-N = 5
-BITS = 20
+LENGTHS = (5, 8)  # short ones meet inflections, long ones whole words of common parts
+BITS = 22
 PER_CLASS = 6000  # bound of the sample, rows of either class
 CLEAR = 4.0  # standard errors
 FOLD = (3, 1)
@@ -42,9 +42,15 @@ def _grams(body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start = np.cumsum(wide) - wide
     text = np.full(int(wide.sum()), 32, np.uint8)
     text[spread(start + 1, sizes)] = _LOWER[body]
-    count = np.maximum(wide - N + 1, 0)
-    at = spread(start, count)
-    return (Rolling(text)(at, at + N) >> np.uint64(64 - BITS)).astype(np.int64), count
+    each = [np.maximum(wide - n + 1, 0) for n in LENGTHS]
+    count = sum(each)
+    out, place = np.zeros(int(count.sum()), np.int64), np.cumsum(count) - count
+    roll = Rolling(text)
+    for n, own in zip(LENGTHS, each):
+        at = spread(start, own)
+        out[spread(place, own)] = (roll(at, at + n) >> np.uint64(64 - BITS)).astype(np.int64)
+        place = place + own
+    return out, count
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,10 +63,11 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams, count = _grams(b, o)
             pair = np.unique(np.repeat(np.arange(j - i), count) << BITS | grams)
             for c in (0, 1):
-                sums[c] += np.bincount(pair[label[i:j][pair >> BITS] == c] & ((1 << BITS) - 1), minlength=1 << BITS).astype(np.int32)
+                own, n = np.unique(pair[label[i:j][pair >> BITS] == c] & ((1 << BITS) - 1), return_counts=True)
+                sums[c][own] += n.astype(np.int32)
     for c in (0, 1):
-        at = np.flatnonzero(sums[c])
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), c, np.int32)), pa.array(sums[c][at].astype(np.int64))], names=["bucket", "label", "n"])
+        for at in np.array_split(np.flatnonzero(sums[c]), 32):
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), c, np.int32)), pa.array(sums[c][at].astype(np.int64))], names=["bucket", "label", "n"])
 
 
 def _sets(clear: np.ndarray):
@@ -94,25 +101,25 @@ def fit(sample: DataFrame, sizes: dict[int, int]) -> tuple[np.ndarray, float]:
     n = np.array([classes[0], classes[1]], float)
     counted = sample.mapInArrow(_frequencies, "bucket int, label int, n long").groupBy("bucket").agg(*(F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)))
     counted = counted.filter("n0 + n1 >= 4").toArrow()
-    df = [np.zeros(1 << BITS) for _ in (0, 1)]
-    for c in (0, 1):
-        df[c][counted.column("bucket").to_numpy()] = counted.column(f"n{c}").to_numpy()
+    bucket, df = counted.column("bucket").to_numpy(), [counted.column(f"n{c}").to_numpy().astype(float) for c in (0, 1)]
     ratio = np.log((df[1] + 0.5) / (n[1] + 1)) - np.log((df[0] + 0.5) / (n[0] + 1))
     # Likelihood-ratio statistic of the two counts against the classes' sizes; sound for zero counts.
     expect = [(df[0] + df[1]) * n[c] / n.sum() for c in (0, 1)]
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * sum(np.where(df[c] > 0, df[c] * np.log(df[c] / expect[c]), 0.0) for c in (0, 1))
-    clear = g > CLEAR**2
+    order = np.argsort(bucket)
+    order = order[g[order] > CLEAR**2]
+    bucket, scale = bucket[order], ratio[order]
+    clear = np.zeros(1 << BITS, bool)
+    clear[bucket] = True
     rows = sample.mapInArrow(_sets(clear), "doc_id long, label int, grams binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], r["grams"]))
     label = np.array([r["label"] for r in rows])
-    place = np.cumsum(clear) - 1
-    own = [place[np.frombuffer(r["grams"], np.int32)] for r in rows]
+    own = [np.searchsorted(bucket, np.frombuffer(r["grams"], np.int32)) for r in rows]
     row, col = np.repeat(np.arange(len(own)), [len(o) for o in own]), np.concatenate(own)
-    scale = ratio[clear]
     share = np.array([sizes[0], sizes[1]], float) / sum(sizes.values())
     beta, bias = _logistic(row, col, scale[col], label.astype(float), (share / n)[label], len(scale))
-    weights[clear] = beta * scale
+    weights[bucket] = beta * scale
     return weights, bias
 
 
