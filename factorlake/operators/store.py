@@ -77,6 +77,12 @@ def manifest(frame: DataFrame, run_id: str, dataset: str, provider: str, path: s
     return d.select(key.alias("snapshot_id"), F.lit(run_id).alias("run_id"), F.lit(dataset).alias("dataset"), F.lit(provider).alias("provider"), "content_hash", "rows", "symbols", "start", "end", F.lit(path).alias("artifact_path"), F.lit(",".join(sorted(frame.columns))).alias("columns"))
 
 
+def snapshots(manifests: DataFrame, run_id: str | None = None, limit: int = 100) -> DataFrame:
+    """Manifest rows, of one run if named, by newest data first."""
+    rows = manifests if run_id is None else manifests.filter(F.col("run_id") == run_id)
+    return rows.dropDuplicates(["snapshot_id"]).orderBy(F.col("end").desc_nulls_last(), "snapshot_id").limit(min(max(limit, 1), 1000))
+
+
 def write_artifacts(frames: dict[str, DataFrame], folder: str, csv: bool = False) -> dict[str, str]:
     """Each frame as a Parquet (or CSV) folder under `folder`; returns the paths."""
     out = {}

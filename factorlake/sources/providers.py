@@ -109,7 +109,30 @@ class Candles:
         return within(made, request)
 
 
-PROVIDERS = {"synthetic": lambda c: Synthetic(int(c.get("seed", 42))), "csv": lambda c: Csv(c["path"]), "parquet": lambda c: ParquetBars(c["path"]), "okx": lambda c: Candles(c["fetch"], int(c.get("max_pages", 30)), bool(c.get("include_unconfirmed")))}
+@dataclass
+class Rows:
+    """Any library's bars: `fetch(symbol, start, end, frequency) -> [(time or epoch ms, o, h, l, c, v), ...]` is injected and runs in the tasks, one symbol each."""
+
+    fetch: Callable[[str, str, str, str], list[tuple]]
+
+    def load(self, spark: SparkSession, request: DataRequest) -> DataFrame:
+        fetch, start, end, bar = self.fetch, request.start.isoformat(), request.end.isoformat(), request.frequency
+
+        def fetched(frames):
+            import pandas as pd
+
+            for f in frames:
+                for symbol, kind in zip(f["symbol"], f["asset_class"]):
+                    rows = [(str(pd.to_datetime(r[0], unit="ms") if isinstance(r[0], (int, float)) else r[0]), symbol, *map(str, r[1:6]), kind, bar) for r in fetch(symbol, start, end, bar)]
+                    if rows:
+                        yield pd.DataFrame(rows, columns=["timestamp", "symbol", "open", "high", "low", "close", "volume", "asset_class", "frequency"])
+
+        ids = spark.createDataFrame([(i.symbol, i.asset_class) for i in request.universe], "symbol string, asset_class string").repartition(len(request.universe))
+        text = "timestamp string, symbol string, open string, high string, low string, close string, volume string, asset_class string, frequency string"
+        return within(normalise(ids.mapInPandas(fetched, text)), request)
+
+
+PROVIDERS = {"synthetic": lambda c: Synthetic(int(c.get("seed", 42))), "csv": lambda c: Csv(c["path"]), "parquet": lambda c: ParquetBars(c["path"]), "yfinance": lambda c: Rows(c["fetch"]), "ccxt": lambda c: Rows(c["fetch"]), "okx": lambda c: Candles(c["fetch"], int(c.get("max_pages", 30)), bool(c.get("include_unconfirmed")))}
 
 
 def build(config: dict):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factorlake.operators import backtest, context, decisions, evaluation, factors, prepare, quality, signals, technicals, walkforward
+from factorlake.operators import backtest, context, decisions, evaluation, factors, prepare, quality, signals, store, technicals, walkforward
 from factorlake.plans import pipeline
 from factorlake.schemas import MARKET, DataRequest, frequency
 from factorlake.sources import payloads, providers
@@ -162,11 +162,37 @@ def test_providers(spark, tmp_path):
     pages = {None: '{"code":"0","data":[["1641340800000","1","2","0.5","1.5","9","0","0","1"]]}', "1641340800000": '{"code":"0","data":[["1641254400000","1","2","0.5","1.5","9","0","0","1"]]}', "1641254400000": '{"code":"0","data":[]}'}
     got = providers.build({"provider": "okx", "fetch": lambda inst, bar, after: pages[after]}).load(spark, req)
     assert got.count() == 2
+    rows = providers.build({"provider": "ccxt", "fetch": lambda s, a, b, f: [(1641340800000, 1, 2, 0.5, 1.5, 9), ("2022-01-06", 1, 2, 0.5, None, 9)]}).load(spark, req)
+    assert [(r.timestamp, r.close) for r in rows.collect()] == [(datetime(2022, 1, 5), 1.5)]
     for bad in (lambda: providers.build({"provider": "zzz"}), lambda: frequency("2d"), lambda: DataRequest.of({"universe": [], "start": "2022-01-01", "end": "2022-02-01"})):
         with pytest.raises(ValueError):
             bad()
 
 
+def test_stores(spark, tmp_path):
+    log = store.RunLog(spark, str(tmp_path / "runs"))
+    for run, state in (("a", "queued"), ("b", "queued"), ("a", "running"), ("a", "failed")):
+        log.mark(run, state, "no" if state == "failed" else None)
+    assert {(r.run_id, r.status, r.error) for r in log.latest().collect()} == {("a", "failed", "no"), ("b", "queued", None)}
+    with pytest.raises(ValueError):
+        log.mark("a", "lost")
+    m = market(spark, {"A": [1.0, 2.0], "B": [3.0]})
+    one, two = (store.content_hash(x).first() for x in (m, m.orderBy(F.rand()).select(*reversed(m.columns))))
+    assert one == two and one.rows == 3 and len(one.content_hash) == 64
+    assert store.content_hash(m.limit(2)).first().content_hash != one.content_hash
+    rows = store.manifest(m, "r1", "market", "csv", "x").unionByName(store.manifest(m, "r2", "market", "csv", "x"))
+    assert store.snapshots(rows).count() == 2 and store.snapshots(rows, "r1").first().symbols == "A,B"
+    assert store.config_hash({"a": 1, "b": 2}) == store.config_hash({"b": 2, "a": 1})
+
+
+def test_last_n_equals_the_batch_twin(spark, tmp_path):
+    rows = spark.createDataFrame([(f"I{k % 3}", k, f"t{k}") for k in range(60)], "inst_id string, seq long, item string")
+    rows.repartition(4).write.parquet(str(tmp_path / "t"))
+    got = feeds.run(feeds.last_n(feeds.read(spark, str(tmp_path / "t")), 5), "update")
+    want = feeds.last_n_batch(rows, 5)
+    assert sorted(map(str, got.select("inst_id", "items").collect())) == sorted(map(str, want.collect()))
+
+
 def test_the_whole_run(spark, tmp_path):
     config = {
         "data": {"provider": "synthetic", "universe": [{"symbol": "BTC-USD", "asset_class": "crypto"}, {"symbol": "ETH-USD", "asset_class": "crypto"}, "AAPL", "MSFT"], "start": "2022-01-01", "end": "2022-06-01", "frequency": "1d", "seed": 5},
