@@ -31,7 +31,7 @@ from factorlake.llm import session
 from factorlake.llm.bytesblock import Rolling, blocks, mix, spread, utf8
 
 MODEL = "byte_bpe_50k.json"
-ENTRIES = 800_000
+ENTRIES = 250_000
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
 
