@@ -27,7 +27,7 @@ from factorlake.llm.folds import held_out, labelled
 
 LENGTHS = (5, 8)  # short ones meet inflections, long ones whole words of common parts
 BITS = 22
-PER_CLASS = 6000  # bound of the sample, rows of either class
+PER_CLASS = 4000  # bound of the sample, rows of either class
 CLEAR = 4.0  # standard errors
 FOLD = (3, 1)
 CUT = 0.7
@@ -94,7 +94,7 @@ def fit(sample: DataFrame, sizes: dict[int, int]) -> tuple[np.ndarray, float]:
     weights = np.zeros(1 << BITS, np.float32)
     if not (sizes.get(0) and sizes.get(1)):
         return weights, -40.0
-    sample = session.cut(sample)
+    sample = session.cut(sample.repartition(6, "doc_id"))
     classes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(classes) < 2:
         return weights, -40.0
@@ -116,6 +116,7 @@ def fit(sample: DataFrame, sizes: dict[int, int]) -> tuple[np.ndarray, float]:
     rows.sort(key=lambda r: (r["doc_id"], r["label"], r["grams"]))
     label = np.array([r["label"] for r in rows])
     own = [np.searchsorted(bucket, np.frombuffer(r["grams"], np.int32)) for r in rows]
+    del rows
     row, col = np.repeat(np.arange(len(own)), [len(o) for o in own]), np.concatenate(own)
     share = np.array([sizes[0], sizes[1]], float) / sum(sizes.values())
     beta, bias = _logistic(row, col, scale[col], label.astype(float), (share / n)[label], len(scale))
