@@ -44,6 +44,8 @@ def blocks(body: np.ndarray, offs: np.ndarray, limit: int = BLOCK_BYTES) -> Iter
         j = min(j, n)
         yield i, j, body[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
+    # Workers serve many tasks; what Arrow keeps for later batches would add up beside the executor's heap.
+    pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
