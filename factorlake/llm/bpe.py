@@ -4,10 +4,11 @@ A text is cut where its content says so: before each ASCII white space that
 follows another character. A chunk is known by its rolling hash and length, so
 chunks that documents share are encoded once in a task and their ids reused.
 The pre-tokenizer never spans such a cut, unless the character before it is
-white space beyond ASCII; joins after a non-ASCII byte are therefore checked:
-the two chunks are re-encoded as one and glued while the ids disagree with
-those of the parts, until they agree exactly. Special tokens' strings cut a
-text before all else and have their own id, as in the library.
+white space beyond ASCII; no cut is made there, so a run of white space of any
+kind is never divided. Which characters those are is asked of the pre-tokenizer
+itself. So all joins hold, whatever merges a run needs; this replaces a repair
+that re-encodes chunks as one and glues them. Special tokens' strings cut a text
+before all else and have their own id, as in the library.
 
 The reuse table lives in a worker and starts anew at a fixed number of entries:
 sharing it between workers would shuffle more ids than the texts have bytes.
@@ -55,6 +56,7 @@ class ChunkEncoder:
         self.special = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.sizes = TokenBytes(path).size
         self.entries = entries
+        self.spaces: dict[str, bool] = {}  # character -> whether it is white space
         self.clear()
 
     def clear(self) -> None:
@@ -114,27 +116,20 @@ class ChunkEncoder:
                     locked[[at, end]] = True
                 at = raw.find(text, end)
         first |= locked
-        # Repair: a join after a non-ASCII byte holds only if both sides together give their own ids.
+        # After white space beyond ASCII the pre-tokenizer goes on: no cut there.
         doubt = np.flatnonzero(first[1:-1] & ~locked[1:-1] & (body[:-1] >= 0x80)) + 1
-        if len(doubt):
-            # The last character before the join decides; each is looked at once.
-            back = [next(k for k in range(1, 5) if raw[d - k] & 0xC0 != 0x80) for d in doubt.tolist()]
-            tails = [raw[d - k : d].decode() for d, k in zip(doubt.tolist(), back)]
-            for d, tail in zip(doubt.tolist(), tails):
-                if self._disagrees(tail, raw[d : d + 1].decode()):
-                    first[d] = False
+        for d in doubt.tolist():
+            k = next(k for k in range(1, 5) if raw[d - k] & 0xC0 != 0x80)
+            if self._is_space(raw[d - k : d].decode()):
+                first[d] = False
         return np.flatnonzero(first[:-1])
 
-    _seen: dict[tuple[str, str], bool] = {}
-
-    def _disagrees(self, before: str, after: str) -> bool:
-        """Whether text that ends in `before` and goes on with `after` is encoded otherwise than its two parts."""
-        key = (before, after)
-        if key not in self._seen:
-            ask = [f"a{before}{after}b", f"a{before}", f"{after}b", f"a{before}{after}", after]
-            whole, left, right, short, gap = self.encode(ask)
-            self._seen[key] = whole != left + right or short != left + gap
-        return self._seen[key]
+    def _is_space(self, char: str) -> bool:
+        """Whether the pre-tokenizer takes char as white space: it then does not end a piece between char and two blanks."""
+        if char not in self.spaces:
+            pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{char}  b")
+            self.spaces[char] = all(end != 2 for _, (_, end) in pieces)
+        return self.spaces[char]
 
     def block(self, body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a block end to end, and how many each has."""

@@ -28,6 +28,19 @@ def test_ids_and_text_equal_the_library():
             assert table.decode(pa.array([want], pa.list_(pa.int32())))[0].as_py() == lib.decode(want, skip_special_tokens=False)
 
 
+def test_runs_of_white_space_beyond_ascii():
+    lib, many = Tokenizer.from_file(bpe.model_path()), []
+    for char in ("\u00a0", "\u3000", "\u2003", "\u2028", "\u0085", "\u200b", "\u180e", "é"):
+        for unit in (f" {char}", f"{char} ", f" {char}{char}", f"\n{char}"):
+            for n in (1, 2, 3, 4, 8, 33):
+                many += [unit * n + "y", "x" + unit * n + " y", "x " + unit * n, unit * n, f"é{unit * n}é"]
+    many.append("x \u00a0 \u00a0 y")
+    enc = bpe.ChunkEncoder(bpe.model_path())
+    ids, sizes = enc.block(*bpe.utf8(pa.array(many)))
+    for text, own in zip(many, np.split(ids, np.cumsum(sizes)[:-1])):
+        assert own.tolist() == lib.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_query_columns(spark):
     rows = [(1, "Hello  world", 1), (2, None, 2), (3, "", 3), (1, "Hello  world", 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
