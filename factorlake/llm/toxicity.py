@@ -27,7 +27,7 @@ from factorlake.llm.folds import held_out, labelled
 
 LENGTHS = (5, 8)  # short ones meet inflections, long ones whole words of common parts
 BITS = 22
-PER_CLASS = 4000  # bound of the sample, rows of either class
+PER_CLASS = 6000  # bound of the sample, rows of either class
 CLEAR = 4.0  # standard errors
 FOLD = (3, 1)
 CUT = 0.7
@@ -89,6 +89,19 @@ def _sets(clear: np.ndarray):
     return kernel
 
 
+def _places(grams: pa.ChunkedArray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place in `bucket` of each of the buckets in grams, from Arrow's own offsets and bytes."""
+    col, size = [], []
+    for part in grams.chunks:
+        ends = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1]
+        body = part.buffers()[2]
+        flat = np.frombuffer(body, np.int32, (ends[-1] - ends[0]) // 4, ends[0]) if ends[-1] > ends[0] else np.zeros(0, np.int32)
+        col.append(np.searchsorted(bucket, flat))
+        size.append(np.diff(ends) // 4)
+    size = np.concatenate(size)
+    return np.repeat(np.arange(len(size)), size), np.concatenate(col)
+
+
 def fit(sample: DataFrame, sizes: dict[int, int]) -> tuple[np.ndarray, float]:
     """(weights by bucket, intercept). The driver gets the counts of frequent buckets and each sample text's clear ones."""
     weights = np.zeros(1 << BITS, np.float32)
@@ -112,12 +125,11 @@ def fit(sample: DataFrame, sizes: dict[int, int]) -> tuple[np.ndarray, float]:
     bucket, scale = bucket[order], ratio[order]
     clear = np.zeros(1 << BITS, bool)
     clear[bucket] = True
-    rows = sample.mapInArrow(_sets(clear), "doc_id long, label int, grams binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], r["grams"]))
-    label = np.array([r["label"] for r in rows])
-    own = [np.searchsorted(bucket, np.frombuffer(r["grams"], np.int32)) for r in rows]
+    rows = sample.mapInArrow(_sets(clear), "doc_id long, label int, grams binary").toArrow()
+    rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "label", "grams")]).combine_chunks()
+    label = rows.column("label").to_numpy()
+    row, col = _places(rows.column("grams"), bucket)
     del rows
-    row, col = np.repeat(np.arange(len(own)), [len(o) for o in own]), np.concatenate(own)
     share = np.array([sizes[0], sizes[1]], float) / sum(sizes.values())
     beta, bias = _logistic(row, col, scale[col], label.astype(float), (share / n)[label], len(scale))
     weights[bucket] = beta * scale

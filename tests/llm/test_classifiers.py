@@ -56,6 +56,17 @@ def test_held_out_accuracy(spark, tmp_path):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) > 0.97 * len(held)
 
 
+def test_word_of_few_toxic_texts_counts(spark):
+    rnd = random.Random(4)
+    docs = [(k, " ".join(rnd.choice(["the", "house", "river", "stone"]) for _ in range(4)) + (" grumblefool" if k % 2 and k < 48 else ""), k % 2) for k in range(17_000)]
+    labels = [(k, t) for k, _, t in docs]
+    # Of 17,000 labels about 5,600 of either class are learned from; 17 of those texts or so have the word.
+    asked = [(20_000, "the house grumblefool river"), (20_001, "the house river")]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in docs] + asked, "doc_id long, text string")
+    got = {r.row.doc_id: r.score for r in toxicity.score(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), ["doc_id"]).filter("row.doc_id >= 20000").collect()}
+    assert got[20_000] > got[20_001] + 0.05
+
+
 def test_nothing_to_learn_and_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b", "row"), (2, None, None)], "doc_id long, text string, score string").withColumn("lang", F.lit(None).cast("string"))
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
