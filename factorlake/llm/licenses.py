@@ -70,9 +70,12 @@ def rules() -> list[tuple[str, str, int, str, float]]:
         add("mpl", rf"mpl {v}", 20, "mpl-" + v.replace(" ", "."), 0.9)
         add("eclipse", rf"eclipse public license (?:version |v )?{v}", 30, "epl-" + v.replace(" ", "."), 0.99)
         add("epl", rf"epl {v}", 20, "epl-" + v.replace(" ", "."), 0.9)
-        add("eupl", rf"(?:eupl|european union public licen[cs]e) (?:version |v )?{v}", 30, "eupl-" + v.replace(" ", "."), 0.97)
         add("cddl", rf"cddl (?:version |v )?{v}", 30, "cddl-" + v.replace(" ", "."), 0.97)
         add("common development", rf"common development and distribution license (?:version |v )?{v}", 30, "cddl-" + v.replace(" ", "."), 0.97)
+    for v in ("1 0", "1 1", "1 2", "2 0"):
+        add("eupl", rf"eupl (?:version |v ?)?{v}", 30, "eupl-" + v.replace(" ", "."), 0.97)
+        add("european union public", rf"european union public licen[cs]e (?:eupl )?(?:version |v ?)?{v}", 30, "eupl-" + v.replace(" ", "."), 0.97)
+    add("european union public", "european union public licen[cs]e", 10, "eupl", 0.85)
     for word, name in (("2", "2"), ("two", "2"), ("3", "3"), ("three", "3"), ("4", "4"), ("four", "4")):
         add("bsd", rf"bsd {word} clause", 30, f"bsd-{name}-clause", 0.97)
         add("bsd", rf"{word} clause bsd", 30, f"bsd-{name}-clause", 0.97)

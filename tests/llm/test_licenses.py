@@ -56,5 +56,37 @@ def test_rules_are_many_and_short():
     assert all(len(p.split()) <= licenses.REACH for _, p, *_ in table)
 
 
+def spelled(parsed):
+    """All strings of a parsed pattern, one character standing for each range."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            own = [chr(arg)]
+        elif op == "IN":
+            own = [chr(a if str(o) == "LITERAL" else a[0]) for o, a in arg]
+        elif op == "MAX_REPEAT":
+            own = [x * n for n in {arg[0], arg[1]} for x in spelled(arg[2])]
+        elif op == "SUBPATTERN":
+            own = spelled(arg[3])
+        else:
+            assert op == "BRANCH", op
+            own = [x for part in arg[1] for x in spelled(part)]
+        out = [a + b for a in out for b in own]
+    return out
+
+
+def test_patterns_imply_their_keywords():
+    for keyword, pattern, *_ in licenses.rules():
+        assert all(keyword in text for text in spelled(re._parser.parse(pattern))), pattern
+
+
+def test_european_union_public_licence(spark):
+    texts = {"Licensed under the European Union Public Licence, version 1.2.": ["eupl-1.2"], "European Union Public License v1.1": ["eupl-1.1"], "the European Union Public Licence (EUPL) v. 1.2": ["eupl-1.2"], "EUPL 1.2": ["eupl-1.2"], "the European Union Public Licence": ["eupl"]}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.row.doc_id: r.labels for r in licenses.scan(df, ["doc_id"]).collect()}
+    assert [got[k] for k in range(len(texts))] == list(texts.values())
+
+
 def test_empty(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"]).count() == 0
