@@ -1,8 +1,9 @@
 """Quality: positive-unlabelled learning with the non-negative unbiased risk.
 
-Trusted positives are labelled rows of quality 1; the rest of the evidence is
-unlabelled text. Both come as bounded samples outside the held-out fold. The
-class prior of the unlabelled text is estimated from the scores of a first
+Trusted positives are labelled rows of quality 1, a bounded sample of them; the
+rest of the evidence is unlabelled text, all rows of it. Both are taken outside
+the held-out fold. Moments, scores above each cut, risk, gradient and Hessian of
+the unlabelled side are sums over all rows, one Spark job each time. The class prior of the unlabelled text is estimated from the scores of a first
 classifier of positives against unlabelled rows: above any cut, the share of
 unlabelled rows is at least the prior times the share of positives, and near
 the top of the range of cuts the bound is tight. A logistic model of surface
@@ -31,7 +32,8 @@ from factorlake.llm.neardup import words
 
 FOLD = (5, 0)
 CUT = 0.3
-SAMPLE = 8000  # bound of either sample, rows
+SAMPLE = 8000  # bound of the sample of labelled positives, rows
+RIDGE = 1e-4
 _KINDS = [range(65, 91), range(97, 123), range(48, 58), b"!", b"|", b"#$%&*@^~=+<>{}[]\\_", b".,;:?", b" ", b"\n", b"\t\r\x0b\x0c", range(128, 256)]
 WIDTH = len(_KINDS) + 5
 
@@ -71,6 +73,32 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([r.tobytes() for r in made], pa.binary())], names=["doc_id", "x"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of a block's texts as one value."""
+    for batch in batches:
+        body, offs = utf8(batch.column("text"))
+        for _, _, b, o in blocks(body, offs):
+            yield pa.RecordBatch.from_arrays([pa.array([features(b, o).tobytes()], pa.binary())], names=["x"])
+
+
+def _sums(packed: DataFrame, of, width: int) -> np.ndarray:
+    """Sum over all rows of packed features: of(matrix) gives the `width` sums of some of them."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(width)
+        for batch in batches:
+            for x in batch.column("x"):
+                out += of(np.frombuffer(x.as_buffer(), np.float64).reshape(-1, WIDTH))
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["s"])
+
+    parts = [np.frombuffer(bytes(r["s"]), np.float64) for r in packed.mapInArrow(kernel, "s binary").collect()]
+    return np.sum(parts, axis=0) if parts else np.zeros(width)
+
+
+def _moments(x: np.ndarray) -> np.ndarray:
+    return np.concatenate(([len(x)], x.sum(axis=0), (x * x).sum(axis=0)))
+
+
 def _matrix(sample: DataFrame) -> np.ndarray:
     """Features of a bounded sample, in a fixed order."""
     rows = sorted(sample.mapInArrow(_rows, "doc_id long, x binary").collect(), key=lambda r: (r["doc_id"], r["x"]))
@@ -81,45 +109,82 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _descend(gradient, width: int, steps: int = 1500, rate: float = 0.02) -> np.ndarray:
-    beta, m, v = np.zeros(width), np.zeros(width), np.zeros(width)
-    for t in range(1, steps + 1):
-        g = gradient(beta) + 1e-4 * np.append(beta[:-1], 0)
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        beta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+def _one(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.append(np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1)), axis=1)
+
+
+def _softplus(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Sum of log(1 + exp(g)) over the rows, its gradient and its Hessian, end to end."""
+    g = x @ beta
+    s = _sigmoid(g)
+    return np.concatenate(([np.logaddexp(0, g).sum()], x.T @ s, ((x * (s * (1 - s))[:, None]).T @ x).ravel()))
+
+
+def _newton(risk, width: int, steps: int = 40) -> np.ndarray:
+    """Least ridged risk from 0 on. risk(beta) gives value, gradient, Hessian and whether beta may be taken."""
+    ridge = RIDGE * np.append(np.ones(width - 1), 0)
+
+    def at(beta: np.ndarray):
+        value, g, h, allowed = risk(beta)
+        return value + (ridge * beta * beta).sum() / 2, g + ridge * beta, h + np.diag(ridge + 1e-9), allowed
+
+    beta = np.zeros(width)
+    value, g, h, _ = at(beta)
+    for _ in range(steps):
+        step, gain = np.linalg.solve(h, g), None
+        for halving in range(12):
+            next_beta = beta - step / 2**halving
+            found = at(next_beta)
+            if found[3] and found[0] < value:
+                gain = value - found[0]
+                beta, (value, g, h, _) = next_beta, found
+                break
+        if gain is None or gain < 1e-9:
+            break
     return beta
 
 
-def class_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Share of positives among the unlabelled rows, from the scores of both under a classifier of one against the other."""
+def class_prior(p: np.ndarray, above, n: int) -> float:
+    """Share of positives among the n unlabelled rows, from the scores of both under a classifier of one against the other.
+    above(cuts) gives how many unlabelled rows reach each cut."""
     cuts = np.quantile(p, np.linspace(0.0, 0.5, 51))
     above_p = (p[None, :] >= cuts[:, None]).mean(axis=1)
-    above_u = (u[None, :] >= cuts[:, None]).mean(axis=1)
-    slack = np.sqrt(above_u * (1 - above_u) / len(u)) / above_p
+    above_u = above(cuts) / n
+    slack = np.sqrt(above_u * (1 - above_u) / n) / above_p
     return float(np.clip((above_u / above_p + slack).min(), 0.05, 0.98))
 
 
-def fit(p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(mean, scale, coefficients with the intercept last, estimated prior)."""
-    both = np.concatenate((p, u))
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-6
-    one = lambda x: np.append(np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1)), axis=1)
-    xp, xu = one(p), one(u)
+def fit(p: np.ndarray, packed: DataFrame, moments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(mean, scale, coefficients with the intercept last, estimated prior); moments are those of all packed rows."""
+    n = int(moments[0])
+    first, second = ((_moments(p)[1:] / len(p) + moments[1:] / n) / 2).reshape(2, WIDTH)
+    mean, scale = first, np.sqrt(np.maximum(second - first**2, 0)) + 1e-6
+    width = WIDTH + 1
+    xp = _one(p, mean, scale)
+
+    def unlabelled(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        s = _sums(packed, lambda x: _softplus(_one(x, mean, scale), beta), 1 + width + width * width) / n
+        return s[0], s[1 : 1 + width], s[1 + width :].reshape(width, width)
+
+    def positive(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        s = _softplus(xp, beta) / len(xp)
+        return s[0], s[1 : 1 + width], s[1 + width :].reshape(width, width)
+
+    slope = xp.mean(axis=0)
 
-    def against(beta: np.ndarray) -> np.ndarray:
-        return -xp.T @ (1 - _sigmoid(xp @ beta)) / len(xp) + xu.T @ _sigmoid(xu @ beta) / len(xu)
+    def against(beta: np.ndarray):
+        u, p = unlabelled(beta), positive(beta)
+        return u[0] + p[0] - slope @ beta, u[1] + p[1] - slope, u[2] + p[2], True
 
-    first = _descend(against, WIDTH + 1, 500)
-    prior = class_prior(xp @ first, xu @ first)
+    beta = _newton(against, width)
+    prior = class_prior(xp @ beta, lambda cuts: _sums(packed, lambda x: ((_one(x, mean, scale) @ beta)[None, :] >= cuts[:, None]).sum(axis=1), len(cuts)), n)
 
-    def non_negative(beta: np.ndarray) -> np.ndarray:
-        gp, gu = xp @ beta, xu @ beta
-        right = -xp.T @ (1 - _sigmoid(gp)) / len(xp)
-        rest = xu.T @ _sigmoid(gu) / len(xu) - prior * xp.T @ _sigmoid(gp) / len(xp)
-        negative_risk = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        return prior * right + rest if negative_risk >= 0 else -rest
+    def non_negative(beta: np.ndarray):
+        # l(g) - l(-g) = -g, so where the negative part is not below 0 the risk is convex; steps stay on that side.
+        u = unlabelled(beta)
+        return u[0] - prior * (slope @ beta), u[1] - prior * slope, u[2], u[0] >= prior * positive(beta)[0]
 
-    return mean, scale, _descend(non_negative, WIDTH + 1), prior
+    return mean, scale, _newton(non_negative, width), prior
 
 
 def _scorer(mean: np.ndarray, scale: np.ndarray, beta: np.ndarray):
@@ -139,13 +204,13 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str], text_col: str = "
     """Struct `row` of columns `keep` of each row of docs, with its score."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(F.col("doc_id").isNotNull())
     good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), *FOLD)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    # Both lists of ids are bounded by SAMPLE, so they may be broadcast.
+    # At most SAMPLE ids, so the broadcast is bounded.
     good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    other = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), *FOLD)).distinct()
-    other = other.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(SAMPLE)
-    p, u = (_matrix(texts.join(F.broadcast(ids), "doc_id").limit(2 * SAMPLE)) for ids in (good, other))
-    if len(p) and len(u):
-        mean, scale, beta, _ = fit(p, u)
+    p = _matrix(texts.join(F.broadcast(good), "doc_id").limit(2 * SAMPLE))
+    packed = session.cut(texts.filter(~held_out(F.col("doc_id"), *FOLD)).select("text").mapInArrow(_packed, "x binary"))
+    moments = _sums(packed, _moments, 1 + 2 * WIDTH)
+    if len(p) and moments[0]:
+        mean, scale, beta, _ = fit(p, packed, moments)
     else:
         mean, scale, beta = np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH + 1)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(text_col).alias("text"))

@@ -67,6 +67,22 @@ def test_word_of_few_toxic_texts_counts(spark):
     assert got[20_000] > got[20_001] + 0.05
 
 
+def test_every_unlabelled_text_enters_the_risk(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 40)
+    docs, labels = corpus()
+    docs = [(k, t) for k, t, *_ in docs[:300]]
+    labels = spark.createDataFrame([(k, q) for k, q, _ in labels[:300]], "doc_id long, quality int")
+    # Of the free ids outside the held-out fold, the one that a sample by hash takes last.
+    free = spark.range(1000, 1400).filter(~quality.held_out(F.col("id"), *quality.FOLD))
+    last = free.orderBy(F.xxhash64(F.lit(1), "id").desc()).first().id
+
+    def one(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        return quality.score(df, labels, ["doc_id"]).filter("row.doc_id = 1").first().score
+
+    assert one(docs) != one([*docs, (last, "||| ### |||" * 50)])
+
+
 def test_nothing_to_learn_and_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b", "row"), (2, None, None)], "doc_id long, text string, score string").withColumn("lang", F.lit(None).cast("string"))
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
