@@ -7,7 +7,7 @@ of similar sets agree. Documents with equal sets become one node. Bands of
 three registers bring nodes together; in a bucket every node is paired with
 its most central one, the registers' likelihood drops pairs that can hardly
 reach the threshold, and the rest are confirmed on full sets. Where a bucket
-then still holds nodes of several components, the nodes outside its largest are
+then still holds nodes of several components, the nodes outside its pivot's are
 paired with all nodes of other components that an exact bound on what they can
 share leaves in, likewise: after that any two nodes that share a bucket are
 connected, tested or ruled out. Nothing is capped.
@@ -151,7 +151,7 @@ def _likely(threshold: float):
                 batch = whole.slice(i, 1000)
                 left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("r1", "r2"))
                 n1, n2 = (batch.column(c).to_numpy().astype(float) for c in ("n1", "n2"))
-                yield batch.filter(pa.array(may_reach(left, right, n1, n2, threshold))).select(["x", "y", "d1", "h1", "d2", "h2"])
+                yield batch.filter(pa.array(may_reach(left, right, n1, n2, threshold))).select(["a", "b", "d1", "h1", "d2", "h2"])
 
     return kernel
 
@@ -169,39 +169,41 @@ def _confirm(threshold: int):
                     both.sort()
                     shared = int((both[1:] == both[:-1]).sum())
                     good[i + k] = 100 * shared >= threshold * (len(both) - shared)
-            yield batch.filter(pa.array(good)).select(["x", "y"])
+            yield batch.filter(pa.array(good)).select(["a", "b"])
 
     return kernel
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (x, y) of nodes that reach the threshold."""
+    """(a, b) of the pairs (x, y, a, b) of nodes x and y that reach the threshold; partitioned by x already where the caller can."""
     side = lambda x, k: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{k}"), F.col("regs").alias(f"r{k}"), F.col("rep.doc_id").alias(f"d{k}"), F.col("rep.th").alias(f"h{k}"))
     both = pairs.join(side("x", 1), "x").join(side("y", 2), "y").filter(f"100 * least(n1, n2) >= {threshold} * greatest(n1, n2)")
-    likely = both.select("x", "y", "n1", "n2", "r1", "r2", "d1", "h1", "d2", "h2").mapInArrow(_likely(threshold / 100), "x long, y long, d1 long, h1 long, d2 long, h2 long")
+    likely = both.select("a", "b", "n1", "n2", "r1", "r2", "d1", "h1", "d2", "h2").mapInArrow(_likely(threshold / 100), "a long, b long, d1 long, h1 long, d2 long, h2 long")
     likely = session.cut(likely)
     # The texts are dealt out by th once and met twice.
     one = likely.join(texts.select(F.col("doc_id").alias("e"), F.col("th").alias("h1"), F.col("text").alias("t1")), "h1").filter("d1 <=> e").drop("e", "d1", "h1")
     two = one.join(texts.select(F.col("doc_id").alias("e"), F.col("th").alias("h2"), F.col("text").alias("t2")), "h2").filter("d2 <=> e")
-    return two.select("x", "y", "t1", "t2").mapInArrow(_confirm(threshold), "x long, y long").distinct()
+    return session.cut(two.select("a", "b", "t1", "t2").mapInArrow(_confirm(threshold), "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp) for each node of links (x, y): comp is the component's least node."""
-    edges = session.cut(links.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
-    print_of = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    last = print_of(edges)
-    while last[0]:
+    """(node, comp) for each node of links (a, b) between different nodes: comp is the component's least node.
+
+    Large-star and small-star rounds until what is left is stars about their
+    least node; the check for that is one grouping, not a round of its own.
+    """
+    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # u's larger neighbours point to u's least one; u itself does so from the neighbours' side.
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
         edges = session.cut(small)
-        now = print_of(edges)
-        if now == last:
+        ends = edges.select(F.col("u").alias("w"), F.lit(1).alias("below")).union(edges.select("v", F.lit(0)))
+        if ends.groupBy("w").agg(F.sum("below").alias("k"), F.count(F.lit(1)).alias("n")).filter("k > 1 or (k = 1 and n > 1)").isEmpty():
             break
-        last = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
@@ -210,46 +212,53 @@ def _own_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         body, offs = utf8(batch.column("text"))
         for i, j, b, o in blocks(body, offs):
             hashes, sizes = shingles(b, o)
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(np.repeat(np.arange(i, j), sizes))), pa.array(sql_long(hashes))], names=["node", "shingle"])
+            take = pa.array(np.repeat(np.arange(i, j), sizes))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("node", "comp", "n")), pa.array(sql_long(hashes))], names=["node", "comp", "n", "shingle"])
 
 
-def _across(shared: DataFrame, comp: DataFrame, tested: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """Untested pairs (x, y) of one bucket and two components that may reach the threshold.
+def _across(grouped: DataFrame, pivots: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (x, y) of one bucket and two components (a, b) that may reach the threshold, without those of a pivot.
 
-    Of each bucket the nodes outside its largest component meet those of other
-    components: all of them in buckets up to SMALL. In larger ones shingles are
+    grouped has a row for each node of a bucket: node, n, rep, bands (band, m),
+    comp. Of each bucket the nodes outside its pivot's component meet those of
+    other components: all of them in buckets up to SMALL. In larger ones shingles are
     told apart by how many such nodes have them. Two sets without a common rare
     shingle (of at most RARE nodes) share at most the other shingles of either,
-    which rules out, exactly, what a heavily edited copy can't reach; pairs
-    with a common rare shingle are found by it.
+    which rules out, exactly, what a heavily edited copy can't reach. Of sets
+    with a common rare shingle the rarest that they share is among the
+    n - ceil(threshold * n) + 1 rarest of either, so those few are listed for
+    each node, and nodes meet through the lists of those that hold them.
     """
-    member = shared.join(comp, "node", "left").select("band", "m", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    member = session.cut(member)
-    sizes = member.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    mixed = session.cut(member.join(sizes.filter("parts > 1").select("band", "main"), "band"))
-    large = mixed.filter(F.col("m") > SMALL)
-    used = large.select("node", "comp", "n").distinct()
-    rep = nodes.select("node", F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("th"))
-    own = used.select("node").join(rep, "node").join(texts.withColumnRenamed("doc_id", "e"), "th").filter("d <=> e").select("node", "text").dropDuplicates(["node"])
-    own = session.cut(own.mapInArrow(_own_shingles, "node long, shingle long"))
-    seldom = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= RARE)
-    rare = session.cut(own.join(seldom, "shingle"))
-    common = used.join(rare.groupBy("node").agg(F.count(F.lit(1)).alias("r")), "node", "left").select("node", "comp", (F.col("n") - F.coalesce("r", F.lit(0))).alias("c"))
-    large = large.join(common.select("node", "c"), "node")
-    # A small bucket bounds by set sizes alone.
-    rows = mixed.filter(F.col("m") <= SMALL).withColumn("c", F.col("n")).unionByName(large)
-    # A pair that shares many buckets is made in the least of them; a node has at most BANDS.
-    rows = rows.join(rows.groupBy("node").agg(F.collect_set("band").alias("of")), "node")
-    outside = rows.filter(F.col("comp") != F.col("main")).select("band", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("c").alias("sx"), F.col("of").alias("ox"))
-    other = rows.select(F.col("band").alias("bucket"), F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("c").alias("sy"), F.col("of").alias("oy"))
+    each = grouped.select("node", "n", "comp", F.transform("bands", lambda b: b["band"]).alias("of"), F.explode("bands").alias("b")).select("node", "n", "comp", "of", "b.band", "b.m")
+    kinds = each.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("band")
+    mixed = session.cut(each.join(kinds, "band").join(pivots, "band"))
+    part = threshold / 100
+    large = mixed.filter(F.col("m") > SMALL).select("node").distinct()
+    own = grouped.join(large, "node").select("node", "comp", "n", "rep.doc_id", "rep.th").join(texts.withColumnRenamed("doc_id", "e"), "th").filter("doc_id <=> e")
+    own = session.cut(own.select("node", "comp", "n", "text").dropDuplicates(["node"]).mapInArrow(_own_shingles, "node long, comp long, n long, shingle long"))
+    df = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    # Per node: shingles that are not rare (c), those of it alone, and the rare ones it shares, rarest first.
+    rare = F.when((F.col("df") > 1) & (F.col("df") <= RARE), F.struct("df", "shingle"))
+    per_node = own.join(df, "shingle").groupBy("node", "comp", "n").agg(F.sum((F.col("df") > RARE).cast("long")).alias("c"), F.sum((F.col("df") == 1).cast("long")).alias("alone"), F.array_sort(F.collect_list(rare)).alias("rare"))
+    first = F.greatest(F.col("n") - F.ceil(F.lit(threshold) * F.col("n") / F.lit(100)) + F.lit(1) - F.col("alone"), F.lit(0)).cast("int")
+    per_node = session.cut(per_node.select("node", "comp", "n", "c", F.slice("rare", F.lit(1), first).alias("rare")))
+    # A set with too few shingles that are not rare is beyond the bound whatever its partner; a small bucket bounds by set sizes alone.
+    bound = per_node.filter(100 * F.col("c") >= threshold * F.col("n")).select("node", "c")
+    rows = mixed.filter(F.col("m") <= SMALL).withColumn("c", F.col("n")).unionByName(mixed.filter(F.col("m") > SMALL).join(bound, "node"))
+    main = F.col("comp") == F.col("main")
+    outside = rows.filter(~main).select("band", F.col("node").alias("x"), F.col("comp").alias("a"), F.col("n").alias("nx"), F.col("c").alias("sx"), F.col("of").alias("ox"), "pivot")
+    other = rows.select(F.col("band").alias("bucket"), F.col("node").alias("y"), F.col("comp").alias("b"), F.col("n").alias("ny"), F.col("c").alias("sy"), F.col("of").alias("oy"), main.alias("main"))
     most = F.least("sx", "sy")
-    able = (F.col("cx") != F.col("cy")) & (100 * most >= threshold * (F.col("nx") + F.col("ny") - most))
+    able = (F.col("a") != F.col("b")) & (F.col("x") != F.col("pivot")) & (F.col("y") != F.col("pivot")) & (F.col("main") | (F.col("x") < F.col("y"))) & (100 * most >= threshold * (F.col("nx") + F.col("ny") - most))
+    # A pair that shares many buckets is made in the least of them; a node has at most BANDS.
     once = F.array_min(F.array_intersect("ox", "oy")) == F.col("band")
-    found = outside.join(other, (F.col("band") == F.col("bucket")) & able & once).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    of = rare.filter("df > 1").join(common.select("node", "comp"), "node")
-    left, right = (of.select("shingle", F.col("node").alias(k), F.col("comp").alias(f"c{k}")) for k in "xy")
-    by_rare = left.join(right, "shingle").filter("x < y and cx <> cy").select("x", "y")
-    return found.unionByName(by_rare).distinct().join(tested, ["x", "y"], "left_anti")
+    found = outside.join(other, (F.col("band") == F.col("bucket")) & able & once).select("x", "y", "a", "b")
+    # At most RARE nodes hold a rare shingle; shingles of one passage have one list of holders.
+    lists = per_node.select(F.struct("node", "comp", "n").alias("e"), F.explode("rare").alias("s")).groupBy("s.shingle").agg(F.array_sort(F.collect_list("e")).alias("held")).select("held").filter(F.size("held") > 1).distinct()
+    one = lists.select("held", F.posexplode("held").alias("at", "e"))
+    two = one.select("e", F.explode(F.slice("held", F.col("at") + F.lit(2), F.size("held"))).alias("f"))
+    by_rare = two.filter((F.col("e.comp") != F.col("f.comp")) & (F.least("e.n", "f.n") >= part * F.greatest("e.n", "f.n"))).select(F.col("e.node").alias("x"), F.col("f.node").alias("y"), F.col("e.comp").alias("a"), F.col("f.comp").alias("b"))
+    return session.cut(found.unionByName(by_rare).dropDuplicates(["x", "y"]))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -258,17 +267,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = session.cut(texts.mapInArrow(_sketches, "doc_id long, th long, n long, node long, regs binary"))
     nodes = session.cut(rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("regs").alias("regs")))
     band = F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("regs", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS))))
-    bands = nodes.select(band.alias("band"), "node", "n")
+    bands = nodes.select(band.alias("band"), "node")
     full = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    shared = session.cut(bands.join(full, "band"))
+    # Of each node in a bucket with others: its buckets (at most BANDS) and its neighbours over all of them.
+    shared = bands.join(full, "band").groupBy("node").agg(F.collect_list(F.struct("band", "m")).alias("bands"), F.sum("m").alias("c"))
+    grouped = session.cut(nodes.select("node", "n", "rep").join(shared, "node"))
+    each = grouped.select("node", "c", F.explode("bands.band").alias("band"))
     # A bucket's pivot is its most central node, that with the most neighbours over all bands.
-    central = shared.groupBy("node").agg(F.sum("m").alias("c"))
-    pivots = shared.join(central, "node").groupBy("band").agg(F.max_by("node", F.struct("c", "node")).alias("pivot"))
-    pairs = session.cut(shared.join(pivots, "band").filter("node <> pivot").select(F.least("pivot", "node").alias("x"), F.greatest("pivot", "node").alias("y")).distinct())
-    links = session.cut(_links(pairs, nodes, texts, threshold))
-    more = session.cut(_links(_across(shared, components(links), pairs, nodes, texts, threshold), nodes, texts, threshold))
-    comp = session.cut(components(links.unionByName(more)))
+    pivots = session.cut(each.groupBy("band").agg(F.max_by("node", F.struct("c", "node")).alias("pivot")))
+    stars = each.join(pivots, "band").filter("node <> pivot").groupBy("node").agg(F.collect_set("pivot").alias("to"))
+    pairs = stars.select(F.col("node").alias("x"), F.explode("to").alias("y")).withColumns({"a": F.col("x"), "b": F.col("y")})
+    comp = session.cut(components(_links(pairs, nodes, texts, threshold)))
+    grouped = session.cut(grouped.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    main = pivots.join(grouped.select(F.col("node").alias("pivot"), F.col("comp").alias("main")), "pivot").select("band", "main", "pivot")
+    # Further links join components, which few of them are.
+    over = components(_links(_across(grouped, main, texts, threshold), nodes, texts, threshold)).select(F.col("node").alias("comp"), F.col("comp").alias("joined"))
+    comp = grouped.select("node", "comp").join(over, "comp", "left").select("node", F.coalesce("joined", "comp").alias("comp"))
     of_node = nodes.select("node", "least").join(comp, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
+    of_node = session.cut(of_node)
     ids = of_node.groupBy("comp").agg(F.min("least").alias("component_id"))
     of_node = of_node.join(ids, "comp").select("node", "comp", "component_id")
     # Rows without a set would all meet under null: each keeps a key of its own.

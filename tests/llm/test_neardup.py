@@ -69,7 +69,7 @@ def test_large_groups_of_unequal_copies(spark, monkeypatch):
 
 
 def test_chain_of_stars(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 7), (200, 201)], "x long, y long")
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 7), (200, 201)], "a long, b long")
     got = {r.node: r.comp for r in neardup.components(links).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200}
 
