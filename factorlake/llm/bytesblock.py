@@ -107,6 +107,37 @@ def sliding(f: np.ufunc, a: np.ndarray, width: int, fill) -> np.ndarray:
     return f(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def char_grams(body: np.ndarray, offs: np.ndarray, lengths: tuple[int, ...], bits: int, ends: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets (of 2**bits) of all n-grams of characters of a block's texts, A-Z lower-cased, and how many each text has.
+
+    Characters are code points: an n-gram is the bytes from one character's first
+    to before the n-th after it. With ends, each text stands between two blanks.
+    """
+    sizes = np.diff(offs)
+    if ends:
+        wide = sizes + 2
+        start = np.cumsum(wide) - wide
+        text = np.full(int(wide.sum()), 32, np.uint8)
+        text[spread(start + 1, sizes)] = _LOWER[body]
+    else:
+        start, text = offs[:-1], _LOWER[body]
+    chars = np.append(np.flatnonzero((text & 0xC0) != 0x80), len(text))
+    first = np.searchsorted(chars, np.append(start, len(text)))
+    each = [np.maximum(np.diff(first) - n + 1, 0) for n in lengths]
+    count = sum(each)
+    out, place = np.zeros(int(count.sum()), np.int64), np.cumsum(count) - count
+    roll = Rolling(text)
+    for n, own in zip(lengths, each):
+        at = spread(first[:-1], own)
+        out[spread(place, own)] = (roll(chars[at], chars[at + n]) >> np.uint64(64 - bits)).astype(np.int64)
+        place = place + own
+    return out, count
+
+
 def sql_long(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as a signed long, as Spark has it."""
     return x.view(np.int64)

@@ -15,7 +15,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remai
     """(doc_id, text, label) of at most per_class learning rows of either class, least hash first; and how many rows each class has in all.
 
     Learning rows are those outside the held-out fold. Of conflicting labels of
-    one doc_id the larger counts.
+    one doc_id the larger counts; of rows that share a doc_id the one with the
+    least hash of its text does.
     """
     rows = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
@@ -26,4 +27,5 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remai
         picked = one if picked is None else picked.unionByName(one)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # At most 2 * per_class small rows, so the broadcast is bounded.
-    return texts.join(F.broadcast(picked), "doc_id").limit(4 * per_class), sizes
+    sample = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return sample.select("doc_id", "text", "label"), sizes

@@ -1,13 +1,16 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
-Counts of byte 2- and 3-grams (A-Z lower-cased) in 65,536 buckets come from
+Counts of 2- and 3-grams of code points (A-Z lower-cased) in 65,536 buckets come from
 every learning row, summed by Spark for each language. The smoothed
 log-probability matrix (buckets x languages) is broadcast; scoring gathers its
 rows for all n-grams of a batch and sums them by text.
 
 Edge cases: null texts and texts without a letter are `und` with score 0, and
 so is everything when no row has a language to learn; null lang is not learned
-from; ties go to the first language in code point order.
+from; ties go to the first language in code point order; texts of any length are
+scored whole, in blocks of their own; repeated rows count as often as they stand
+and score alike; an empty table gives no rows; extra columns pass in a struct, so
+no name of theirs can clash; over MOST languages raise an error.
 """
 
 from __future__ import annotations
@@ -21,32 +24,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorlake.llm import session
-from factorlake.llm.bytesblock import blocks, spread, utf8
+from factorlake.llm.bytesblock import blocks, char_grams, utf8
 from factorlake.llm.folds import held_out
 
 BITS = 16
 FOLD = (4, 2)
 SMOOTH = 0.5
-_LOWER = np.arange(256, dtype=np.uint32)
-_LOWER[65:91] += 32
+LENGTHS = (2, 3)
+MOST = 2048  # languages; the matrix, which is broadcast, and the sums on the driver grow with them
 
 
 def _buckets(body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all 2- and 3-grams, by text, and how many each text has."""
-    low = _LOWER[body]
-    two = np.maximum(np.diff(offs) - 1, 0)
-    three = np.maximum(np.diff(offs) - 2, 0)
-    a = spread(offs[:-1], two)
-    b = spread(offs[:-1], three)
-    count = two + three
-    start = np.cumsum(count) - count
-    out = np.zeros(int(count.sum()), np.int64)
-    g2 = low[a] << np.uint32(8) | low[a + 1] if len(a) else np.zeros(0, np.uint32)
-    g3 = low[b] << np.uint32(16) | low[b + 1] << np.uint32(8) | low[b + 2] if len(b) else np.zeros(0, np.uint32)
-    shift = np.uint32(32 - BITS)
-    out[spread(start, two)] = (g2 + np.uint32(0x01000000)) * np.uint32(0x9E3779B1) >> shift
-    out[spread(start + two, three)] = g3 * np.uint32(0x85EBCA6B) >> shift
-    return out, count
+    return char_grams(body, offs, LENGTHS, BITS)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,6 +62,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log-probability matrix, log priors) of (text, lang) rows; at most buckets x languages sums reach the driver."""
+    if docs.select("lang").distinct().limit(MOST + 1).count() > MOST:
+        raise ValueError(f"over {MOST} languages: lang is no label of a language")
     counts = docs.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     lang, bucket, n = (counts.column(c).to_numpy() for c in ("lang", "bucket", "n"))
     names = sorted(set(lang.tolist()))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from factorlake.llm import session
 from factorlake.llm.bytesblock import Rolling, blocks, utf8
 from factorlake.llm.folds import held_out
+from factorlake.llm.linear import total
 from factorlake.llm.neardup import words
 
 FOLD = (5, 0)
@@ -83,16 +84,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sums(packed: DataFrame, of, width: int) -> np.ndarray:
     """Sum over all rows of packed features: of(matrix) gives the `width` sums of some of them."""
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(width)
-        for batch in batches:
-            for x in batch.column("x"):
-                out += of(np.frombuffer(x.as_buffer(), np.float64).reshape(-1, WIDTH))
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["s"])
-
-    parts = [np.frombuffer(bytes(r["s"]), np.float64) for r in packed.mapInArrow(kernel, "s binary").collect()]
-    return np.sum(parts, axis=0) if parts else np.zeros(width)
+    return total(packed, lambda x: of(np.frombuffer(x, np.float64).reshape(-1, WIDTH)), width)
 
 
 def _moments(x: np.ndarray) -> np.ndarray:
