@@ -1,13 +1,16 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
 A text is the set of its hashed 4- and 6-grams of code points, A-Z lower-cased, a
-blank at both ends. On a bounded sample of labelled rows the log ratio of document
+blank at both ends; an n-gram that occurs twice, and one that occurs four times, are
+features of their own, as a word that clean texts hold once by chance may mark a
+text that repeats it. On a bounded sample of labelled rows the log ratio of document
 counts in either class is taken for each n-gram; n-grams whose ratio is not clear
 of chance leave. A logistic regression is fitted on the indicator times its ratio,
 the sample reweighted to the classes' true shares: the sample's rows stay in Spark
 as packed blocks, each step's risk and gradient are sums over them, and the driver
-holds numbers by clear n-gram only. Texts are scored whole. Lengths, CLEAR and
-PENALTY were chosen on a fourth of the learning rows, never on the held-out fold.
+holds numbers by clear n-gram only. Texts are scored whole. LENGTHS, LEVELS, CLEAR
+and PENALTY were chosen by cross-validation within the learning rows, never on the
+held-out fold.
 
 Edge cases: null and empty texts score as a text without any known n-gram;
 without rows of both classes every score is 0; texts of any length are scored in
@@ -32,6 +35,7 @@ from factorlake.llm.folds import held_out, labelled
 from factorlake.llm.linear import lbfgs, total
 
 LENGTHS = (4, 6)  # short ones meet inflections, long ones whole words of common parts
+LEVELS = (1, 2, 4)  # occurrences
 BITS = 22
 PER_CLASS = 6000  # bound of the sample, rows of either class
 CLEAR = 3.0  # standard errors
@@ -41,8 +45,37 @@ FOLD = (3, 1)
 CUT = 0.7
 
 
-def _grams(body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return char_grams(body, offs, LENGTHS, BITS, ends=True)
+_MASK = (1 << BITS) - 1
+_ODD = 2654435761  # invertible modulo a power of two
+
+
+def _level(bucket: np.ndarray, k: int) -> np.ndarray:
+    """The bucket of an n-gram's k-th level; one to one."""
+    return (bucket * pow(_ODD, k, 1 << BITS) + 77 * k) & _MASK
+
+
+def _base(bucket: np.ndarray) -> np.ndarray:
+    """For each n-gram's bucket whether one of its levels is in `bucket`."""
+    out = np.zeros(1 << BITS, bool)
+    for k in range(len(LEVELS)):
+        out[((bucket - 77 * k) * pow(_ODD, -k, 1 << BITS)) & _MASK] = True
+    return out
+
+
+def _sets(body: np.ndarray, offs: np.ndarray, base: np.ndarray | None = None) -> np.ndarray:
+    """Sorted text << BITS | bucket of the features of a block's texts, of those n-grams only that base marks."""
+    grams, count = char_grams(body, offs, LENGTHS, BITS, ends=True)
+    if base is None:
+        doc = np.repeat(np.arange(len(count)), count)
+    else:
+        known = np.flatnonzero(base[grams])
+        doc, grams = np.searchsorted(np.cumsum(count), known, side="right"), grams[known]
+    pair, n = np.unique(doc << BITS | grams, return_counts=True)
+    parts = [pair]
+    for k, least in enumerate(LEVELS[1:], 1):
+        more = pair[n >= least]
+        parts.append(more & ~_MASK | _level(more & _MASK, k))
+    return np.unique(np.concatenate(parts))
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,10 +85,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = batch.column("label").to_numpy()
         body, offs = utf8(batch.column("text"))
         for i, j, b, o in blocks(body, offs):
-            grams, count = _grams(b, o)
-            pair = np.unique(np.repeat(np.arange(j - i), count) << BITS | grams)
+            pair = _sets(b, o)
             for c in (0, 1):
-                own, n = np.unique(pair[label[i:j][pair >> BITS] == c] & ((1 << BITS) - 1), return_counts=True)
+                own, n = np.unique(pair[label[i:j][pair >> BITS] == c] & _MASK, return_counts=True)
                 sums[c][own] += n.astype(np.int32)
     for c in (0, 1):
         for at in np.array_split(np.flatnonzero(sums[c]), 32):
@@ -66,18 +98,16 @@ def _packed(bucket: np.ndarray):
     """Kernel: blocks of texts -> labels, how many clear n-grams each text has, and their places in bucket."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        clear = np.zeros(1 << BITS, bool)
+        base, clear = _base(bucket), np.zeros(1 << BITS, bool)
         clear[bucket] = True
         for batch in batches:
             body, offs = utf8(batch.column("text"))
             label = batch.column("label").to_numpy()
             for i, j, b, o in blocks(body, offs):
-                grams, count = _grams(b, o)
-                known = np.flatnonzero(clear[grams])
-                doc = np.searchsorted(np.cumsum(count), known, side="right")
-                pair = np.unique(doc << BITS | grams[known])
+                pair = _sets(b, o, base)
+                pair = pair[clear[pair & _MASK]]
                 size = np.bincount(pair >> BITS, minlength=j - i).astype(np.int32)
-                place = np.searchsorted(bucket, pair & ((1 << BITS) - 1)).astype(np.int32)
+                place = np.searchsorted(bucket, pair & _MASK).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (label[i:j].astype(np.int8), size, place)], names=["label", "size", "place"])
 
     return kernel
@@ -123,17 +153,14 @@ def fit(sample: DataFrame, sizes: dict[int, int]) -> tuple[np.ndarray, np.ndarra
 
 def _scorer(bucket: np.ndarray, weights: np.ndarray, bias: float, with_text: bool):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << BITS, np.float32)
+        base, table = _base(bucket), np.zeros(1 << BITS, np.float32)
         table[bucket] = weights
         for batch in batches:
             body, offs = utf8(batch.column("text"))
             scores = np.zeros(batch.num_rows)
             for i, j, b, o in blocks(body, offs):
-                grams, count = _grams(b, o)
-                known = np.flatnonzero(table[grams])
-                doc = np.searchsorted(np.cumsum(count), known, side="right")
-                pair = np.unique(doc << BITS | grams[known])
-                scores[i:j] = np.bincount(pair >> BITS, table[pair & ((1 << BITS) - 1)], j - i)
+                pair = _sets(b, o, base)
+                scores[i:j] = np.bincount(pair >> BITS, table[pair & _MASK], j - i)
             scores = 1 / (1 + np.exp(-np.clip(scores + bias, -40, 40)))
             rest = [n for n in batch.schema.names if with_text or n != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(scores)], names=[*rest, "score"])

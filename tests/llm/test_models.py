@@ -49,7 +49,10 @@ def test_toxicity_ratios_and_model_against_plain_python(spark):
     sample = spark.createDataFrame(rows, "doc_id long, text string, label int")
     sizes = {0: 800, 1: 80}
     bucket, weights, bias = toxicity.fit(sample, sizes)
-    sets = [{bucket_of(g, toxicity.BITS) for g in plain_grams(t, toxicity.LENGTHS, True)} for _, t, _ in rows]
+    sets = []
+    for _, t, _ in rows:
+        grams = [bucket_of(g, toxicity.BITS) for g in plain_grams(t, toxicity.LENGTHS, True)]
+        sets.append({int(toxicity._level(g, k)) for g in grams for k, least in enumerate(toxicity.LEVELS) if grams.count(g) >= least})
     scale = {}
     for g in set().union(*sets):
         df = [sum(g in s for s, (*_, y) in zip(sets, rows) if y == c) for c in (0, 1)]
