@@ -2,26 +2,28 @@
 
 Components become floor(64 x), so scores are integers. Dimensions are dealt to
 m slices; a slice's part of the inner product is that slice's local score.
-Rows are packed into blocks, and each block of queries meets each block of
-candidates in one task, where all slices' local scores come from small matrix
-products.
-
-Phase 1: from every slice's list of its k best local scores, the pairs met are
-scored in full; the k-th best full score of a query over all blocks is a safe
-cutoff t: at least k candidates reach it. Phase 2: t goes back to the blocks
-with the queries; a candidate that reaches t has a local score of at least t/m
-in some slice, so only those are collected, and of them only the ones whose
-upper bound (known slices, t/m for the rest) reaches t. Phase 3: what remains
-is scored exactly; of a query's candidates that reach t, a block returns its k
-best by score and vec_id, and the best k over blocks are the result.
-
-Block pairs are a stated query set against all rows, in blocks; nothing is
-sampled or capped, and no list grows beyond k for a query and block.
+Candidates are packed into blocks and dealt once to a number of shares that
+follows the cluster, not the data; blocks of queries are sent to every share, and
+a task goes through its share's blocks for one block of queries after another.
+
+Phase 1, local score lists: from every slice's list of a share's k best local
+scores for a query, the candidates met are scored in full. The k-th best of these over
+all shares is a safe cutoff t: at least k candidates reach it. Phase 2: t goes
+back to the shares with the queries; a candidate that reaches t has a local score of at
+least t/m in some slice, so only such entries are collected, slice by slice, and a
+candidate stays while the slices known and, for the others, less than t/m each can
+still reach t. Phase 3: what stays is scored exactly, and of those that reach t a
+share returns a query's k best by score and vec_id; the best k over shares are
+the result.
+
+A stated query set meets all rows, in blocks; nothing is sampled or capped, and
+no list grows beyond k for a query and share.
 
 Edge cases: vectors null, empty or with null or non-finite components take no
 part; vectors of unlike length are compared as if padded with zeros; ties go to
 the smaller vec_id; rows that share a vec_id are rows of their own, and only
-the query's own row is left out; a null vec_id takes no part.
+the query's own row is left out; a null vec_id takes no part; an empty table, or
+one without queries, gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -39,37 +41,47 @@ K = 20
 SCALE = 64
 SLICES = 4
 BLOCK = 2048
-_BLOCK_SCHEMA = "block long, n int, dim int, vec_ids binary, rids binary, data binary"
+_FIELDS = ("dim", "kind", "vec_ids", "rids", "data")
+_BLOCK_SCHEMA = "block long, dim int, kind string, vec_ids binary, rids binary, data binary"
 
 
 def _pack(scale: int, size: int):
-    """Kernel: (vec_id, rid, embedding) -> blocks of up to `size` integer vectors."""
+    """Kernel: (vec_id, rid, embedding) -> blocks of up to `size` integer vectors, in the least integer type that holds them."""
 
-    def made(block: int, ids: list, rids: list, rows: list) -> pa.RecordBatch:
-        dim = max(map(len, rows))
-        data = np.zeros((len(rows), dim), np.int64)
-        for i, r in enumerate(rows):
-            data[i, : len(r)] = r
-        packed = [np.array(ids, np.int64).tobytes(), np.array(rids, np.int64).tobytes(), data.tobytes()]
-        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(rows)], pa.int32()), pa.array([dim], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names=["block", "n", "dim", "vec_ids", "rids", "data"])
+    def made(ids: np.ndarray, rids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        most = int(np.abs(rows).max())
+        kind = next(k for k in ("int8", "int16", "int32", "int64") if most <= np.iinfo(k).max)
+        columns = [pa.array([rids[0]], pa.int64()), pa.array([rows.shape[1]], pa.int32()), pa.array([kind]), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, rids, rows.astype(kind)))]
+        return pa.RecordBatch.from_arrays(columns, names=["block", *_FIELDS])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rids, rows = [], [], []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            dim = max(x[2].shape[1] for x in held)
+            rows = np.concatenate([np.pad(x[2], ((0, 0), (0, dim - x[2].shape[1]))) for x in held])
+            ids, rids = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            held.clear()
+            return made(ids, rids, rows)
+
         for batch in batches:
-            for vec_id, rid, vector in zip(batch.column("vec_id").to_pylist(), batch.column("rid").to_pylist(), batch.column("embedding")):
-                if vec_id is None or not vector.is_valid or not len(vector) or vector.values.null_count:
-                    continue
-                x = vector.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                if not np.isfinite(x).all():
-                    continue
-                ids.append(vec_id)
-                rids.append(rid)
-                rows.append(np.clip(np.floor(scale * x), -(2.0**62), 2.0**62).astype(np.int64))
-                if len(rows) == size:
-                    yield made(rids[0], ids, rids, rows)
-                    ids, rids, rows = [], [], []
-        if rows:
-            yield made(rids[0], ids, rids, rows)
+            vectors = batch.column("embedding")
+            offs = vectors.offsets.to_numpy().astype(np.int64)
+            flat = vectors.values.to_numpy(zero_copy_only=False).astype(np.float64)  # a null is nan
+            wrong = np.append(0, np.cumsum(~np.isfinite(flat)))
+            good = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False) & batch.column("vec_id").is_valid().to_numpy(zero_copy_only=False) & (np.diff(offs) > 0) & (np.diff(wrong[offs]) == 0))
+            for i in range(0, len(good), size):
+                some = good[i : i + size]
+                n = np.diff(offs)[some]
+                inside = np.arange(n.max())[None, :] < n[:, None]
+                rows = np.zeros(inside.shape, np.int64)
+                at = np.concatenate([np.arange(a, b) for a, b in zip(offs[some], offs[some + 1])])
+                rows[inside] = np.clip(np.floor(scale * flat[at]), -(2.0**62), 2.0**62).astype(np.int64)
+                held.append((batch.column("vec_id").to_numpy(zero_copy_only=False)[some].astype(np.int64), batch.column("rid").to_numpy()[some], rows))
+                if sum(len(x[0]) for x in held) >= size:
+                    yield flush()
+        if held:
+            yield flush()
 
     return kernel
 
@@ -78,110 +90,130 @@ class Block:
     def __init__(self, row: dict, side: str):
         self.ids = np.frombuffer(row[f"{side}_vec_ids"], np.int64)
         self.rids = np.frombuffer(row[f"{side}_rids"], np.int64)
-        self.data = np.frombuffer(row[f"{side}_data"], np.int64).reshape(len(self.ids), -1)
+        self.data = np.frombuffer(row[f"{side}_data"], row[f"{side}_kind"]).reshape(len(self.ids), -1)
+        self.most = float(np.abs(self.data.astype(np.float64)).max(initial=0))
+
+
+def local_scores(q: Block, c: Block, slices: int) -> Iterator[np.ndarray]:
+    """(queries x candidates) local scores of one slice after another; floating point only where it holds every sum exactly."""
+    dim = min(q.data.shape[1], c.data.shape[1])
+    bound = q.most * c.most * dim
+    kind = np.float32 if bound < 2.0**24 else np.float64 if bound < 2.0**53 else np.int64
+    for part in np.array_split(np.arange(dim), slices):
+        yield q.data[:, part].astype(kind) @ c.data[:, part].astype(kind).T
 
-    def wide(self, dim: int) -> np.ndarray:
-        return np.pad(self.data, ((0, 0), (0, dim - self.data.shape[1])))
 
+def _best(lists: list[np.ndarray], k: int) -> np.ndarray:
+    """Per row the k largest of the lists' entries, largest first."""
+    all_ = np.concatenate(lists, axis=1)
+    return -np.sort(-all_, axis=1)[:, :k]
 
-def _local(q: Block, c: Block, slices: int) -> list[np.ndarray]:
-    """Local scores of each slice, exact: by doubles where no sum can leave their integers, else by longs."""
-    dim = max(q.data.shape[1], c.data.shape[1])
-    a, b = q.wide(dim), c.wide(dim)
-    small = float(np.abs(a).max()) * float(np.abs(b).max()) * dim < 2.0**52
-    parts = [x for x in np.array_split(np.arange(dim), slices) if len(x)]
-    if small:
-        return [a[:, p].astype(np.float64) @ b[:, p].T.astype(np.float64) for p in parts]
-    return [a[:, p] @ b[:, p].T for p in parts]
+
+_LEAST = -(2**63) + 1
 
 
-def _first(q: Block, c: Block, k: int, slices: int) -> list[np.ndarray]:
-    """Per query, full scores (best first) of the candidates in any slice's k best local scores."""
-    local = _local(q, c, slices)
+def met_scores(q: Block, c: Block, k: int, slices: int) -> np.ndarray:
+    """Phase 1 for one pair of blocks: per query the k best full scores (else _LEAST) of candidates in some slice's k best local ones."""
+    local = list(local_scores(q, c, slices))
     own = q.rids[:, None] == c.rids[None, :]
-    lists = []
+    take = min(k, len(c.ids))
+    met = []
     for p in local:
         masked = np.where(own, p.min() - 1, p)
-        lists.append(np.argpartition(-masked, k - 1, axis=1)[:, :k] if k < p.shape[1] else np.tile(np.arange(p.shape[1]), (len(p), 1)))
-    total = sum(local)
-    out = []
-    for i in range(len(q.ids)):
-        met = np.unique(np.concatenate([x[i] for x in lists]))
-        met = met[~own[i, met]]
-        out.append(np.sort(total[i, met])[::-1][:k].astype(np.int64))
-    return out
-
-
-def _last(q: Block, c: Block, cut: np.ndarray, k: int, slices: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per query, (vec_ids, scores) of its k best candidates with a score of at least its cutoff."""
-    local = _local(q, c, slices)
-    m = len(local)
-    t = cut[:, None]
-    bound, seen = np.zeros(local[0].shape), np.zeros(local[0].shape, bool)
-    for p in local:
-        enough = p >= t / m
-        seen |= enough
-        bound += np.where(enough, p, t / m)
-    maybe = seen & (bound >= t - 1e-6 * np.abs(t)) & (q.rids[:, None] != c.rids[None, :])
-    row, col = np.nonzero(maybe)
-    score = sum(p[row, col] for p in local).astype(np.int64)
+        met.append(np.argpartition(-masked, take - 1, axis=1)[:, :take])
+    at = np.sort(np.concatenate(met, axis=1), axis=1)
+    score = sum(np.take_along_axis(p, at, axis=1).astype(np.int64) for p in local)
+    again = np.append(np.zeros((len(at), 1), bool), at[:, 1:] == at[:, :-1], axis=1)
+    score[again | np.take_along_axis(own, at, axis=1)] = _LEAST
+    return _best([score], k)
+
+
+def reaching(q: Block, c: Block, cut: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phases 2 and 3 for one pair of blocks: (query, candidate, score) of the pairs with a score of at least the query's cutoff."""
+    parts = list(local_scores(q, c, slices))
+    share = (cut.astype(np.float64) / len(parts))[:, None]
+    entries = [p >= share for p in parts]  # what each slice would send
+    row, col = np.nonzero(np.logical_or.reduce(entries))
+    bound = np.zeros(len(row))
+    for p, sent in zip(parts, entries):
+        bound += np.where(sent[row, col], p[row, col], share[row, 0])
+    stay = (bound >= cut[row] - 1e-6 * np.abs(cut[row].astype(np.float64))) & (q.rids[row] != c.rids[col])
+    row, col = row[stay], col[stay]
+    score = sum(p[row, col].astype(np.int64) for p in parts)
     good = score >= cut[row]
-    row, col, score = row[good], col[good], score[good]
-    order = np.lexsort((c.ids[col], -score, row))
-    row, col, score = row[order], col[order], score[order]
-    start = np.searchsorted(row, np.arange(len(q.ids)))
-    end = np.append(start[1:], len(row))
-    return [(c.ids[col[a : min(b, a + k)]], score[a : min(b, a + k)]) for a, b in zip(start, end)]
+    return row[good], col[good], score[good]
 
 
 def _phase_one(k: int, slices: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, q, best = None, None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(q.ids), now)), pa.array(q.rids), pa.array(best.tolist(), pa.list_(pa.int64()))], names=["q_block", "rid", "best"])
+
         for batch in batches:
             for row in batch.to_pylist():
-                q = Block(row, "q")
-                lists = _first(q, Block(row, "c"), k, slices)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q.ids), row["q_block"])), pa.array(q.rids), pa.array([x.tolist() for x in lists], pa.list_(pa.int64()))], names=["q_block", "rid", "best"])
+                if row["q_block"] != now:
+                    if now is not None:
+                        yield out()
+                    now, q = row["q_block"], Block(row, "q")
+                    best = np.full((len(q.ids), 0), _LEAST, np.int64)
+                best = _best([best, met_scores(q, Block(row, "c"), k, slices)], k)
+        if now is not None:
+            yield out()
 
     return kernel
 
 
 def _phase_two(k: int, slices: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, q, cut, held = None, None, None, None
+
+        def keep(found: tuple) -> tuple:
+            row, ids, score = (np.concatenate(x) for x in zip(held, found))
+            order = np.lexsort((ids, -score, row))
+            row, ids, score = row[order], ids[order], score[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            return row[place < k], ids[place < k], score[place < k]
+
+        def out() -> pa.RecordBatch:
+            row, ids, score = held
+            return pa.RecordBatch.from_arrays([pa.array(q.rids[row]), pa.array(q.ids[row]), pa.array(ids), pa.array(score)], names=["rid", "query_id", "vec_id", "score"])
+
         for batch in batches:
             for row in batch.to_pylist():
-                q = Block(row, "q")
-                cuts = {x["rid"]: x["cut"] for x in row["cuts"]}
-                cut = np.array([cuts[r] for r in q.rids.tolist()], np.int64)
-                found = _last(q, Block(row, "c"), cut, k, slices)
-                n = [len(ids) for ids, _ in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q.rids, n)), pa.array(np.repeat(q.ids, n)), pa.array(np.concatenate([x[0] for x in found])), pa.array(np.concatenate([x[1] for x in found]))], names=["rid", "query_id", "vec_id", "score"]
-                )
+                if row["q_block"] != now:
+                    if now is not None:
+                        yield out()
+                    now, q = row["q_block"], Block(row, "q")
+                    cuts = {x["rid"]: x["cut"] for x in row["cuts"]}
+                    cut = np.array([cuts[r] for r in q.rids.tolist()], np.int64)
+                    held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+                c = Block(row, "c")
+                i, j, score = reaching(q, c, cut, slices)
+                held = keep((i, c.ids[j], score))
+        if now is not None:
+            yield out()
 
     return kernel
 
 
-_LEAST = -(2**63) + 1
-
-
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, scale: int = SCALE, slices: int = SLICES, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) for (vec_id, rid, embedding) rows; a query's own row has its rid."""
-    names = ("n", "dim", "vec_ids", "rids", "data")
-    side = lambda df, s: df.mapInArrow(_pack(scale, block), _BLOCK_SCHEMA).select(F.col("block").alias(f"{s}_block"), *(F.col(x).alias(f"{s}_{x}") for x in names))
-    q, c = session.cut(side(queries, "q")), session.cut(side(vectors, "c"))
-    # Block ids, one of thousands of rows each, pair up; the packed rows follow by key.
-    pairs = q.select("q_block").join(c.select("c_block"), how="cross")
-    n = min(4096, max(1, pairs.count()))
-    met = session.cut(pairs.repartition(n, "q_block", "c_block"))
-    both = met.join(c, "c_block").join(q, "q_block").repartition(n, "q_block", "c_block")
-    lists = both.mapInArrow(_phase_one(k, slices), "q_block long, rid long, best array<long>")
-    # Only a query's k best of each block travel; the k-th of their union is the cutoff (none with fewer than k).
-    scores = lists.select("q_block", "rid", F.posexplode_outer("best").alias("pos", "s"))
-    ranked = scores.withColumn("r", F.row_number().over(Window.partitionBy("rid").orderBy(F.col("s").desc_nulls_last()))).filter(F.col("r") <= k)
-    cuts = ranked.groupBy("q_block", "rid").agg(F.coalesce(F.max(F.when(F.col("r") == k, F.col("s"))), F.lit(_LEAST)).alias("cut"))
+    spark = vectors.sparkSession
+    parts = lambda df, most: max(1, min(most, -(-df.count() // block)))
+    shares = parts(vectors, 2 * spark.sparkContext.defaultParallelism)
+    packed = lambda df, n, s: df.repartition(n).mapInArrow(_pack(scale, block), _BLOCK_SCHEMA).select(F.col("block").alias(f"{s}_block"), *(F.col(x).alias(f"{s}_{x}") for x in _FIELDS))
+    c = session.cut(packed(vectors, shares, "c").withColumn("share", F.spark_partition_id()))
+    q = session.cut(packed(queries, parts(queries, 2**20), "q"))
+    # Each block of queries goes to every share. A share's blocks come one after another for each of them.
+    sent = lambda df: df.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).hint("merge").join(c, "share")
+    lists = sent(q).mapInArrow(_phase_one(k, slices), "q_block long, rid long, best array<long>")
+    # A query's lists, k scores of each share, give the cutoff (none with fewer than k candidates).
+    every = F.sort_array(F.flatten(F.collect_list("best")), asc=False)
+    cuts = lists.groupBy("q_block", "rid").agg(F.coalesce(F.get(every, F.lit(k - 1)), F.lit(_LEAST)).alias("cut"))
     by_block = session.cut(cuts.groupBy("q_block").agg(F.collect_list(F.struct("rid", "cut")).alias("cuts")))  # a block's queries, at most `block`
-    again = met.join(c, "c_block").join(q.join(by_block, "q_block"), "q_block").repartition(n, "q_block", "c_block")
-    found = again.mapInArrow(_phase_two(k, slices), "rid long, query_id long, vec_id long, score long")
+    found = sent(q.join(by_block, "q_block")).mapInArrow(_phase_two(k, slices), "rid long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("rid").orderBy(F.col("score").desc(), "vec_id")).cast("int")
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
