@@ -8,13 +8,14 @@ string of least hash inside it, so equal windows meet under equal minimizers and
 a run of windows is one row. (2) Minimizers seen once hold no repeat and leave.
 (3) Runs whose whole byte range is seen again repeat entirely. (4) The other
 runs of one minimizer are cut out of their texts, one copy of each, and every
-shard of them is suffix-sorted by induced sorting; neighbours in the array that
-share `length` bytes are repeats. (5) Where one minimizer has over `hot` distinct
+shard of them is suffix-sorted by induced sorting; positions whose permuted common
+prefix reaches `length` are repeats, once their bytes have been compared. (5) Where one minimizer has over `hot` distinct
 runs, its windows are counted by hash instead, a grouping that has no hot task.
 Nothing is sampled: each window takes part in (3), (4) or (5).
 
 Edge cases: null text is empty; texts under `length` bytes keep all; rows with
 the same doc_id and text are documents of their own and repeat each other;
+texts of any length are one block; an empty table gives no rows;
 extra columns pass through `remove` untouched, whatever their names.
 """
 
@@ -174,7 +175,8 @@ def _repeated_ranges(keyed: DataFrame, length: int, hot: int) -> DataFrame:
     them out once more in the same way, so one exchange serves both.
     """
     runs = keyed.select(*_KEY, "text").filter(F.octet_length("text") >= length).mapInArrow(_runs(length), "__id long, __th long, kg long, whole long, lo int, hi int")
-    shared = runs.groupBy("kg").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("kg")
+    # Written before the join: a join of two exchanges can divide the rows of a minimizer that is everywhere.
+    shared = session.cut(runs.groupBy("kg").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("kg"))
     hits = session.cut(runs.join(shared, "kg"))
     kinds = session.cut(hits.groupBy("kg", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__id", "__th", "lo", "hi")).alias("r")))
     mixed = kinds.groupBy("kg").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
@@ -208,29 +210,35 @@ def _merge(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds `kept` (bytes), `n_bytes` and `removed` (merged ranges)."""
-    for batch in batches:
-        kept, sizes, removed = [], [], []
-        for text, spans in zip(batch.column("text"), batch.column("spans")):
-            raw = (text.as_py() or "").encode()
-            sizes.append(len(raw))
-            gone = _merge(spans.as_py()) if spans.is_valid else []
-            edges = [0, *(x for ab in gone for x in ab), len(raw)]
-            kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            removed.append([{"a": a, "b": b} for a, b in gone])
-        rest = [n for n in batch.schema.names if n not in ("text", "spans")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, _RANGES)], names=[*rest, "kept", "n_bytes", "removed"])
+def _cut_out(lenient: bool):
+    """Kernel: adds `n_bytes`, `removed` (merged ranges) and `kept`: the remaining bytes, or their text without characters that were cut in two."""
 
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, sizes, removed = [], [], []
+            for text, spans in zip(batch.column("text"), batch.column("spans")):
+                raw = (text.as_py() or "").encode()
+                sizes.append(len(raw))
+                gone = _merge(spans.as_py()) if spans.is_valid else []
+                edges = [0, *(x for ab in gone for x in ab), len(raw)]
+                left = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                kept.append(left.decode("utf-8", "ignore") if lenient else left)
+                removed.append([{"a": a, "b": b} for a, b in gone])
+            rest = [n for n in batch.schema.names if n not in ("text", "spans")]
+            made = [pa.array(kept, pa.string() if lenient else pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, _RANGES)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), *made], names=[*rest, "kept", "n_bytes", "removed"])
+
+    return kernel
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """Every row of docs but its text, with __kept (remaining bytes), __n_bytes and __removed (merged byte ranges)."""
+
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT, lenient: bool = False) -> DataFrame:
+    """Every row of docs but its text, with __kept (remaining bytes, or if lenient their text), __n_bytes and __removed (merged byte ranges)."""
     names = docs.columns
     keyed = _keyed(docs, id_col, text_col)
     spans = _repeated_ranges(keyed, length, hot)
     rows = keyed.alias("d").join(spans.alias("s").hint("shuffle_hash"), _same("d", "s"), "left").select("d.*", "s.spans")
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema if f.name != "text"]
-    out = rows.mapInArrow(_cut_out, ", ".join([*fields, "kept binary", "n_bytes long", "removed array<struct<a:int,b:int>>"]))
+    out = rows.mapInArrow(_cut_out(lenient), ", ".join([*fields, f"kept {'string' if lenient else 'binary'}", "n_bytes long", "removed array<struct<a:int,b:int>>"]))
     i, t = names.index(id_col), names.index(text_col)
     columns = [(F.col("__id") if k == i else F.col(f"rest.c{k}")).alias(n) for k, n in enumerate(names) if k != t]
     return out.select(*columns, F.col("kept").alias("__kept"), F.col("n_bytes").alias("__n_bytes"), F.col("removed").alias("__removed"))
@@ -249,21 +257,12 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without what repeats; a character cut in two goes with its removed part."""
+    """Pipeline stage: texts without what repeats; a character cut in two goes with its removed part.
+
+    Null texts become empty, and n_chars, where there is one, follows the text. Every row stays, also one of which nothing is left.
+    """
     session.bounded_batches(spark)
-    out = remove(docs)
-    text = F.when(F.size("__removed") == 0, F.decode("__kept", "UTF-8")).otherwise(_lenient("__kept"))
-    out = out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    out = remove(docs, lenient=True).withColumn("text", F.col("__kept"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
-
-
-def _lenient(name: str):
-    """Text of bytes; sequences that are not UTF-8 are left out."""
-
-    @F.pandas_udf("string")
-    def decode(column):
-        return column.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    return decode(F.col(name))
-
-

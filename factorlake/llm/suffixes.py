@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from factorlake.llm.bytesblock import Rolling
+from factorlake.llm.bytesblock import Rolling, spread
 
 END, BREAK, FIRST = 0, 1, 2  # the closing symbol, the one between strings, the first byte's
 
@@ -141,49 +141,72 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
 _CODES = np.random.Generator(np.random.PCG64(77)).integers(0, 2**63, 258, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def permuted_common_prefixes(text: np.ndarray, array: np.ndarray, at: np.ndarray, cap: int) -> np.ndarray:
-    """For each position in `at`, symbols it shares with the suffix before it in the array, up to cap.
+def permuted_common_prefixes(text: np.ndarray, before: np.ndarray, at: np.ndarray, cap: int) -> np.ndarray:
+    """For each position in `at`, in text order, how many symbols it shares with the suffix before it in the array, up to cap.
 
-    Positions near the end of the text have cap cut to what is left there.
+    before holds that suffix for every position (-1: none). Where it is 0 the
+    prefix is 0; near the end of the text cap is cut to what is left there. Equality is
+    by rolling hash; halving steps find the length.
     """
-    before = np.full(len(text), -1, np.int64)
-    before[array[1:]] = array[:-1]
     other = before[at]
     roll = Rolling(text, _CODES)
     most = np.minimum(cap, len(text) - np.maximum(at, other))
     most[other < 0] = 0
     shared = np.zeros(len(at), np.int64)
+    # The most that may be shared first; then, for prefixes that are shorter, the powers of two from the top.
+    whole = np.flatnonzero(most > 0)
+    a, b, n = at[whole], other[whole], most[whole]
+    done = roll(a, a + n) == roll(b, b + n)
+    shared[whole[done]] = n[done]
+    rest = whole[~done]
     step = 1 << (int(cap).bit_length() - 1)
-    whole = np.flatnonzero(most == cap)
-    shared[whole[roll(at[whole], at[whole] + cap) == roll(other[whole], other[whole] + cap)]] = cap
-    rest = np.flatnonzero((shared < cap) & (most > 0))
     while step and len(rest):
-        try_ = shared[rest] + step
-        fit = np.flatnonzero(try_ <= most[rest])
-        a, b, k = at[rest[fit]], other[rest[fit]], shared[rest[fit]]
-        same = roll(a + k, a + try_[fit]) == roll(b + k, b + try_[fit])
-        shared[rest[fit[same]]] += step
+        fit = rest[shared[rest] + step <= most[rest]]
+        a, b, k = at[fit], other[fit], shared[fit]
+        same = roll(a + k, a + k + step) == roll(b + k, b + k + step)
+        shared[fit[same]] += step
         step >>= 1
     return shared
 
 
+def same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether text[a : a + length] and text[b : b + length] agree, symbol by symbol; a ascends.
+
+    Neighbouring pairs at one distance overlap in all but a symbol, so each run of
+    them is compared once over its whole stretch.
+    """
+    if not len(a):
+        return np.zeros(0, bool)
+    new = np.append(True, (np.diff(a) != 1) | (np.diff(b) != 1))
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(a))) + length - 1
+    x = spread(a[first], size)
+    y = spread(b[first], size)
+    wrong = np.append(0, np.cumsum(text[x] != text[y]))
+    at = np.arange(len(a)) + (np.cumsum(new) - 1) * (length - 1)
+    return wrong[at + length] == wrong[at]
+
+
 def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
-    """Per string, the starts of its `length`-byte substrings that start anywhere else too."""
+    """Per string, the starts of its `length`-byte substrings that start anywhere else too.
+
+    A start repeats when it shares `length` symbols with the suffix before or
+    after it in the array: permuted common prefixes, whose finds are compared byte by byte.
+    """
     text, starts, sizes = join(strings)
     array = suffix_array(text, length)
     windows = np.maximum(sizes - length + 1, 0)
     owner = np.repeat(np.arange(len(strings)), windows)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = starts[owner] + offset
-    whole = np.zeros(len(text), bool)
-    whole[at] = True
+    full = np.zeros(len(text), bool)
+    full[at] = True
     before = np.full(len(text), -1, np.int64)
     before[array[1:]] = array[:-1]
-    other = before[at]
-    able = np.flatnonzero((other >= 0) & whole[np.maximum(other, 0)])
-    roll = Rolling(text, _CODES)
-    a, b = at[able], other[able]
-    same = roll(a, a + length) == roll(b, b + length)
+    able = at[(before[at] >= 0) & full[np.maximum(before[at], 0)]]
+    a = able[permuted_common_prefixes(text, before, able, length) >= length]
+    b = before[a]
+    same = same_bytes(text, a, b, length)
     again = np.zeros(len(text), bool)
     again[a[same]] = True
     again[b[same]] = True
