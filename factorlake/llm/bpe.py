@@ -1,20 +1,24 @@
 """Byte-level BPE encoding and decoding with content-defined chunk reuse.
 
-A text is cut where its content says so: before each ASCII white space that
-follows another character. A chunk is known by its rolling hash and length, so
-chunks that documents share are encoded once in a task and their ids reused.
-The pre-tokenizer never spans such a cut, unless the character before it is
-white space beyond ASCII; no cut is made there, so a run of white space of any
-kind is never divided. Which characters those are is asked of the pre-tokenizer
-itself. So all joins hold, whatever merges a run needs; this replaces a repair
-that re-encodes chunks as one and glues them. Special tokens' strings cut a text
-before all else and have their own id, as in the library.
-
-The reuse table lives in a worker and starts anew at a fixed number of entries:
-sharing it between workers would shuffle more ids than the texts have bytes.
+Chunks end where a rolling hash of the last WINDOW bytes says so, every MEAN bytes
+on average, so passages that documents share fall into the same chunks wherever
+they stand. Such a cut mostly falls within a word, so its join is repaired: what lies
+between the nearest places on either side where the pre-tokenizer surely ends a
+piece is re-encoded from the two neighbours' real bytes; a chunk without such a
+place is glued to the next one, until there is one. From there on the ids agree with those of the whole
+text. Such places are the starts of ASCII white space after another character,
+unless that is white space beyond ASCII, after which the pre-tokenizer goes on;
+which characters those are is asked of the pre-tokenizer itself. Special tokens'
+strings cut a text before all else and have their own id, as in the library.
+
+Chunks and joins are known by their bytes, so a hit is exact. The table lives in a
+worker, in two generations of bounded bytes: what has not been met since the last change of
+generation leaves. Sharing it between workers would shuffle more ids than the texts have bytes.
 
 Edge cases: null text is empty and has no ids; rows are independent, so order,
-ties and repeated rows do not matter; other columns are kept as they are.
+ties and repeated rows do not matter; texts of any length are encoded whole, in a
+block of their own; an empty table gives no rows; other columns are kept as they
+are, also one named like a column of this module's own.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from __future__ import annotations
 import functools
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +34,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorlake.llm import session
-from factorlake.llm.bytesblock import Rolling, blocks, mix, spread, utf8
+from factorlake.llm.bytesblock import Rolling, blocks, spread, utf8
 
 MODEL = "byte_bpe_50k.json"
-ENTRIES = 250_000
+WINDOW = 16  # bytes that decide on a cut
+MEAN = 64  # bytes between cuts, on average
+TABLE_BYTES = 12 << 20  # of one generation: chunks and ids
+_BLANKS = frozenset(b"\t\n\v\f\r ")
 _GAP = np.zeros(256, bool)
-_GAP[[9, 10, 11, 12, 13, 32]] = True
+_GAP[list(_BLANKS)] = True
 
 
 def model_path(name: str = MODEL) -> str:
@@ -46,7 +54,7 @@ def model_path(name: str = MODEL) -> str:
 class ChunkEncoder:
     """Encodes blocks of texts; holds the ids of the chunks seen so far."""
 
-    def __init__(self, path: str, entries: int = ENTRIES):
+    def __init__(self, path: str, mean: int = MEAN, table_bytes: int = TABLE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -55,52 +63,66 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.special = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.sizes = TokenBytes(path).size
-        self.entries = entries
+        self.mean, self.limit = mean, table_bytes
         self.spaces: dict[str, bool] = {}  # character -> whether it is white space
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[int, int] = {}  # rolling hash -> entry
-        self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+        self.young: dict[bytes, bytes] = {}  # chunk -> ids, as 32-bit numbers
+        self.old: dict[bytes, bytes] = {}
+        self.held = 0
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_pieces(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
-        """Ids of the byte ranges. Ranges that begin with white space and end in another ASCII byte are
-        encoded end to end, as the joins between them are cuts, and their ids dealt back by size."""
-        body = np.frombuffer(raw, np.uint8)
-        last = body[ends - 1]
-        plain = _GAP[body[starts]] & ~_GAP[last] & (last < 0x80)
-        out: list = [None] * len(starts)
-        run = np.flatnonzero(plain)
-        for i in range(0, len(run), 2000):
-            some = run[i : i + 2000]
-            ids = self.encode([b"".join(raw[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist())).decode()])[0]
-            so_far = np.cumsum(self.sizes[ids])
-            at = np.searchsorted(so_far, np.cumsum(ends[some] - starts[some])) + 1
-            for k, a, b in zip(some.tolist(), [0, *at[:-1].tolist()], at.tolist()):
-                out[k] = ids[a:b]
-        rest = np.flatnonzero(~plain)
-        for k, ids in zip(rest.tolist(), self.encode([raw[starts[k] : ends[k]].decode() for k in rest.tolist()]) if len(rest) else ()):
-            out[k] = ids
-        return out
-
-    def _add(self, keys: list[int], found: list[list[int]]) -> None:
-        for key, ids in zip(keys, found):
-            n, at = len(self.known), self.used
-            if n == len(self.start):
-                self.start, self.size = (np.append(x, np.zeros(n, np.int64)) for x in (self.start, self.size))
-            while at + len(ids) > len(self.ids):
-                self.ids = np.append(self.ids, np.zeros(len(self.ids), np.int32))
-            self.ids[at : at + len(ids)] = ids
-            self.start[n], self.size[n] = at, len(ids)
-            self.used += len(ids)
-            self.known[key] = n
+    def encode_new(self, chunks: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """(chunk, ids). Chunks that begin with ASCII white space and end in a character that is none are
+        encoded end to end, as the joins between them are pieces' ends, and their ids dealt back by size."""
+        plain = [c[0] in _BLANKS and c[-1] not in _BLANKS and (c[-1] < 0x80 or not self._is_space(c[-4:].decode("utf-8", "ignore")[-1])) for c in chunks]
+        run = [c for c, p in zip(chunks, plain) if p]
+        for i in range(0, len(run), 1000):
+            some = run[i : i + 1000]
+            # The library is fastest on strings of about a thousand characters.
+            ids = np.array(list(chain.from_iterable(self.encode([b"".join(some[k : k + 20]).decode() for k in range(0, len(some), 20)]))), np.int32)
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(c) for c in some])) + 1
+            raw = ids.tobytes()
+            yield from ((c, raw[4 * a : 4 * b]) for c, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist()))
+        rest = [c for c, p in zip(chunks, plain) if not p]
+        if rest:
+            yield from zip(rest, (np.array(ids, np.int32).tobytes() for ids in self.encode([c.decode() for c in rest])))
+
+    def ids_of(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of each chunk, each new one encoded once."""
+        found = [self.young.get(c) for c in chunks]
+        missing = dict.fromkeys(c for c, ids in zip(chunks, found) if ids is None)
+        if not missing:
+            return found
+        kept = {c: self.old[c] for c in missing if c in self.old}
+        kept.update(self.encode_new([c for c in missing if c not in kept]))
+        self.held += sum(len(c) + len(ids) for c, ids in kept.items())
+        self.young.update(kept)
+        found = [kept[c] if ids is None else ids for c, ids in zip(chunks, found)]
+        if self.held > self.limit:
+            self.old, self.young, self.held = self.young, {}, 0
+        return found
 
     def cuts(self, body: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Starts of chunks: of texts, of white space after another character, of special strings and what follows them."""
+        """Ascending places where chunks and joins begin: of all pieces' ends, those next to a cut by hash, and texts' and special strings' own."""
+        sure, locked = self.ends(body, offs)
+        if len(body) < WINDOW:
+            return np.flatnonzero(locked[:-1])
+        at = np.arange(WINDOW, len(body) + 1)
+        by_hash = Rolling(body)(at - WINDOW, at) % np.uint64(self.mean) == 0
+        early = spread(offs[:-1], np.minimum(np.diff(offs), WINDOW))  # where the window would reach into the text before
+        by_hash[early[early >= WINDOW] - WINDOW] = False
+        cut = at[by_hash]
+        place = np.flatnonzero(sure)
+        before = place[np.searchsorted(place, cut, side="right") - 1]
+        after = place[np.minimum(np.searchsorted(place, cut), len(place) - 1)]
+        locked[before] = True
+        locked[after] = True
+        return np.flatnonzero(locked[:-1])
+
+    def ends(self, body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pre-tokenizer surely begins a new piece: at texts, at white space after another character, at special strings
+        and at what follows them; and which of these are texts or special strings."""
         first = np.zeros(len(body) + 1, bool)
         gap = _GAP[body]
         first[1:-1] = gap[1:] & ~gap[:-1]
@@ -122,7 +144,7 @@ class ChunkEncoder:
             k = next(k for k in range(1, 5) if raw[d - k] & 0xC0 != 0x80)
             if self._is_space(raw[d - k : d].decode()):
                 first[d] = False
-        return np.flatnonzero(first[:-1])
+        return first, locked
 
     def _is_space(self, char: str) -> bool:
         """Whether the pre-tokenizer takes char as white space: it then does not end a piece between char and two blanks."""
@@ -136,26 +158,11 @@ class ChunkEncoder:
         if not len(body):
             return np.zeros(0, np.int32), np.zeros(len(offs) - 1, np.int64)
         starts = self.cuts(body, offs)
-        ends = np.append(starts[1:], len(body))
-        keys = mix(Rolling(body)(starts, ends) + (ends - starts).astype(np.uint64))
-        unique, at, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.known) + len(unique) > self.entries:
-            self.clear()
-        listed = unique.tolist()
-        entry = np.fromiter((self.known.get(k, -1) for k in listed), np.int64, len(listed))
-        new = np.flatnonzero(entry < 0)
-        if len(new):
-            raw = body.tobytes()
-            for i in range(0, len(new), 20_000):
-                some = new[i : i + 20_000]
-                s = at[some]
-                self._add([listed[k] for k in some], self.encode_pieces(raw, starts[s], ends[s]))
-            entry[new] = np.arange(len(self.known) - len(new), len(self.known))
-        entry = entry[back]
-        sizes = self.size[entry]
-        ids = self.ids[spread(self.start[entry], sizes)]
+        raw, at = body.tobytes(), starts.tolist()
+        found = self.ids_of([raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])])
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         so_far = np.append(0, np.cumsum(sizes))
-        return ids, np.diff(so_far[np.append(np.searchsorted(starts, offs[:-1]), len(starts))])
+        return np.frombuffer(b"".join(found), np.int32), np.diff(so_far[np.append(np.searchsorted(starts, offs[:-1]), len(starts))])
 
 
 @functools.cache
@@ -253,6 +260,6 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: the tokens of each document, as digests and counts."""
+    """Last pipeline stage: the tokens of each document, as digests and counts. Null texts are empty; repeated rows give repeated results."""
     session.bounded_batches(spark)
     return digests(docs)

@@ -19,7 +19,7 @@ def test_ids_and_text_equal_the_library():
     lib = Tokenizer.from_file(bpe.model_path())
     many = texts()
     body, offs = bpe.utf8(pa.array(many))
-    enc, table = bpe.ChunkEncoder(bpe.model_path(), entries=3000), bpe.TokenBytes(bpe.model_path())
+    enc, table = bpe.ChunkEncoder(bpe.model_path(), mean=4, table_bytes=20_000), bpe.TokenBytes(bpe.model_path())
     for i, j, b, o in bpe.blocks(body, offs, 4000):
         ids, sizes = enc.block(b, o)
         for text, own in zip(many[i:j], np.split(ids, np.cumsum(sizes)[:-1])):
@@ -41,6 +41,38 @@ def test_runs_of_white_space_beyond_ascii():
         assert own.tolist() == lib.encode(text, add_special_tokens=False).ids, ascii(text)
 
 
+def test_joins_at_any_boundary():
+    lib, rnd = Tokenizer.from_file(bpe.model_path()), random.Random(21)
+    passage = " ".join(rnd.choice(["the", "unbelievable", "café", "naïve", "日本語", "x1y2", "don't", "...", "  "]) + rnd.choice(["", ",", "\n", "\u00a0"]) for _ in range(120))
+    many = ["".join(rnd.choice(["é", "word", " ", "\n", "1", "日", "'s"]) for _ in range(rnd.randint(0, 90))) + passage[rnd.randint(0, 200) :] for _ in range(150)]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in many]
+    body, offs = bpe.utf8(pa.array(many))
+    for mean in (1, 2, 3, 16, 64, 1000):
+        enc = bpe.ChunkEncoder(bpe.model_path(), mean=mean)
+        for _ in range(2):  # the second time out of the table
+            ids, sizes = enc.block(body, offs)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+
+
+def test_shared_passages_are_encoded_once():
+    rnd = random.Random(22)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(2000))
+    enc = bpe.ChunkEncoder(bpe.model_path())
+    enc.block(*bpe.utf8(pa.array([f"{word()} {passage}"])))
+    seen = []
+    enc.encode_new = lambda chunks, real=enc.encode_new: seen.extend(chunks) or real(chunks)
+    enc.block(*bpe.utf8(pa.array([f"other {word()} {word()} start {passage} and end"])))
+    assert 0 < sum(map(len, seen)) < 1000
+
+
+def test_very_long_text(spark):
+    text = "long words and more " * 200_000
+    got = bpe.digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.n_tokens == len(Tokenizer.from_file(bpe.model_path()).encode(text, add_special_tokens=False).ids)
+    assert got.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_query_columns(spark):
     rows = [(1, "Hello  world", 1), (2, None, 2), (3, "", 3), (1, "Hello  world", 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
