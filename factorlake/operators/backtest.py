@@ -77,11 +77,17 @@ def turnover(w: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return moves.select(*keys, "symbol", F.explode(F.array_compact("m")).alias("x")).select(*keys, "x.timestamp", "symbol", "x.turnover")
 
 
+def latest_spreads(spreads: DataFrame) -> DataFrame:
+    """(symbol, spread_bps): each symbol's last known spread by timestamp; the larger of several at one time, or where there is no timestamp."""
+    order = F.struct("timestamp", "spread_bps") if "timestamp" in spreads.columns else F.col("spread_bps")
+    return spreads.filter(F.col("symbol").isNotNull() & F.col("spread_bps").isNotNull()).groupBy("symbol").agg(F.max_by("spread_bps", order).alias("spread_bps"))
+
+
 def execution_costs(moved: DataFrame, config: BacktestConfig, spreads: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, timestamp, turnover, execution_cost). spreads: (symbol, spread_bps), one row a symbol."""
+    """(keys, timestamp, turnover, execution_cost). spreads: (symbol, spread_bps), of which each symbol's latest counts."""
     bps: Column = F.lit(config.base_bps)
     if spreads is not None and config.spread_multiplier > 0:
-        moved = moved.join(spreads.select("symbol", "spread_bps"), "symbol", "left")
+        moved = moved.join(latest_spreads(spreads), "symbol", "left")
         bps = bps + F.greatest(F.coalesce("spread_bps", F.lit(0.0)), F.lit(0.0)) * config.spread_multiplier
     cost = F.col("turnover") * bps / F.lit(10_000.0)
     return moved.groupBy(*keys, "timestamp").agg(F.sum("turnover").alias("turnover"), F.sum(cost).alias("execution_cost"))
@@ -91,13 +97,17 @@ def as_of(left: DataFrame, right: DataFrame, value: str, keys: tuple[str, ...] =
     """left with the last non-null `value` of right at or before each row's timestamp, per `by`.
 
     Both sides meet in one sort: right's rows stand first at equal timestamps,
-    and a running last-non-null carries them forward. right is shared by all
-    keys, so left's keys travel as payload and one pass serves every key.
+    and a running last-non-null carries them forward. Of several of right's
+    values at one time the largest counts. right is shared by all keys, so where
+    left has keys its distinct times are looked up once and joined back: no
+    symbol's rows of all keys meet in one task.
     """
+    if keys:
+        return left.join(as_of(left.select("timestamp", by).distinct(), right, value, (), by), ["timestamp", by])
     a = left.withColumns({"__v": F.lit(None).cast("double"), "__side": F.lit(1)})
     b = right.filter(F.col(value).isNotNull()).select("timestamp", by, F.col(value).alias("__v")).withColumn("__side", F.lit(0))
     both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy("timestamp", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(by).orderBy("timestamp", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last("__v", ignorenulls=True).over(w)).filter("__side = 1").drop("__v", "__side")
 
 
@@ -145,13 +155,12 @@ def metrics(r: DataFrame, config: BacktestConfig, keys: tuple[str, ...] = ()) ->
 def factor_rows(wide: DataFrame, factors: list[str], evaluation: DataFrame, horizon: int) -> DataFrame:
     """(factor, timestamp, symbol, value, direction, target) of each evaluated factor."""
     long = long_panel(wide.select("timestamp", "symbol", *factors, F.col(f"fwd_return_{horizon}").alias("target")).filter("target is not null"), factors)
-    long = long.withColumn("value", F.round("value", 10))
     return long.join(F.broadcast(evaluation.filter(F.col("horizon") == horizon).select("factor", "direction")), "factor")
 
 
-def sweep(wide: DataFrame, factors: list[str], evaluation: DataFrame, config: BacktestConfig) -> DataFrame:
-    """Metrics of every evaluated factor at the config's horizon, in one job; error is null, as a factor without rows is not evaluated."""
+def sweep(wide: DataFrame, factors: list[str], evaluation: DataFrame, config: BacktestConfig, spreads: DataFrame | None = None, rates: DataFrame | None = None) -> DataFrame:
+    """Metrics, after all costs, of every evaluated factor at the config's horizon, in one job; error says where a factor has no rows."""
     rows = factor_rows(wide, factors, evaluation, config.horizon)
-    m = metrics(returns(rows, config, ("factor",)), config, ("factor",))
+    m = metrics(returns(rows, config, ("factor",), spreads, rates), config, ("factor",))
     head = evaluation.filter(F.col("horizon") == config.horizon).select("factor", "horizon", "direction", "score", "pooled_spearman", "quantile_spread", "observations")
     return head.join(m, "factor", "left").withColumn("error", F.when(F.col("periods").isNull(), F.lit("no rows")))

@@ -23,10 +23,10 @@ def observations(wide: DataFrame, factors: list[str], horizons: tuple[int, ...],
     parts = [
         long_panel(wide.select("timestamp", "symbol", *factors, F.col(f"fwd_return_{h}").alias("target")).filter("target is not null"), factors).withColumn("horizon", F.lit(h)) for h in horizons
     ]
-    # Values that differ by float noise alone are ties.
-    rows = reduce(DataFrame.unionByName, parts).withColumn("value", F.round("value", 10))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*KEYS))
-    return rows.withColumn("n", n).filter(F.col("n") >= min_observations).select(*KEYS, "timestamp", "symbol", "value", "target", "n")
+    rows = reduce(DataFrame.unionByName, parts)
+    # One row for each horizon and factor.
+    counts = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_observations)
+    return rows.join(F.broadcast(counts), list(KEYS)).select(*KEYS, "timestamp", "symbol", "value", "target", "n")
 
 
 def _rank_correlations(rows: DataFrame, *keys: str) -> DataFrame:
@@ -66,7 +66,7 @@ def quantile_spread(rows: DataFrame) -> DataFrame:
 
 
 def evaluate(wide: DataFrame, factors: list[str], horizons: tuple[int, ...], min_observations: int = 30, min_assets: int = 3) -> DataFrame:
-    """One row for each horizon and factor with enough observations."""
+    """One row for each horizon and factor with enough observations, by horizon, best score first."""
     rows = observations(wide, factors, horizons, min_observations).persist()
     keys = list(KEYS)
     out = pooled(rows).join(cross_section_summary(cross_section_ic(rows, min_assets)), keys, "left").join(time_series_ic(rows, min_observations), keys, "left").join(quantile_spread(rows), keys, "left")
@@ -75,9 +75,11 @@ def evaluate(wide: DataFrame, factors: list[str], horizons: tuple[int, ...], min
         "factor", "horizon", "observations", "pooled_pearson", "pooled_spearman",
         F.coalesce("cs_ic", "pooled_spearman").alias("mean_cross_section_ic"), "ic_ir", "positive_cross_section_ic_ratio", "mean_time_series_ic", "quantile_spread",
         F.when(spearman >= 0, 1).otherwise(-1).alias("direction"), (F.abs(spearman) * F.sqrt(F.col("observations").cast("double"))).alias("score"),
-    )
+    ).orderBy("horizon", F.col("score").desc_nulls_last(), "factor")
 
 
 def select_top(evaluation: DataFrame, horizon: int) -> DataFrame:
-    """One row: the best score of a horizon, ties by name."""
-    return evaluation.filter(F.col("horizon") == horizon).orderBy(F.col("score").desc_nulls_last(), "factor").limit(1)
+    """One row: the best score of a horizon, ties by name. Reading it fails where no factor was evaluated at that horizon."""
+    best = evaluation.filter(F.col("horizon") == horizon).orderBy(F.col("score").desc_nulls_last(), "factor").limit(1)
+    one = best.agg(F.first(F.struct(*best.columns)).alias("best"))
+    return one.select(F.coalesce("best", F.raise_error(F.lit(f"no factor was evaluated at horizon {horizon}"))).alias("best")).select("best.*")

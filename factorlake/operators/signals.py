@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorlake.functions.numerics import average_rank, clamp
+from factorlake.functions.numerics import clamp
 from factorlake.operators.factors import long_panel
 
 THEMES = {"mom_": "trend", "ma_gap_": "trend", "range_position_": "trend", "reversal_": "reversal", "volume_": "volume", "amihud_": "liquidity", "volatility_": "volatility", "ml_": "machine learning"}
@@ -35,9 +35,11 @@ def radar(wide: DataFrame, factors: list[str], backtests: DataFrame, min_history
     """The `limit` strongest signals of each symbol; a limit of 0 keeps all."""
     long = long_panel(wide.select("timestamp", "symbol", *factors), factors)
     keys = ("symbol", "factor")
-    of = Window.partitionBy(*keys)
-    ranked = long.select("timestamp", *keys, "value", average_rank("value", *keys).alias("r"), F.count(F.lit(1)).over(of).alias("n"))
-    latest = ranked.filter(F.col("n") >= min_history).groupBy(*keys).agg(F.max_by(F.struct("timestamp", "value", "r", "n"), "timestamp").alias("b")).select(*keys, "b.*")
+    # The latest value's rank is a count of smaller and equal ones: no history is sorted.
+    last = long.groupBy(*keys).agg(F.max_by(F.struct("timestamp", "value"), "timestamp").alias("b"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_history)
+    met = long.select(*keys, F.col("value").alias("x")).join(last, list(keys))
+    rank = F.sum((F.col("x") < F.col("b.value")).cast("long")) + (F.sum((F.col("x") == F.col("b.value")).cast("long")) + 1) / F.lit(2.0)
+    latest = met.groupBy(*keys, "b", "n").agg(rank.alias("r")).select(*keys, "b.*", "r", "n")
     d = latest.withColumn("percentile", F.col("r") / F.col("n")).join(best_backtests(backtests).select("factor", "direction", "sharpe", "score", "total_return", "max_drawdown", "win_rate", "horizon"), "factor")
     p, up = F.col("percentile"), F.col("direction") >= 0
     side = F.when(up, F.when(p >= 0.8, "BULLISH").when(p <= 0.2, "BEARISH")).otherwise(F.when(p <= 0.2, "BULLISH").when(p >= 0.8, "BEARISH"))

@@ -161,8 +161,8 @@ def queries() -> dict:
         "onchain_context": lambda s, d: rounded(chain(s, d).drop("interpretation")),
         "source_health": lambda s, d: rounded(health(s, d).drop("message")),
         "source_health_overall": lambda s, d: context.overall_status(health(s, d), "okx"),
-        "signal_radar": lambda s, d: rounded(radar(s, d).drop("total_return", "max_drawdown", "interpretation"), 5),
-        "decision_cards": lambda s, d: rounded(_cards(s, d).drop("evidence"), 5),
+        "signal_radar": lambda s, d: rounded(radar(s, d).drop("interpretation"), 5, ("total_return", "max_drawdown")),
+        "decision_cards": lambda s, d: rounded(_cards(s, d), 5),
         "candle_payloads": lambda s, d: rounded(_candles(s, d)),
         "pivot_weights": _pivot,
         "semi_join_fold": _semi,
@@ -216,7 +216,7 @@ def _radar_sql(backtests: str, factors_: list[str], long: str) -> str:
     return f"""rk AS (SELECT timestamp, symbol, factor, value, {S.avg_rank('value', 'symbol, factor')} AS r, count(*) OVER (PARTITION BY symbol, factor) AS n FROM {long}),
 lt AS (SELECT * FROM rk WHERE n >= 20 QUALIFY row_number() OVER (PARTITION BY symbol, factor ORDER BY timestamp DESC) = 1),
 bb_ AS (SELECT * FROM {backtests} WHERE error IS NULL OR error = '' QUALIFY row_number() OVER (PARTITION BY factor ORDER BY sharpe DESC NULLS LAST, score DESC NULLS LAST, horizon) = 1),
-rj AS (SELECT lt.*, r / n AS p, direction, sharpe, score, win_rate, max_drawdown, horizon FROM lt JOIN bb_ USING (factor)),
+rj AS (SELECT lt.*, r / n AS p, direction, sharpe, score, win_rate, total_return, max_drawdown, horizon FROM lt JOIN bb_ USING (factor)),
 rc AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.45::DOUBLE * least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(sharpe, 0) / 3.0::DOUBLE)) + 0.25::DOUBLE * least(1.0::DOUBLE, abs(coalesce(score, 0)) / 5.0::DOUBLE)
    + 0.2::DOUBLE * coalesce(CASE WHEN win_rate IS NOT NULL THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, (win_rate - 0.45::DOUBLE) / 0.25::DOUBLE)) END, 0.5::DOUBLE) + 0.1::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - least(abs(coalesce(max_drawdown, 0)) / 0.35::DOUBLE, 1.0::DOUBLE)))) AS confidence,
    CASE WHEN (direction >= 0 AND p >= 0.8) OR (direction < 0 AND p <= 0.2) THEN 'BULLISH' WHEN (direction >= 0 AND p <= 0.2) OR (direction < 0 AND p >= 0.8) THEN 'BEARISH' ELSE 'NEUTRAL' END AS signal FROM rj),
@@ -227,14 +227,15 @@ rad AS (SELECT *, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS ts_text, CASE {the
 
 
 def _cards_sql() -> str:
-    fixed = "fx AS (SELECT * FROM (VALUES ('mom_5', 1, 2.4::DOUBLE, 3.0::DOUBLE, -0.1::DOUBLE, 0.6::DOUBLE, 1, NULL), ('reversal_5', 1, 1.4, 2.0, -0.2, 0.55, 1, ''), ('volume_zscore_10', -1, 0.9, 1.0, -0.3, NULL, 1, NULL), ('mom_5', 1, 0.4, 9.0, -0.1, 0.6, 5, NULL), ('mom_3', 1, 9.0, 9.0, -0.1, 0.6, 1, 'failed')) t(factor, direction, sharpe, score, max_drawdown, win_rate, horizon, error))"
+    fixed = "fx AS (SELECT * FROM (VALUES ('mom_5', 1, 2.4::DOUBLE, 3.0::DOUBLE, 0.4::DOUBLE, -0.1::DOUBLE, 0.6::DOUBLE, 1, NULL), ('reversal_5', 1, 1.4, 2.0, 0.2, -0.2, 0.55, 1, ''), ('volume_zscore_10', -1, 0.9, 1.0, 0.1, -0.3, NULL, 1, NULL), ('mom_5', 1, 0.4, 9.0, 0.4, -0.1, 0.6, 5, NULL), ('mom_3', 1, 9.0, 9.0, 0.4, -0.1, 0.6, 1, 'failed')) t(factor, direction, sharpe, score, total_return, max_drawdown, win_rate, horizon, error))"
     fs = "mom_3, mom_5, reversal_5, volume_zscore_10"
     two = lambda n, c: f"{n} AS (SELECT symbol, max(CASE WHEN k = 1 THEN {c} END) AS latest, max(CASE WHEN k = 2 THEN {c} END) AS previous FROM (SELECT symbol, {c}, row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) AS k FROM hist WHERE {c} IS NOT NULL) GROUP BY symbol)"
     label = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in decisions.LABELS.items())
     hot, cold = "crowding IN ('LONG_CROWDED', 'LONG_WARM')", "crowding IN ('SHORT_CROWDED', 'SHORT_WARM')"
     longs, shorts = "stance IN ('WATCH_LONG', 'LEAN_LONG')", "stance IN ('WATCH_SHORT', 'LEAN_SHORT')"
-    pf = "coalesce(primary_factor, 'the main factor')"
-    cols = "symbol timestamp ~last_close ~return_1d ~return_5d stance stance_label ~confidence primary_factor primary_signal ~funding_annualized ~funding_change ~oi_usd ~oi_change ~long_short_ratio crowding crowding_label microstructure_label ~spread_bps ~depth_imbalance ~active_addresses ~active_address_change ~tx_count ~tx_count_change onchain_label data_quality_status risk_note invalidation_note action_hint"
+    crowd = f"(({longs} AND {hot}) OR ({shorts} AND {cold}))"
+    move = lambda tag, c: f"CASE WHEN {c} > 0 THEN '{tag}=up' WHEN {c} < 0 THEN '{tag}=down' END"
+    cols = "symbol timestamp ~last_close ~return_1d ~return_5d stance stance_label ~confidence primary_factor primary_signal ~funding_annualized ~funding_change ~oi_usd ~oi_change ~long_short_ratio crowding crowding_label microstructure_label ~spread_bps ~depth_imbalance ~active_addresses ~active_address_change ~tx_count ~tx_count_change onchain_label data_quality_status evidence risk_note invalidation_note action_hint"
     return f"""WITH {S.EVENT_BARS}, {S.panel()}, {fixed},
 lg AS (UNPIVOT (SELECT timestamp, symbol, {fs} FROM panel) ON {fs} INTO NAME factor VALUE value),
 {_radar_sql('fx', [], 'lg')},
@@ -251,11 +252,11 @@ ca AS (SELECT lc.symbol, lc.timestamp::VARCHAR AS timestamp, last_close, return_
   FROM lc LEFT JOIN ps USING (symbol) LEFT JOIN ct USING (symbol) LEFT JOIN snap ON snap.symbol = lc.symbol LEFT JOIN tf ON tf.symbol = lc.symbol LEFT JOIN to_ ON to_.symbol = lc.symbol LEFT JOIN tl ON tl.symbol = lc.symbol LEFT JOIN micro ON micro.symbol = lc.symbol LEFT JOIN cl ON cl.symbol = lc.symbol),
 cb AS (SELECT *, CASE WHEN microstructure_label IN ('BID_DOMINANT', 'ASK_DOMINANT') THEN least(c0 * 1.05::DOUBLE, 1) ELSE c0 END AS c1, CASE WHEN bulls > bears AND {hot} THEN 'WATCH_LONG' WHEN bears > bulls AND {cold} THEN 'WATCH_SHORT' WHEN bulls > bears THEN 'LEAN_LONG' WHEN bears > bulls THEN 'LEAN_SHORT' ELSE 'NEUTRAL' END AS stance FROM ca),
 cc AS (SELECT *, greatest(0, least(1, CASE WHEN onchain_label IN ('EXPANSION', 'STRONG') THEN least(c1 * 1.05::DOUBLE, 1) WHEN onchain_label IN ('CONTRACTION', 'WEAK') THEN c1 * 0.92::DOUBLE ELSE c1 END)) AS confidence, CASE stance {label} END AS stance_label,
-   concat_ws('; ', 'data quality is not clean', CASE WHEN {longs} AND {hot} THEN 'longs pay high funding' END, CASE WHEN {shorts} AND {cold} THEN 'shorts are crowded' END, CASE WHEN spread_bps > 8 THEN 'the spread is wide' END) AS risk_note,
-   CASE WHEN {longs} AND {hot} THEN {pf} || ' turns neutral, or funding rises further' WHEN {longs} THEN {pf} || ' falls below its middle, or price breaks the recent low' WHEN {shorts} AND {cold} THEN {pf} || ' turns neutral, or covering lifts the price'
-     WHEN {shorts} THEN {pf} || ' rises above its middle, or price breaks the recent high' WHEN primary_factor IS NOT NULL THEN 'reassess when ' || {pf} || ' leaves its range' ELSE 'no view without a main factor' END AS invalidation_note,
-   CASE WHEN stance = 'WATCH_LONG' THEN 'observe; wait for a pullback before any long' WHEN stance = 'WATCH_SHORT' THEN 'observe; wait for a failed bounce before any short' WHEN stance = 'LEAN_LONG' AND microstructure_label = 'BID_DOMINANT' THEN 'book and signal agree on longs; wait for a confirmed pullback'
-     WHEN stance = 'LEAN_LONG' THEN 'look for longs with the trend' WHEN stance = 'LEAN_SHORT' AND microstructure_label = 'ASK_DOMINANT' THEN 'book and signal agree on shorts; wait for a failed bounce' WHEN stance = 'LEAN_SHORT' THEN 'look for shorts on bounces' ELSE 'stand aside until signals agree' END AS action_hint FROM cb)
+   concat_ws(' ', primary_factor || '=' || primary_signal, 'crowding=' || lower(crowding), {move('funding', 'funding_change')}, {move('interest', 'oi_change')}, 'book=' || lower(microstructure_label), 'chain=' || lower(onchain_label),
+     {move('bar', 'return_1d')}, {move('five_bars', 'return_5d')}) AS evidence,
+   concat_ws(' ', 'quality=warn', CASE WHEN {crowd} THEN 'crowding=' || lower(crowding) END, CASE WHEN spread_bps > 8 THEN 'spread=wide' END) AS risk_note,
+   coalesce(primary_factor || ':' || CASE WHEN {longs} THEN 'percentile<0.5' WHEN {shorts} THEN 'percentile>0.5' ELSE 'percentile<=0.2|percentile>=0.8' END || CASE WHEN {crowd} THEN '|crowding!=' || lower(crowding) ELSE '' END, 'none') AS invalidation_note,
+   lower(stance) || CASE WHEN ({longs} AND microstructure_label = 'BID_DOMINANT') OR ({shorts} AND microstructure_label = 'ASK_DOMINANT') THEN '+book' ELSE '' END AS action_hint FROM cb)
 SELECT {S.rnd(cols, 5)} FROM cc"""
 
 
@@ -277,9 +278,9 @@ def oracle_sql() -> dict[str, str]:
     one = ",\n".join(("WITH " + S.line_bars(), S.panel(), S.long(horizons=(1,)), S.EVAL))
     rows_ = "rows_ AS (SELECT factor, timestamp, symbol, value, target, direction FROM obs JOIN (SELECT factor, direction FROM ev) USING (factor))"
     names = ", ".join(Q.NAMES)
-    o["signal_radar"] = f"""{one}, {rows_}, {S.backtest('rows_', 'factor')}, bts AS (SELECT factor, horizon, direction, score, sharpe, max_drawdown, win_rate, NULL AS error FROM ev JOIN mt USING (factor)),
-lg AS (UNPIVOT (SELECT timestamp, symbol, {names} FROM panel) ON {names} INTO NAME factor VALUE value), {_radar_sql('bts', [], '(SELECT * REPLACE (round(value, 10) AS value) FROM lg)')}
-SELECT ts_text AS timestamp, {S.rnd('symbol factor theme ~value ~percentile signal signal_label setup direction direction_label ~confidence confidence_label ~signal_score ~sharpe ~score ~win_rate horizon', 5)} FROM rad"""
+    o["signal_radar"] = f"""{one}, {rows_}, {S.backtest('rows_', 'factor')}, bts AS (SELECT factor, horizon, direction, score, sharpe, total_return, max_drawdown, win_rate, NULL AS error FROM ev JOIN mt USING (factor)),
+lg AS (UNPIVOT (SELECT timestamp, symbol, {names} FROM panel) ON {names} INTO NAME factor VALUE value), {_radar_sql('bts', [], 'lg')}
+SELECT ts_text AS timestamp, {S.rnd('symbol factor theme ~value ~percentile signal signal_label setup direction direction_label ~confidence confidence_label ~signal_score ~sharpe ~score ^total_return ^max_drawdown ~win_rate horizon', 5)} FROM rad"""
     o["decision_cards"] = _cards_sql()
     o["candle_payloads"] = f"WITH {S.EVENT_BARS} SELECT timestamp, symbol, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, volume, asset_class, frequency, 'okx' AS exchange, upper(symbol) AS okx_inst_id, true AS okx_confirmed FROM bars WHERE hour(timestamp) <> 23"
     sums = ", ".join(f"round(coalesce(sum(weight) FILTER (symbol = '{s}'), 0), 6) + 0.0::DOUBLE AS \"{s}\"" for s in ("AF", "AO", "NF", "NO", "RF", "RO"))

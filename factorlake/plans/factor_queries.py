@@ -13,7 +13,8 @@ from factorlake.sources import bars
 WINDOWS, HORIZONS = list(S.WINDOWS), S.HORIZONS
 NAMES = factors.names(WINDOWS)
 CONFIG = backtest.BacktestConfig(transaction_cost_bps=5.0, slippage_bps=2.0)
-FOLDS = walkforward.WalkForwardConfig(splits=3, train_fraction=0.5, embargo=2)
+FOLDS = walkforward.WalkForwardConfig(enabled=True, splits=3, train_fraction=0.5, embargo=2, min_train=30, min_test=20)
+FEW = walkforward.WalkForwardConfig(enabled=True, splits=2, train_fraction=0.5, embargo=1, min_test=20)
 ONE = "mom_5"
 
 
@@ -93,7 +94,29 @@ def _folds(spark: SparkSession, d: str) -> DataFrame:
 
 def _walk(spark: SparkSession, d: str) -> DataFrame:
     m = bars.events_hourly(spark, d)
-    return rounded(walkforward.validate(m, factors.panel(m, WINDOWS), NAMES, FOLDS, CONFIG).drop("error"), 5, BIG)
+    return rounded(walkforward.validate(m, factors.panel(m, WINDOWS), NAMES, FOLDS, CONFIG), 5, BIG)
+
+
+def _sixty(spark: SparkSession, d: str) -> DataFrame:
+    """Folds over the first 60 bar times: the first training slice is 30 of them."""
+    times = bars.events_hourly(spark, d).select("timestamp").distinct().orderBy("timestamp").limit(60)
+    return walkforward.folds(times, FEW)
+
+
+def _sweep_costly(spark: SparkSession, d: str) -> DataFrame:
+    p = _line_panel(spark, d).persist()
+    out = backtest.sweep(p, NAMES, evaluation.evaluate(p, NAMES, (1,)), COSTLY, spreads(spark, d), rates(spark, d))
+    return rounded(out.drop("error"), 5, BIG)
+
+
+def books(spark: SparkSession, d: str) -> DataFrame:
+    """Two book snapshots for each symbol of the daily bars, and one without a spread."""
+    t = bars.read(spark, d, "lineitem")
+    day = F.date_trunc("year", "l_shipdate").cast("timestamp_ntz")
+    return t.groupBy(F.concat("l_returnflag", "l_linestatus").alias("symbol"), day.alias("timestamp")).agg(F.when(F.year(F.first(day)) < 1998, F.avg("l_tax") * 100.0).alias("spread_bps"))
+
+
+BOOKS = "books AS (SELECT l_returnflag || l_linestatus AS symbol, date_trunc('year', l_shipdate)::TIMESTAMP AS timestamp, CASE WHEN year(l_shipdate) < 1998 THEN avg(l_tax) * 100.0::DOUBLE END AS spread_bps FROM lineitem GROUP BY symbol, timestamp, year(l_shipdate))"
 
 
 def _combine(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +155,10 @@ def queries() -> dict:
     f["bt_metrics"] = lambda s, d: rounded(backtest.metrics(backtest.returns(_one(s, d), CONFIG), CONFIG), 6, BIG)
     f["bt_metrics_costly"] = bt_metrics_costly
     f["bt_all_factors"] = _sweep
+    f["bt_all_factors_costly"] = _sweep_costly
+    f["bt_spread_last_row_wins"] = lambda s, d: rounded(backtest.execution_costs(backtest.turnover(backtest.weights(_one(s, d), COSTLY)), COSTLY, books(s, d)), 8)
     f["wf_folds"] = _folds
+    f["wf_folds_sixty"] = _sixty
     f["wf_results"] = _walk
     return f
 
@@ -141,15 +167,16 @@ def _description(name: str) -> str:
     return factors.DESCRIPTIONS[name if name == "return_1" else name.rpartition("_")[0]].replace("'", "''")
 
 
-def _folds_sql() -> str:
-    # The same arithmetic over the number of distinct times.
-    return """nt AS (SELECT count(DISTINCT timestamp) AS n FROM bars),
-ta AS (SELECT n, greatest(40, floor(n * 0.5)::BIGINT) AS t0 FROM nt),
-tb AS (SELECT n, CASE WHEN n - t0 - 2 < 20 THEN greatest(40, n - 20 - 2) ELSE t0 END AS train FROM ta),
-tc AS (SELECT n, train, greatest(20, (n - train - 2) // 3) AS test FROM tb),
-fi AS (SELECT i::INT AS fold, train + (i - 1) * test - 1 AS e, train + (i - 1) * test + 2 AS s, least(train + (i - 1) * test + 2 + test - 1, n - 1) AS l, n FROM tc, range(1, 4) t(i)),
-ft AS (SELECT timestamp, row_number() OVER (ORDER BY timestamp) - 1 AS i FROM (SELECT DISTINCT timestamp FROM bars)),
-folds AS (SELECT fold, a.timestamp AS train_end, b.timestamp AS test_start, c.timestamp AS test_end FROM fi JOIN ft a ON a.i = e JOIN ft b ON b.i = s JOIN ft c ON c.i = l WHERE l - s + 1 >= 20)"""
+def _folds_sql(c: walkforward.WalkForwardConfig = FOLDS) -> str:
+    # Counts as the survey states them: least first training slice, room behind it, equal test slices.
+    t, e, k = c.min_test, c.embargo, c.splits
+    return f"""ft AS (SELECT timestamp, row_number() OVER (ORDER BY timestamp) - 1 AS i FROM (SELECT DISTINCT timestamp FROM bars)),
+nt AS (SELECT count(*) AS n FROM ft),
+ta AS (SELECT n, greatest({t}, floor(n * {c.train_fraction})::BIGINT) AS t0 FROM nt),
+tb AS (SELECT n, CASE WHEN n - t0 - {e} < {t} THEN greatest({t}, n - {t} - {e}) ELSE t0 END AS train FROM ta),
+tc AS (SELECT n, train, greatest({t}, floor((n - train - {e}) / {k}.0)::BIGINT) AS test FROM tb),
+fi AS (SELECT i::INT AS fold, train + (i - 1) * test - 1 AS e, train + (i - 1) * test + {e} AS s, least(train + (i - 1) * test + {e} + test - 1, n - 1) AS l, n FROM tc, range(1, {k + 1}) t(i)),
+folds AS (SELECT fold, (SELECT min(timestamp) FROM ft) AS train_start, a.timestamp AS train_end, b.timestamp AS test_start, c.timestamp AS test_end FROM fi JOIN ft a ON a.i = e JOIN ft b ON b.i = s JOIN ft c ON c.i = l WHERE l - s + 1 >= {t})"""
 
 
 def _walk_sql() -> str:
@@ -168,7 +195,8 @@ be AS (SELECT *, abs(train_spearman) * sqrt(train_observations::DOUBLE) AS train
        QUALIFY row_number() OVER (PARTITION BY fold ORDER BY abs(train_spearman) * sqrt(train_observations::DOUBLE) DESC NULLS LAST, factor) = 1),
 rows_ AS (SELECT te.*, direction FROM te JOIN be USING (fold, factor)),
 {S.backtest('rows_', 'fold')}
-SELECT {S.rnd('fold train_end test_start test_end factor train_observations ~train_spearman ~train_score direction', 5)}, {S.rnd('^test_total_return ~test_sharpe ^test_max_drawdown ~test_win_rate test_periods', 5)}
+SELECT {S.rnd('fold train_start train_end test_start test_end factor train_observations ~train_spearman ~train_score direction', 5)}, {S.rnd('^test_total_return ~test_sharpe ^test_max_drawdown ~test_win_rate test_periods', 5)}, 2::INT AS embargo,
+  CASE WHEN factor IS NULL THEN 'no factor to choose' WHEN test_periods IS NULL THEN 'no test rows' END AS error
 FROM folds LEFT JOIN be USING (fold) LEFT JOIN (SELECT fold, total_return AS test_total_return, sharpe AS test_sharpe, max_drawdown AS test_max_drawdown, win_rate AS test_win_rate, periods AS test_periods FROM mt) USING (fold)"""
 
 
@@ -209,6 +237,11 @@ def oracle_sql() -> dict[str, str]:
     one = ",\n".join(("WITH " + S.line_bars(), S.panel(), S.long(horizons=(1,)), S.EVAL))
     rows = "rows_ AS (SELECT factor, timestamp, symbol, value, target, direction FROM obs JOIN (SELECT factor, direction FROM ev) USING (factor))"
     o["bt_all_factors"] = f"{one}, {rows}, {S.backtest('rows_', 'factor')} SELECT {S.rnd('factor horizon direction ~score ~pooled_spearman ~quantile_spread observations ' + METRICS, 5)} FROM ev LEFT JOIN mt USING (factor)"
+    o["bt_all_factors_costly"] = f"{one}, {rows}, {RATES}, {SPREADS}, {S.backtest('rows_', 'factor', ann=8760, spread=0.5, funding=1.0)} SELECT {S.rnd('factor horizon direction ~score ~pooled_spearman ~quantile_spread observations ' + METRICS, 5)} FROM ev LEFT JOIN mt USING (factor)"
+    last = "spreads AS (SELECT symbol, spread_bps FROM books WHERE spread_bps IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) = 1)"
+    o["bt_spread_last_row_wins"] = f"{_B}, {BOOKS}, {last}, {S.backtest('rows_', ann=8760, spread=0.5)} SELECT {S.rnd('timestamp ~turnover ~execution_cost', 8)} FROM ex"
     o["wf_folds"] = f"WITH {S.EVENT_BARS}, {_folds_sql()} SELECT * FROM folds"
+    sixty = "bars AS (SELECT timestamp FROM (SELECT DISTINCT timestamp FROM all_bars) ORDER BY timestamp LIMIT 60)"
+    o["wf_folds_sixty"] = f"WITH {S.EVENT_BARS.replace('bars AS (', 'all_bars AS (', 1)}, {sixty}, {_folds_sql(FEW)} SELECT * FROM folds"
     o["wf_results"] = _walk_sql()
     return o

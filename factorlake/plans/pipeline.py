@@ -84,7 +84,7 @@ class Runner:
         best = rows.join(F.broadcast(top.select("factor")), "factor", "left_semi").drop("factor")
         curve = backtest.returns(best, config, spreads=self.feeds.get("micro"), rates=self.feeds.get("history"))
         tell("backtests")
-        swept = backtest.sweep(panel, names, scored, config).persist()
+        swept = backtest.sweep(panel, names, scored, config, self.feeds.get("micro"), self.feeds.get("history")).persist()
         wf = walkforward.WalkForwardConfig(**(c.get("walk_forward") or {}))
         tell("signals and cards")
         radar = signals.radar(panel, names, swept, int((c.get("signals") or {}).get("min_history", 20))).persist()
@@ -97,7 +97,7 @@ class Runner:
             "market_data": market, "data_quality": report, "data_quality_issues": quality.issues(report), "data_quality_summary": quality.summary(report), "source_status": status, "source_overall": context.overall_status(status, provider),
             "derivatives_snapshot": feeds["derivatives"], "derivatives_history": feeds["history"], "microstructure_snapshot": feeds["micro"], "onchain_metrics": feeds["onchain"], "technical_indicators": indicators,
             "indicator_states": technicals.states(indicators), "factor_panel": panel, "factor_candidates": found, "factor_evaluation": scored, "top_factor": top, "backtest_returns": curve, "backtest_metrics": backtest.metrics(curve, config),
-            "factor_backtests": swept, "walk_forward": walkforward.validate(market, panel, names, wf, config, least), "factor_signals": radar,
+            "factor_backtests": swept, "walk_forward": walkforward.validate(market, panel, names, wf, config, self.feeds.get("micro"), self.feeds.get("history")), "factor_signals": radar,
             "decision_cards": decisions.cards(market, radar, feeds["derivatives"], feeds["history"], feeds["micro"], feeds["onchain"], level), "raw_snapshots": store.manifest(market, self.context.run_id, "market_data", provider, "market_data"),
         }
 

@@ -32,6 +32,14 @@ def roll(f: str, x: str, n: int, mp: int, by: str = W) -> str:
     return f"CASE WHEN count({x}) {over} >= {mp} THEN {f}({x}) {over} END"
 
 
+def deviation(x: str, n: int, mp: int, by: str = W) -> str:
+    """Population deviation by the running mean, value after value: whole volumes give many equal scores, which another order of sums would tell apart."""
+    over = f"OVER ({by} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    step = "{'n': p.n + 1, 'a': p.a + (q.a - p.a) / (p.n + 1), 'm': p.m + (q.a - p.a) * ((q.a - p.a) - (q.a - p.a) / (p.n + 1))}"
+    each = f"list_transform(list({x}) {over}, lambda v: {{'n': 1.0::DOUBLE, 'a': v::DOUBLE, 'm': 0.0::DOUBLE}})"
+    return f"CASE WHEN count({x}) {over} >= {mp} THEN sqrt(list_reduce({each}, lambda p, q: {step}).m / count({x}) {over}) END"
+
+
 def factor_names(windows=WINDOWS) -> list[str]:
     return ["return_1", *(f"{k}_{w}" for w in windows for k in ("mom", "reversal", "volatility", "ma_gap", "volume_zscore", "range_position", "amihud"))]
 
@@ -44,7 +52,7 @@ def panel(windows=WINDOWS, horizons=HORIZONS) -> str:
         cols += [
             f"close / nullif(lag(close, {w}) OVER ({W}), 0) - 1 AS mom_{w}", f"-(close / nullif(lag(close, {w}) OVER ({W}), 0) - 1) AS reversal_{w}",
             f"{roll('stddev_pop', 'return_1', w, m)} AS volatility_{w}", f"close / nullif({roll('avg', 'close', w, m)}, 0) - 1 AS ma_gap_{w}",
-            f"(volume - {roll('avg', 'volume', w, m)}) / nullif({roll('stddev_pop', 'volume', w, m)}, 0) AS volume_zscore_{w}",
+            f"(volume - {roll('avg', 'volume', w, m)}) / nullif({deviation('volume', w, m)}, 0) AS volume_zscore_{w}",
             f"(close - {roll('min', 'low', w, m)}) / nullif({roll('max', 'high', w, m)} - {roll('min', 'low', w, m)}, 0) AS range_position_{w}",
             f"{roll('avg', 'amihud_1', w, m)} AS amihud_{w}",
         ]
@@ -59,7 +67,7 @@ def long(windows=WINDOWS, horizons=HORIZONS, min_obs: int = 30) -> str:
     fwd = ", ".join(f"fwd_return_{h}" for h in horizons)
     parts = " UNION ALL ".join(f"SELECT {h}::INT AS horizon, factor, timestamp, symbol, value, fwd_return_{h} AS target FROM l WHERE fwd_return_{h} IS NOT NULL" for h in horizons)
     return f"""l AS (UNPIVOT (SELECT timestamp, symbol, {names}, {fwd} FROM panel) ON {names} INTO NAME factor VALUE value),
-obs AS (SELECT * REPLACE (round(value, 10) AS value) FROM (SELECT *, count(*) OVER (PARTITION BY horizon, factor) AS n FROM ({parts})) WHERE n >= {min_obs})"""
+obs AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY horizon, factor) AS n FROM ({parts})) WHERE n >= {min_obs})"""
 
 
 def avg_rank(x: str, keys: str) -> str:

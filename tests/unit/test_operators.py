@@ -99,14 +99,61 @@ def test_metrics_of_a_first_bar_loss(spark):
     assert m.max_drawdown == 0.0 and m.total_return == pytest.approx(-0.45) and m.periods == 2
 
 
-def test_folds_test_after_training(spark):
-    assert walkforward.fold_bounds(100, walkforward.WalkForwardConfig(embargo=2))
-    for n in (30, 70, 100, 365):
-        for end, start, last in walkforward.fold_bounds(n, walkforward.WalkForwardConfig(embargo=2)):
-            assert end + 2 < start <= last < n
+def plain_folds(n, splits, fraction, embargo, least):
+    """(last training index, first and last test index) of each fold, from the definition."""
+    train = max(least, int(n * fraction))
+    if n - train - embargo < least:
+        train = max(least, n - least - embargo)
+    test = max(least, (n - train - embargo) // splits)
+    cut = [(train + k * test - 1, train + k * test + embargo, min(train + (k + 1) * test + embargo, n) - 1) for k in range(splits)]
+    return [(e, s, t) for e, s, t in cut if t - s + 1 >= least]
+
+
+def test_folds_by_definition(spark):
+    for n, splits, fraction, embargo, least in ((60, 3, 0.5, 1, 10), (60, 1, 0.85, 5, 20), (25, 3, 0.55, 1, 10), (19, 2, 0.5, 0, 10), (101, 4, 0.1, 3, 2)):
+        times = [T0 + timedelta(days=k) for k in range(n)]
+        m = spark.createDataFrame([(t,) for t in times], "timestamp timestamp_ntz")
+        got = walkforward.folds(m, walkforward.WalkForwardConfig(True, splits, fraction, embargo, 5, least)).orderBy("fold").collect()
+        want = plain_folds(n, splits, max(fraction, 0.2), embargo, least)
+        assert [(r.fold, r.train_start, r.train_end, r.test_start, r.test_end) for r in got] == [(k + 1, times[0], times[e], times[s], times[t]) for k, (e, s, t) in enumerate(want)]
+
+
+def test_walk_forward_rows_and_errors(spark):
     m = market(spark, {s: walk(160, k) for k, s in enumerate("ABCD")})
-    out = walkforward.validate(m, factors.panel(m, [3, 5]), factors.names([3, 5]), walkforward.WalkForwardConfig(embargo=2), backtest.BacktestConfig()).collect()
+    panel, names = factors.panel(m, [3, 5]), factors.names([3, 5])
+    wf = walkforward.WalkForwardConfig(enabled=True, embargo=2)
+    out = walkforward.validate(m, panel, names, wf, backtest.BacktestConfig()).collect()
     assert len(out) == 3 and all(r.test_start > r.train_end and r.error is None for r in out)
+    spreads = spark.createDataFrame([(s, 50.0) for s in "ABCD"], "symbol string, spread_bps double")
+    costly = walkforward.validate(m, panel, names, wf, backtest.BacktestConfig(spread_multiplier=1.0), spreads).collect()
+    assert all(a.test_total_return > b.test_total_return for a, b in zip(sorted(out), sorted(costly)))
+    assert walkforward.validate(m, panel, names, walkforward.WalkForwardConfig(), backtest.BacktestConfig()).count() == 0
+    few = m.filter(F.col("timestamp") < T0 + timedelta(days=15))
+    (row,) = walkforward.validate(few, factors.panel(few, [3, 5]), names, wf, backtest.BacktestConfig()).collect()
+    assert row.fold is None and "too few" in row.error
+
+
+def test_tiny_factor_values_keep_their_order(spark):
+    m = market(spark, {s: walk(120, k) for k, s in enumerate("ABCDE")}).withColumn("volume", F.lit(1e9))
+    panel = factors.panel(m, [5], (1,))
+    assert panel.agg(F.max("amihud_5")).first()[0] < 1e-9
+    row = evaluation.evaluate(panel, ["amihud_5"], (1,)).first()
+    scaled = evaluation.evaluate(panel.withColumn("amihud_5", F.col("amihud_5") * 2.0**40), ["amihud_5"], (1,)).first()
+    assert row.pooled_spearman == scaled.pooled_spearman and row.quantile_spread == scaled.quantile_spread and row.quantile_spread is not None
+
+
+def test_selecting_from_nothing_fails(spark):
+    empty = spark.createDataFrame([], "factor string, horizon int, score double")
+    with pytest.raises(Exception, match="no factor was evaluated"):
+        evaluation.select_top(empty, 1).collect()
+
+
+def test_latest_spread_and_ties(spark):
+    rows = [("A", T0, 9.0), ("A", T0 + timedelta(days=1), 2.0), ("A", T0 + timedelta(days=2), None), ("B", T0, 1.0), ("B", T0, 3.0)]
+    df = spark.createDataFrame(rows, "symbol string, timestamp timestamp_ntz, spread_bps double")
+    assert {r.symbol: r.spread_bps for r in backtest.latest_spreads(df).collect()} == {"A": 2.0, "B": 3.0}
+    left = spark.createDataFrame([(T0, "B", "f"), (T0, "B", "g")], "timestamp timestamp_ntz, symbol string, factor string")
+    assert [r.spread_bps for r in backtest.as_of(left, df, "spread_bps", ("factor",)).collect()] == [3.0, 3.0]
 
 
 def test_signals_of_a_monotone_factor(spark):
@@ -196,7 +243,7 @@ def test_last_n_equals_the_batch_twin(spark, tmp_path):
 def test_the_whole_run(spark, tmp_path):
     config = {
         "data": {"provider": "synthetic", "universe": [{"symbol": "BTC-USD", "asset_class": "crypto"}, {"symbol": "ETH-USD", "asset_class": "crypto"}, "AAPL", "MSFT"], "start": "2022-01-01", "end": "2022-06-01", "frequency": "1d", "seed": 5},
-        "factors": {"windows": [3, 5], "horizons": [1], "min_observations": 20}, "backtest": {"horizon": 1, "transaction_cost_bps": 5}, "walk_forward": {"splits": 2, "embargo": 1}, "ml": {"enabled": True, "n_estimators": 4},
+        "factors": {"windows": [3, 5], "horizons": [1], "min_observations": 20}, "backtest": {"horizon": 1, "transaction_cost_bps": 5}, "walk_forward": {"enabled": True, "splits": 2, "embargo": 1}, "ml": {"enabled": True, "n_estimators": 4},
     }
     done = pipeline.Runner(spark, config).run(str(tmp_path / "run"))
     assert done["quality"][0]["status"] == "PASS" and done["source"][0]["status"] == "SIMULATED" and len(done["config_hash"]) == 64
