@@ -1,7 +1,7 @@
 """Licence scan: ordered signature rules behind a keyword prefilter. DataFrame functions only.
 
 Texts are reduced to their words, one space apart. Every rule is a regular
-expression over that form with a keyword that must occur, a priority and a
+expression over that form with a keyword that must begin at a word, a priority and a
 label. Only texts with a keyword meet rules, and only rules with that keyword.
 A detection that lies within another's words is dropped when the other's rule
 has a higher priority, or the same and is longer. Base phrases are counted at
@@ -9,7 +9,8 @@ every place and always give their label.
 
 Edge cases: null text is empty: no words, no labels, score 0. first_word and
 last_word are null without a base phrase. Rows are independent, so repeated
-rows give repeated results. A-Z are lower-cased with lower(); beyond ASCII that
+rows give repeated results; texts of any length are scanned whole; an empty table
+gives no rows; extra columns pass in a struct, so no name of theirs can clash. A-Z are lower-cased with lower(); beyond ASCII that
 changes letters to letters, which alters no word's extent and no base phrase
 (none has a k, the one ASCII letter that another capital folds to).
 """
@@ -40,7 +41,7 @@ def rules() -> list[tuple[str, str, int, str, float]]:
         for v in ("1", "2", "3"):
             number = rf"v?{v}(?: 0)?"
             lead = 30 + 5 * (short != "gpl")
-            add("general public license", rf"{words} (?:version |v )?{number} or (?:\(? ?at your option ?\)? )?(?:any )?later", lead + 5, f"{short}-{v}-or-later", 0.99)
+            add("general public license", rf"{words} (?:version |v )?{number} or (?:at your option )?(?:any )?later", lead + 5, f"{short}-{v}-or-later", 0.99)
             add("general public license", rf"{words} (?:version |v )?{number} only", lead + 5, f"{short}-{v}-only", 0.99)
             add("general public license", rf"{words} (?:version |v )?{number}", lead, f"{short}-{v}", 0.97)
             add(short, rf"{short} ?{number} or later", lead + 4, f"{short}-{v}-or-later", 0.95)
@@ -49,7 +50,7 @@ def rules() -> list[tuple[str, str, int, str, float]]:
         add("general public license", words, 12 + 5 * (short != "gpl"), short, 0.9)
     for v in ("1 0", "1 1", "2 0"):
         label = "apache-" + v.replace(" ", ".")
-        add("apache", rf"apache (?:software )?license,? (?:version |v )?{v}", 30, label, 0.99)
+        add("apache", rf"apache (?:software )?license (?:version |v )?{v}", 30, label, 0.99)
         add("apache", rf"apache {v}", 20, label, 0.85)
     add("apache", r"apache (?:software )?license", 10, "apache", 0.85)
     parts = {"by": "attribution", "by sa": "attribution share ?alike", "by nc": "attribution non ?commercial", "by nd": "attribution no ?deriv(?:ative)?s?(?: works)?", "by nc sa": "attribution non ?commercial share ?alike", "by nc nd": "attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?"}
@@ -154,7 +155,7 @@ def detections(texts: DataFrame, table: list[tuple[str, str, int, str, float]])
     # A table of fixed size, so it may be broadcast.
     rule = F.broadcast(spark.createDataFrame([(i, *r) for i, r in enumerate(table)], "rule int, keyword string, pattern string, priority int, label string, weight double"))
     words = F.array(*(F.lit(k) for k in sorted({r[0] for r in table})))
-    hit = texts.withColumn("keyword", F.explode(F.filter(words, lambda k: F.contains("norm", k)))).join(rule, "keyword")
+    hit = texts.withColumn("keyword", F.explode(F.filter(words, lambda k: F.contains("norm", F.concat(F.lit(" "), k))))).join(rule, "keyword")
     hit = hit.withColumn("pattern", F.concat(F.lit("(?<= )(?:"), "pattern", F.lit(")(?= )"))).filter(F.expr("norm rlike pattern"))
     parts = F.arrays_zip(F.split("norm", F.col("pattern")).alias("gap"), F.regexp_extract_all("norm", F.col("pattern"), F.lit(0)).alias("hit"))
     one = hit.select("key", "rule", "priority", "label", "weight", F.posexplode(parts).alias("pos", "part"))
@@ -178,7 +179,7 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text", table: list[t
     norm = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.explode(F.array(normalised(F.col(text_col)))).alias("norm"))
     may = F.lit(False)
     for k in sorted({r[0] for r in table}):
-        may = may | F.contains("norm", F.lit(k))
+        may = may | F.contains("norm", F.lit(f" {k}"))
     based = base_phrases(norm).withColumn("may", may)
     # Texts without a keyword join nothing; each gets a key of its own, else they would meet in one task.
     key = F.when(F.col("may"), F.sha2("norm", 256)).otherwise(F.concat(F.lit("-"), F.xxhash64("row").cast("string"), F.col("n_words").cast("string")))
