@@ -114,7 +114,7 @@ def smoothed(market: DataFrame) -> DataFrame:
     """market (core columns) with the recursive indicators."""
     bars = market.select("timestamp", "symbol", "open", "high", "low", "close", "volume")
     ordered = bars.repartition("symbol").sortWithinPartitions("symbol", "timestamp")
-    fields = ", ".join(f"{c} {'int' if c == 'supertrend_direction' else 'double'}" for c in SMOOTHED)
+    fields = ", ".join(f"{c} {'int' if c == 'supertrend_direction_10_3' else 'double'}" for c in SMOOTHED)
     return ordered.mapInPandas(_recur, f"timestamp timestamp_ntz, symbol string, open double, high double, low double, close double, volume double, {fields}").withColumns({c: finite(c) for c in SMOOTHED if c != "supertrend_direction_10_3"})
 
 

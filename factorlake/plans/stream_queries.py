@@ -21,7 +21,7 @@ def _routed(spark: SparkSession, d: str) -> DataFrame:
 def _trades(spark: SparkSession, d: str) -> DataFrame:
     t = feeds.trades(_routed(spark, d)).select("inst_id", F.col("trade_id").cast("long").alias("seq"), F.col("trade_id").alias("item"))
     latest = lambda t: t.select("inst_id", F.concat_ws(",", "items").alias("items"))
-    return feeds.run(feeds.last_n(t, 20), "update", latest)
+    return feeds.run(feeds.last_n(t, 20), "update", latest, "inst_id")
 
 
 def queries() -> dict:

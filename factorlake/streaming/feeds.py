@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from factorlake.functions import workdir
@@ -147,8 +148,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run(stream: DataFrame, mode: str = "append", finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """All that is there now, through the stream, as a table: complete mode keeps the last batch, others all batches."""
+def run(stream: DataFrame, mode: str = "append", finish: Callable[[DataFrame], DataFrame] | None = None, key: str | None = None) -> DataFrame:
+    """All that is there now, through the stream, as a table: complete mode keeps the last batch, others all batches, of which each key's last row counts where there is a key."""
     spark = stream.sparkSession
     out = workdir.fresh(spark, "stream-out")
 
@@ -156,15 +157,19 @@ def run(stream: DataFrame, mode: str = "append", finish: Callable[[DataFrame], D
         # A batch that runs again replaces what it wrote before.
         batch.write.mode("overwrite").parquet(f"{out}/{'all' if mode == 'complete' else f'epoch={epoch}'}")
 
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         query = stream.writeStream.outputMode(mode).option("checkpointLocation", workdir.fresh(spark, "stream-state")).foreachBatch(write).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
-    table = spark.read.schema(stream.schema).parquet(f"{out}/all" if mode == "complete" else f"{out}/*")
+        spark.conf.set(store, before) if before else spark.conf.unset(store)
+    if key:
+        rows = spark.read.schema(T.StructType([*stream.schema, T.StructField("epoch", T.LongType())])).option("basePath", out).parquet(f"{out}/epoch=*")
+        table = rows.groupBy(key).agg(F.max_by(F.struct(*stream.columns), "epoch").alias("row")).select("row.*")
+    else:
+        table = spark.read.schema(stream.schema).parquet(f"{out}/all" if mode == "complete" else f"{out}/*")
     return finish(table) if finish else table
 
 

@@ -235,7 +235,8 @@ def test_stores(spark, tmp_path):
 def test_last_n_equals_the_batch_twin(spark, tmp_path):
     rows = spark.createDataFrame([(f"I{k % 3}", k, f"t{k}") for k in range(60)], "inst_id string, seq long, item string")
     rows.repartition(4).write.parquet(str(tmp_path / "t"))
-    got = feeds.run(feeds.last_n(feeds.read(spark, str(tmp_path / "t")), 5), "update")
+    one_file_a_batch = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "t"))
+    got = feeds.run(feeds.last_n(one_file_a_batch, 5), "update", key="inst_id")
     want = feeds.last_n_batch(rows, 5)
     assert sorted(map(str, got.select("inst_id", "items").collect())) == sorted(map(str, want.collect()))
 
