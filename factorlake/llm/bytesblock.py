@@ -1,7 +1,7 @@
 """Numpy helpers over the UTF-8 bytes of an Arrow string column.
 
 Texts of an Arrow batch already lie end to end in one buffer; the helpers work
-on that buffer in blocks of about a megabyte, so memory does not follow the
+on that buffer in blocks of about a quarter of a megabyte, so memory does not follow the
 batch size. A single text longer than the block is a block of its own.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _MASK = 0xFFFFFFFFFFFFFFFF
 _BASE = 0x9E3779B97F4A7C15  # odd, so invertible modulo 2**64
 BYTE_CODES = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
