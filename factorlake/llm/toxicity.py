@@ -40,7 +40,7 @@ BITS = 22
 PER_CLASS = 6000  # bound of the sample, rows of either class
 CLEAR = 3.0  # standard errors
 PENALTY = 3e-5
-PARTS = 6  # of the sample
+PARTS = 6  # of the sample, whose rows are bounded: a step sends the driver one gradient of each
 FOLD = (3, 1)
 CUT = 0.7
 
@@ -127,7 +127,7 @@ def fit(sample: DataFrame, sizes: dict[int, int]) -> tuple[np.ndarray, np.ndarra
     none = np.zeros(0, np.int64), np.zeros(0, np.float32), -40.0
     if not (sizes.get(0) and sizes.get(1)):
         return none
-    sample = session.cut(sample.repartition(PARTS, "doc_id").sortWithinPartitions("doc_id"))
+    sample = session.cut(sample.repartition(PARTS).sortWithinPartitions("doc_id"))
     classes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(classes) < 2:
         return none
