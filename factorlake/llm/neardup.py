@@ -285,7 +285,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = grouped.select("node", "comp").join(over, "comp", "left").select("node", F.coalesce("joined", "comp").alias("comp"))
     of_node = nodes.select("node", "least").join(comp, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
     of_node = session.cut(of_node)
-    ids = of_node.groupBy("comp").agg(F.min("least").alias("component_id"))
+    # Written before the join, which can then divide the rows of a component that is everywhere.
+    ids = session.cut(of_node.groupBy("comp").agg(F.min("least").alias("component_id")))
     of_node = of_node.join(ids, "comp").select("node", "comp", "component_id")
     # Rows without a set would all meet under null: each keeps a key of its own.
     alone = rows.filter("n = 0").select("doc_id", "th", "n", F.lit(None).cast("long").alias("comp"), F.col("doc_id").alias("component_id"))

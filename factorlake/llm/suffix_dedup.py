@@ -179,7 +179,7 @@ def _repeated_ranges(keyed: DataFrame, length: int, hot: int) -> DataFrame:
     shared = session.cut(runs.groupBy("kg").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("kg"))
     hits = session.cut(runs.join(shared, "kg"))
     kinds = session.cut(hits.groupBy("kg", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__id", "__th", "lo", "hi")).alias("r")))
-    mixed = kinds.groupBy("kg").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    mixed = session.cut(kinds.groupBy("kg").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
     wanted = kinds.join(mixed, "kg").select("r.*", "kg", "whole", "m")
 
     def segments(of: DataFrame) -> DataFrame:
