@@ -60,6 +60,16 @@ def weights(rows: DataFrame, config: BacktestConfig, keys: tuple[str, ...] = ())
     return ranked.withColumn("weight", w).filter("weight is not null").select(*keys, "timestamp", "symbol", "weight", "target")
 
 
+def sides(w: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, timestamp, longs, shorts, gross, net) of holdings; reading it fails where a symbol is held on both sides at a time."""
+    symbols = lambda side: F.collect_set(F.when(side, F.col("symbol")))
+    g = w.groupBy(*keys, "timestamp").agg(
+        symbols(F.col("weight") > 0).alias("up"), symbols(F.col("weight") < 0).alias("down"), F.sum(F.abs("weight")).alias("gross"), F.sum("weight").alias("net")
+    )
+    apart = F.when(F.arrays_overlap("up", "down"), F.raise_error(F.lit("a symbol is held on both sides"))).otherwise(F.size("up"))
+    return g.select(*keys, "timestamp", apart.alias("longs"), F.size("down").alias("shorts"), "gross", "net")
+
+
 def turnover(w: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, timestamp, symbol, turnover): |change of weight| of each holding, and of each exit at the time after its last holding.
 

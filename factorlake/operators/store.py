@@ -83,6 +83,12 @@ def snapshots(manifests: DataFrame, run_id: str | None = None, limit: int = 100)
     return rows.dropDuplicates(["snapshot_id"]).orderBy(F.col("end").desc_nulls_last(), "snapshot_id").limit(min(max(limit, 1), 1000))
 
 
+def last_rows(artifact: DataFrame, order: list[str], limit: int = 200) -> DataFrame:
+    """The last `limit` (25 to 800) rows of an artifact by `order`, in order: no row but these leaves its task."""
+    n = min(max(limit, 25), 800)
+    return artifact.orderBy(*(F.col(c).desc_nulls_last() for c in order)).limit(n).orderBy(*order)
+
+
 def write_artifacts(frames: dict[str, DataFrame], folder: str, csv: bool = False) -> dict[str, str]:
     """Each frame as a Parquet (or CSV) folder under `folder`; returns the paths."""
     out = {}

@@ -168,12 +168,13 @@ def queries() -> dict:
         "semi_join_fold": _semi,
         "topk_per_symbol": _topk,
         "union_all": _union,
+        "artifact_last_rows": lambda s, d: store.last_rows(bars.events_hourly(s, d), ["timestamp", "symbol"]),
         "run_latest_state": lambda s, d: store.latest_runs(_run_events(s, d)),
         "run_logs_after": lambda s, d: store.logs_after(_run_events(s, d).select(F.col("seq").alias("id"), "run_id", F.col("status").alias("level"), F.col("error").alias("message")), None, 500, 200),
         "raw_manifest": lambda s, d: store.manifest(bars.events_hourly(s, d), "run-1", "market", "synthetic", "market.parquet"),
         "csv_roundtrip": lambda s, d: store.csv_roundtrip(bars.lineitem_daily(s, d)),
         "synthetic_bars": lambda s, d: _synthetic(s),
-        "ml_rf_prediction": lambda s, d: mining.forest(bars.lineitem_daily(s, d), [3, 5], 1, trees=20)[0],
+        "ml_rf_prediction": lambda s, d: mining.forest(bars.lineitem_daily(s, d), Q.WINDOWS, 1)[0],
     }
 
 
@@ -293,5 +294,6 @@ SELECT ts_text AS timestamp, {S.rnd('symbol factor theme ~value ~percentile sign
     runs = f"re AS (SELECT 'run-' || user_id::VARCHAR AS run_id, ts AS \"at\", event_id AS seq, {state} AS status, CASE WHEN event_id % 4 = 3 THEN 'error ' || event_type END AS error FROM events)"
     o["run_latest_state"] = f"WITH {runs} SELECT run_id, min(\"at\") AS created_at, max(\"at\") AS updated_at, last(status ORDER BY \"at\", seq) AS status, last(error ORDER BY \"at\", seq) AS error FROM re GROUP BY run_id"
     o["run_logs_after"] = f"WITH {runs} SELECT seq AS id, run_id, status AS level, error AS message FROM re WHERE seq > 500 ORDER BY seq LIMIT 200"
+    o["artifact_last_rows"] = f"WITH {S.EVENT_BARS} SELECT {S.rnd(Q.BAR_COLS)} FROM bars ORDER BY bars.timestamp DESC, symbol DESC LIMIT 200"
     o["csv_roundtrip"] = f"WITH {S.line_bars()} SELECT timestamp, symbol, open, high, low, close, volume, asset_class, frequency FROM bars"
     return o

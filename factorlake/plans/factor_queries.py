@@ -154,6 +154,7 @@ def queries() -> dict:
     f["bt_returns"] = lambda s, d: rounded(backtest.returns(_one(s, d), CONFIG), 6, BIG)
     f["bt_metrics"] = lambda s, d: rounded(backtest.metrics(backtest.returns(_one(s, d), CONFIG), CONFIG), 6, BIG)
     f["bt_metrics_costly"] = bt_metrics_costly
+    f["bt_sides"] = lambda s, d: rounded(backtest.sides(backtest.weights(_one(s, d), CONFIG)))
     f["bt_all_factors"] = _sweep
     f["bt_all_factors_costly"] = _sweep_costly
     f["bt_spread_last_row_wins"] = lambda s, d: rounded(backtest.execution_costs(backtest.turnover(backtest.weights(_one(s, d), COSTLY)), COSTLY, books(s, d)), 8)
@@ -228,7 +229,8 @@ def oracle_sql() -> dict[str, str]:
     o["bt_weights_long_short"] = f"{bt} SELECT {S.rnd('timestamp symbol ~weight ~target')} FROM w"
     o["bt_weights_long_only"] = f"{_B}, {S.backtest('rows_', mode='long_only', quantile=0.4)} SELECT {S.rnd('timestamp symbol ~weight ~target')} FROM w"
     o["bt_turnover"] = f"{bt} SELECT {S.rnd('timestamp symbol ~turnover')} FROM moved WHERE moved.turnover > 0"
-    costly = f"{_B}, {RATES}, {SPREADS}, {S.backtest('rows_', ann=8760, spread=0.5, funding=1.0)}"
+    o["bt_sides"] = f"{bt} SELECT timestamp, count_if(weight > 0)::INT AS longs, count_if(weight < 0)::INT AS shorts, round(sum(abs(weight)), 6) + 0.0::DOUBLE AS gross, round(sum(weight), 6) + 0.0::DOUBLE AS net FROM w GROUP BY timestamp"
+    costly = f"{_B}, {RATES}, {SPREADS},{S.backtest('rows_', ann=8760, spread=0.5, funding=1.0)}"
     o["bt_exec_cost"] = f"{costly} SELECT {S.rnd('timestamp ~turnover ~execution_cost', 8)} FROM ex"
     o["bt_funding_asof"] = f"{costly} SELECT {S.rnd('timestamp ~funding_cost', 8)} FROM fu"
     o["bt_returns"] = f"{bt} SELECT {S.rnd('timestamp ~gross_return ~turnover ~execution_cost ~funding_cost ~total_cost ~net_return ^equity_curve')} FROM rt"

@@ -22,6 +22,26 @@ EMPTY = {
 }
 
 
+# The section of each feed and the switches in it, which are on unless false.
+SWITCHES = {"derivatives": ("derivatives", "enabled"), "history": ("derivatives", "enabled", "history_enabled"), "micro": ("microstructure", "enabled"), "onchain": ("onchain", "enabled")}
+ONCHAIN = "coinmetrics_community"
+
+
+def allowed_feeds(config: dict, feeds: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], list[str]]:
+    """The feeds that a run may use, and warnings.
+
+    Exchange feeds go with the okx provider only; the on-chain one needs a section of
+    its own that names no other provider. What is switched off is as if not given.
+    """
+    exchange = str(config["data"].get("provider", "")).lower() == "okx"
+    chain = config.get("onchain") or {}
+    named = str(chain.get("provider", ONCHAIN)).lower()
+    fits = {"derivatives": exchange, "history": exchange, "micro": exchange, "onchain": bool(chain) and named == ONCHAIN}
+    on = {k: all((config.get(section) or {}).get(s) is not False for s in switches) for k, (section, *switches) in SWITCHES.items()}
+    unknown = [f"unknown on-chain provider {named}"] if chain and on["onchain"] and named != ONCHAIN else []
+    return {k: v for k, v in feeds.items() if fits[k] and on[k]}, unknown
+
+
 class Canceled(RuntimeError):
     pass
 
@@ -59,7 +79,10 @@ class Runner:
         tell("load market")
         raw = providers.build(data).load(self.spark, request)
         market = prepare.adjust(prepare.normalise(raw), prepare.parse_adjustments(c.get("adjustments"))).persist()
-        feeds = {k: self.feeds.get(k, self.spark.createDataFrame([], s)) for k, s in EMPTY.items()}
+        given, warnings = allowed_feeds(c, self.feeds)
+        for w in warnings:
+            self.context.log("WARN", w)
+        feeds = {k: given.get(k, self.spark.createDataFrame([], s)) for k, s in EMPTY.items()}
         tell("quality")
         report = quality.symbols(market).persist()
         windows, horizons = [int(w) for w in c["factors"].get("windows", [5, 10, 20])], tuple(int(h) for h in c["factors"].get("horizons", [1]))
@@ -82,9 +105,9 @@ class Runner:
         top = evaluation.select_top(scored, config.horizon)
         rows = backtest.factor_rows(panel, names, scored, config.horizon)
         best = rows.join(F.broadcast(top.select("factor")), "factor", "left_semi").drop("factor")
-        curve = backtest.returns(best, config, spreads=self.feeds.get("micro"), rates=self.feeds.get("history"))
+        curve = backtest.returns(best, config, spreads=given.get("micro"), rates=given.get("history"))
         tell("backtests")
-        swept = backtest.sweep(panel, names, scored, config, self.feeds.get("micro"), self.feeds.get("history")).persist()
+        swept = backtest.sweep(panel, names, scored, config, given.get("micro"), given.get("history")).persist()
         wf = walkforward.WalkForwardConfig(**(c.get("walk_forward") or {}))
         tell("signals and cards")
         radar = signals.radar(panel, names, swept, int((c.get("signals") or {}).get("min_history", 20))).persist()
@@ -92,12 +115,12 @@ class Runner:
         provider = str(data.get("provider", "synthetic")).lower()
         now = datetime.fromisoformat(c["generated_at"]) if c.get("generated_at") else datetime.now(timezone.utc).replace(tzinfo=None)
         indicators = technicals.panel(market)
-        status = context.source_status(provider, request.frequency, market, {"derivatives_snapshot": self.feeds.get("derivatives"), "derivatives_history": self.feeds.get("history"), "microstructure": self.feeds.get("micro"), "onchain": self.feeds.get("onchain")}, now)
+        status = context.source_status(provider, request.frequency, market, {"derivatives_snapshot": given.get("derivatives"), "derivatives_history": given.get("history"), "microstructure": given.get("micro"), "onchain": given.get("onchain")}, now)
         return {
             "market_data": market, "data_quality": report, "data_quality_issues": quality.issues(report), "data_quality_summary": quality.summary(report), "source_status": status, "source_overall": context.overall_status(status, provider),
             "derivatives_snapshot": feeds["derivatives"], "derivatives_history": feeds["history"], "microstructure_snapshot": feeds["micro"], "onchain_metrics": feeds["onchain"], "technical_indicators": indicators,
             "indicator_states": technicals.states(indicators), "factor_panel": panel, "factor_candidates": found, "factor_evaluation": scored, "top_factor": top, "backtest_returns": curve, "backtest_metrics": backtest.metrics(curve, config),
-            "factor_backtests": swept, "walk_forward": walkforward.validate(market, panel, names, wf, config, self.feeds.get("micro"), self.feeds.get("history")), "factor_signals": radar,
+            "factor_backtests": swept, "walk_forward": walkforward.validate(market, panel, names, wf, config, given.get("micro"), given.get("history")), "factor_signals": radar,
             "decision_cards": decisions.cards(market, radar, feeds["derivatives"], feeds["history"], feeds["micro"], feeds["onchain"], level), "raw_snapshots": store.manifest(market, self.context.run_id, "market_data", provider, "market_data"),
         }
 

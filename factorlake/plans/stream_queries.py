@@ -30,8 +30,9 @@ def queries() -> dict:
         "stream_latest_book": lambda s, d: rounded(feeds.run(feeds.latest_books(feeds.books(_routed(s, d))), "complete")),
         "stream_last_n_trades": _trades,
         "stream_liq_explode": lambda s, d: rounded(feeds.run(feeds.liquidations(_routed(s, d)))),
-        "stream_tumbling_bars": lambda s, d: rounded(feeds.run(feeds.tumbling_bars(_events(s, d), "1 hour"), "complete")),
-        "stream_sliding": lambda s, d: rounded(feeds.run(feeds.sliding(_events(s, d), "2 hours", "1 hour"), "complete")),
+        # Update mode lets the watermark end a window's state; each window's last row counts.
+        "stream_tumbling_bars": lambda s, d: rounded(feeds.run(feeds.tumbling_bars(_events(s, d), "1 hour"), "update", key=("timestamp", "symbol"))),
+        "stream_sliding": lambda s, d: rounded(feeds.run(feeds.sliding(_events(s, d), "2 hours", "1 hour"), "update", key=("start", "symbol"))),
         "stream_session": lambda s, d: rounded(feeds.run(feeds.sessions(_events(s, d), "30 minutes"), "complete")),
         "stream_dedup": lambda s, d: feeds.run(feeds.dedup(_events(s, d), "symbol", "user_id")),
     }

@@ -9,6 +9,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factorlake.operators import technicals
 from factorlake.operators.prepare import normalise
 from factorlake.schemas import FREQUENCIES, DataRequest
 from factorlake.sources import payloads
@@ -149,3 +150,9 @@ def tail(market: DataFrame, symbol: str, limit: int = 240) -> DataFrame:
     return market.filter(F.col("symbol") == symbol).orderBy(F.col("timestamp").desc()).limit(n).orderBy("timestamp")
 
 
+def live_series(market: DataFrame, symbol: str, limit: int = 240, warm_up: int = 30) -> DataFrame:
+    """The last bars (20 to 1000) of one symbol with technical indicators, oldest first; `warm_up` earlier bars feed the indicators and don't show."""
+    n = min(max(limit, 20), 1000)
+    newest = F.col("timestamp").desc()
+    bars = market.filter(F.col("symbol") == symbol).orderBy(newest).limit(n + warm_up)
+    return technicals.panel(bars).orderBy(newest).limit(n).orderBy("timestamp")

@@ -138,7 +138,10 @@ def sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "symbol", "n", "total")
 
 
-def dedup(events: DataFrame, *keys: str) -> DataFrame:
+def dedup(events: DataFrame, *keys: str, late: str | None = None) -> DataFrame:
+    """The first row of each key; with `late`, state is held for that long only and a key may come again after it."""
+    if late:
+        return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys)).select(*keys)
     return events.dropDuplicates(list(keys)).select(*keys)
 
 
@@ -148,8 +151,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run(stream: DataFrame, mode: str = "append", finish: Callable[[DataFrame], DataFrame] | None = None, key: str | None = None) -> DataFrame:
+def run(stream: DataFrame, mode: str = "append", finish: Callable[[DataFrame], DataFrame] | None = None, key: str | tuple[str, ...] | None = None) -> DataFrame:
     """All that is there now, through the stream, as a table: complete mode keeps the last batch, others all batches, of which each key's last row counts where there is a key."""
+    keys = (key,) if isinstance(key, str) else key
     spark = stream.sparkSession
     out = workdir.fresh(spark, "stream-out")
 
@@ -165,9 +169,9 @@ def run(stream: DataFrame, mode: str = "append", finish: Callable[[DataFrame], D
         query.awaitTermination()
     finally:
         spark.conf.set(store, before) if before else spark.conf.unset(store)
-    if key:
+    if keys:
         rows = spark.read.schema(T.StructType([*stream.schema, T.StructField("epoch", T.LongType())])).option("basePath", out).parquet(f"{out}/epoch=*")
-        table = rows.groupBy(key).agg(F.max_by(F.struct(*stream.columns), "epoch").alias("row")).select("row.*")
+        table = rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "epoch").alias("row")).select("row.*")
     else:
         table = spark.read.schema(stream.schema).parquet(f"{out}/all" if mode == "complete" else f"{out}/*")
     return finish(table) if finish else table
