@@ -1,18 +1,19 @@
 """Information coefficients and quantile spreads: all factors and horizons in one job.
 
 The wide panel is unpivoted once; factor and horizon are grouping keys, so no
-driver loop runs a job per factor. Ranks pooled over symbols and times sort one
-factor's values in one task per (horizon, factor); only that rank needs it.
+driver loop runs a job per factor. Ranks pooled over symbols and times come from
+ranges and prefix sums, so no task sorts all values of a factor.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorlake.functions.numerics import average_rank, correlation, div, quantile_bucket
+from factorlake.functions.ranks import average_ranks, places
 from factorlake.operators.factors import long_panel
 
 KEYS = ("horizon", "factor")
@@ -35,7 +36,7 @@ def _rank_correlations(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def pooled(rows: DataFrame) -> DataFrame:
-    ranked = rows.select(*KEYS, "value", "target", average_rank("value", *KEYS).alias("a"), average_rank("target", *KEYS).alias("b"))
+    ranked = average_ranks(rows.select(*KEYS, "value", "target"), KEYS, a="value", b="target")
     return ranked.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("observations"), correlation("value", "target").alias("pooled_pearson"), correlation("a", "b").alias("pooled_spearman"))
 
 
@@ -58,9 +59,8 @@ def time_series_ic(rows: DataFrame, min_observations: int = 30) -> DataFrame:
 
 def quantile_spread(rows: DataFrame) -> DataFrame:
     """Mean target of the top bucket less the bottom one; buckets by first-come ranks."""
-    per = Window.partitionBy(*KEYS)
     kinds = rows.groupBy(*KEYS).agg(F.least(F.lit(5), F.count_distinct("value")).alias("q"))
-    ranked = rows.withColumn("r", F.row_number().over(per.orderBy("value", "timestamp", "symbol")))
+    ranked = places(rows, KEYS, ("value", "timestamp", "symbol")).withColumn("r", F.col("before") + 1)
     b = ranked.join(F.broadcast(kinds), list(KEYS)).filter("q >= 2").withColumn("b", quantile_bucket(F.col("r"), F.col("n"), F.col("q")))
     return b.groupBy(*KEYS).agg((F.avg(F.when(F.col("b") == F.col("q") - 1, F.col("target"))) - F.avg(F.when(F.col("b") == 0, F.col("target")))).alias("quantile_spread"))
 

@@ -7,7 +7,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorlake.functions.numerics import average_rank, correlation
+from factorlake.functions.numerics import correlation
+from factorlake.functions.ranks import average_ranks
 from factorlake.operators import factors
 
 
@@ -37,7 +38,7 @@ def forest(market: DataFrame, windows: list[int], horizon: int, trees: int = 80,
         return keys, []
     model = RandomForestRegressor(featuresCol="features", labelCol=target, predictionCol=name, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="all", seed=seed).fit(train)
     predicted = model.transform(test).select("timestamp", "symbol", name, target)
-    ranked = predicted.select(F.lit(1).alias("k"), name, target).select("k", average_rank(name, "k").alias("a"), average_rank(target, "k").alias("b"))
+    ranked = average_ranks(predicted.select(F.lit(1).alias("k"), name, target), ("k",), a=name, b=target)
     score = ranked.groupBy("k").agg(correlation("a", "b").alias("s")).first()
     weights = sorted(zip(names, model.featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))[:top]
     candidate = {"name": name, "source": "random_forest", "description": "out-of-sample forest prediction", "score": score["s"] if score else None, "importances": [{"name": a, "importance": b} for a, b in weights]}

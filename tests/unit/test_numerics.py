@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from factorlake.functions import numerics as N
+from factorlake.functions import ranks
 
 
 def test_buckets_equal_pandas(spark):
@@ -34,3 +35,17 @@ def test_correlation_of_constants_is_null(spark):
 def test_average_rank(spark):
     df = spark.createDataFrame([(1, v) for v in (3.0, 1.0, 3.0, 2.0)], "g int, v double")
     assert sorted(r.a for r in df.select(N.average_rank("v", "g").alias("a")).collect()) == [1.0, 2.0, 3.5, 3.5]
+
+
+def test_ranks_by_ranges_equal_pandas(spark):
+    rng = np.random.default_rng(5)
+    # One value holds a third of the rows, one key most of them.
+    x = np.where(rng.random(3000) < 0.33, 0.5, rng.integers(-40, 40, 3000) / 7.0)
+    k = np.where(rng.random(3000) < 0.9, "hot", "cold")
+    table = pd.DataFrame({"k": k, "x": x, "i": np.arange(3000)})
+    rows = spark.createDataFrame(table)
+    got = ranks.average_ranks(rows, ("k",), r="x").toPandas().sort_values("i")
+    assert (got["r"].to_numpy() == table.groupby("k")["x"].rank(method="average").to_numpy()).all()
+    got = ranks.places(rows, ("k",), ("x", "i")).toPandas().sort_values("i")
+    assert (got["before"].to_numpy() + 1 == table.groupby("k")["x"].rank(method="first").to_numpy()).all()
+    assert ranks.average_ranks(rows.limit(0), ("k",), r="x").count() == 0
