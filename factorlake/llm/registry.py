@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factorlake.llm import bpe, langid, licenses, media, mixing, neardup, quality, suffix_dedup, topk, toxicity
+from factorlake.llm import bpe, filter_audit, langid, licenses, media, mixing, neardup, quality, suffix_dedup, token_files, topk, toxicity, vector_codes
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op7_mixing": mixing.op7_mixing,
         "op9_minhash_near_dedup": neardup.op9_minhash_near_dedup,
         "op8_license_scans": licenses.op8_license_scans,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_token_files": token_files.op13_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_top_k": topk.ORACLE, "op7_mixing": mixing.ORACLE}
+    return {"op4_exact_top_k": topk.ORACLE, "op7_mixing": mixing.ORACLE, "op11_vector_codes": vector_codes.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
