@@ -101,7 +101,7 @@ def test_a_damaged_frame_is_noticed(spark, tmp_path):
     token_files.store(spark.createDataFrame(given, FIELDS).coalesce(1), str(folder), frame_bytes=2000)
     (path,) = folder.glob("*.tok.zst")
     raw = bytearray(path.read_bytes())
-    raw[60] ^= 255
+    raw[10] ^= 255
     path.write_bytes(bytes(raw))
     with pa.OSFile(str(path)) as f:
         r = token_files.FileReader(f)
