@@ -19,10 +19,12 @@ Reading plans ranges of ids within files. Filters on doc_id are pushed down
 where spark.sql.python.filterPushdown.enabled says so: they rule out files by the manifest and documents by the index, and only frames of
 documents that are asked for are read, decompressed and checked.
 
-Encoding: white space never belongs to a token of this vocabulary, so words are
-encoded on their own by the library and kept in a bounded table; ASCII words are
-cut into the pre-tokenizer's pieces first, as these are fewer. A word with a special token's
-opening or beyond ASCII goes to the library as it is.
+Encoding: white space never belongs to a token of this vocabulary, so stretches
+between white space are encoded on their own. Texts of Latin letters, digits and
+ASCII signs are cut into the pre-tokenizer's pieces here, and the library's model
+merges a piece that a bounded table doesn't know; of other texts the words with
+anything else, or with a special token's opening, go through the whole library as
+they are.
 
 Edge cases: null text is empty and has the end id alone; null doc_ids come
 last; rows of one doc_id are documents of their own, in the order of their texts' hashes and texts;
@@ -60,17 +62,27 @@ FRAME_BYTES = 128 << 10
 FILE_BYTES = 256 << 20
 RANGE_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
-WORDS_KEPT = 200_000
+PIECES_KEPT = 300_000
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 MANIFEST = "manifest.jsonl"
 # Fixed values of the public seekable format, and the index's magic number, one of those left to users.
 SEEK_MAGIC, FOOTER_MAGIC, CHECKSUMS, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x80, 0x184D2A53
-# The tokenizer's own pre-tokenizer pattern for ASCII, either case.
-_PIECE = re.compile(rb"'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+")
+# Letters that normalise to themselves and whose small letters are single characters: what words in Latin script are made of.
+_LATIN = "a-z\u00df-\u00f6\u00f8-\u00ff\u0101-\u012f\u0131-\u0148\u014a-\u017e"
+# The tokenizer's own pre-tokenizer pattern, for small letters of these, digits and ASCII signs.
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[!-/:-@\[-`{{-~]+")
+_PLAIN = re.compile(rf"[\t-\r -~{_LATIN}\u00c0-\u00d6\u00d8-\u00de\u0100-\u012f]*")
+_SPACE = re.compile(rb"[\t-\r ]")
 
 
-class WordIds(dict):
-    """Word bytes -> its ids as little-endian 32-bit bytes, by the tokenizers library; emptied when full."""
+def _byte_signs() -> dict[int, str]:
+    """The public byte-level alphabet: printable Latin-1 stands for itself, other bytes for the code points from 256 on."""
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
+
+
+class PieceIds(dict):
+    """A text's piece -> its ids as little-endian 32-bit bytes, by the library's model; of two generations the older is given up when the newer is full."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -78,38 +90,44 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.pieces: dict[bytes, bytes] = {}
-
-    def _encoded(self, raw: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        self.model = self.tokenizer.model
+        self.signs = _byte_signs()
+        self.older: dict[str, bytes] = {}
 
-    def _piece(self, raw: bytes) -> bytes:
-        found = self.pieces.get(raw)
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
         if found is None:
-            found = self._encoded(raw)
-            if len(raw) <= 64:
-                if len(self.pieces) >= WORDS_KEPT:
-                    self.pieces.clear()
-                self.pieces[raw] = found
-        return found
-
-    def __missing__(self, word: bytes) -> bytes:
-        plain = word.isascii() and b"<|" not in word
-        found = b"".join(map(self._piece, _PIECE.findall(word))) if plain else self._encoded(word)
-        if len(word) <= 64:
-            if len(self) >= WORDS_KEPT:
+            signs = piece if piece.isascii() else "".join(self.signs[b] for b in piece.encode())
+            found = struct.pack(f"<{len(ids := [t.id for t in self.model.tokenize(signs)])}I", *ids)
+        if len(piece) <= 64:
+            if len(self) >= PIECES_KEPT:
+                self.older = dict(self)
                 self.clear()
-            self[word] = found
+            self[piece] = found
         return found
 
-    def text(self, raw: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, raw.split()))
+    def _encoded(self, text: str) -> bytes:
+        if _PLAIN.fullmatch(text) and "<|" not in text and "\u0130" not in text:
+            return b"".join(map(self.__getitem__, _PIECE.findall(text.lower())))
+        words = [w.decode() for w in text.encode().split()]
+        if len(words) > 1:
+            return b"".join(map(self._encoded, words))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def text(self, raw: bytes, step: int = 1 << 20) -> bytes:
+        """The ids of a whole text, in stretches that end before white space."""
+        out, at = [], 0
+        while len(raw) - at > step and (m := _SPACE.search(raw, at + step)):
+            out.append(self._encoded(raw[at : m.start()].decode()))
+            at = m.start()
+        out.append(self._encoded(raw[at:].decode()))
+        return b"".join(out)
 
 
 @lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
+def piece_ids(path: str) -> PieceIds:
     """One table for each Python worker."""
-    return WordIds(path)
+    return PieceIds(path)
 
 
 def default_tokenizer() -> str:
@@ -248,7 +266,7 @@ class TokenWriter(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         fs, root = open_fs(self.path)
         fs.create_dir(root, recursive=True)
-        words, end, pid = word_ids(self.tokenizer), struct.pack("<I", self.end), TaskContext.get().partitionId()
+        ids, end, pid = piece_ids(self.tokenizer), struct.pack("<I", self.end), TaskContext.get().partitionId()
         files: list[dict] = []
         now: FileWriter | None = None
         for batch in batches:
@@ -256,7 +274,7 @@ class TokenWriter(DataSourceArrowWriter):
                 if now is None:
                     files.append({"name": f"{uuid.uuid4().hex}.tok.zst", "task": pid})
                     now = FileWriter(fs.open_output_stream(posixpath.join(root, files[-1]["name"]), compression=None), self.frame_bytes)
-                now.add(doc_id, words.text(raw.as_py() or b"") + end)
+                now.add(doc_id, ids.text(raw.as_py() or b"") + end)
                 if now.written >= self.file_bytes:
                     files[-1] |= now.close()
                     now = None
