@@ -51,10 +51,15 @@ def rolling(f: Callable[[Column], Column], x: Num, n: int, least: int, over=None
     return F.when(F.count(x).over(w) >= least, f(x).over(w))
 
 
+def doubled_rank(x: Num, *keys: str) -> Column:
+    """Twice the 1-based rank of x within keys, ties averaged: a whole number."""
+    x = _c(x)
+    return (2 * F.rank().over(Window.partitionBy(*keys).orderBy(x)) + F.count(F.lit(1)).over(Window.partitionBy(*keys, x)) - 1).cast("long")
+
+
 def average_rank(x: Num, *keys: str) -> Column:
     """1-based rank of x within keys, ties averaged."""
-    x = _c(x)
-    return F.rank().over(Window.partitionBy(*keys).orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, x)) - 1) / F.lit(2.0)
+    return doubled_rank(x, *keys) / F.lit(2.0)
 
 
 def correlation(x: Num, y: Num) -> Column:
@@ -65,6 +70,21 @@ def correlation(x: Num, y: Num) -> Column:
     return F.when((F.count(F.lit(1)) >= 3) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), r)
 
 
+def rank_correlation(a: Num, b: Num) -> Column:
+    """Aggregate: correlation of all rows' doubled ranks a and b, NULL under three rows or where a side is constant.
+
+    Sums of whole numbers in decimals, so the order of rows changes no bit, and
+    opposite ranks give exactly opposite correlations. Ranks up to about 10^12 rows.
+    """
+    a, b = (_c(x).cast("decimal(15,0)") for x in (a, b))
+    n = F.count(F.lit(1))
+    # Doubled ranks sum to n (n + 1), whatever the ties.
+    middle = n.cast("decimal(13,0)") * (n + 1).cast("decimal(13,0)") * (n + 1).cast("decimal(13,0)")
+    product, left, right = (F.sum(x * y) - middle for x, y in ((a, b), (a, a), (b, b)))
+    r = div(product, F.sqrt(left.cast("double")) * F.sqrt(right.cast("double")))
+    return F.when((n >= 3) & (left > 0) & (right > 0), r)
+
+
 def quantile_bucket(rank: Column, n: Column, q: Column) -> Column:
     """0-based bucket of a rank in 1..n for q in 2..5 equal-probability buckets, edges interpolated linearly and closed on the right."""
     out = F.lit(0)

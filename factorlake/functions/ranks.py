@@ -10,28 +10,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorlake.functions import workdir
+from factorlake.functions import ranges
+from factorlake.functions.ranges import RANGE
 
 
 def places(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], size: str | None = None) -> DataFrame:
     """rows with `before`: how many rows of the same keys (or how much of `size`) come earlier by `order`, which has no nulls and no ties."""
-    workdir.shared_dir(rows.sparkSession)
     n = F.lit(1) if size is None else F.col(size)
-    # Ranges are cut from a sample, so they are written down: made anew they could lie elsewhere.
-    dealt = rows.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()).checkpoint()
-    at = [*keys, "__range"]
-    earlier = (Window.unboundedPreceding, -1)
-    totals = dealt.groupBy(*at).agg(F.sum(n).alias("__n"))
-    ranges = Window.partitionBy(*keys).orderBy("__range").rowsBetween(*earlier)
-    base = totals.select(*at, F.coalesce(F.sum("__n").over(ranges), F.lit(0)).alias("__base"))
-    own = Window.partitionBy(*at).orderBy(*order).rowsBetween(*earlier)
+    dealt = ranges.dealt(rows, keys, order)
+    totals = dealt.groupBy(*keys, RANGE).agg(F.sum(n).alias("__n"))
+    base = ranges.carried(totals, keys, __base=F.sum("__n").over(ranges.earlier(keys)))
+    own = Window.partitionBy(*keys, RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     within = dealt.withColumn("__own", F.coalesce(F.sum(n).over(own), F.lit(0)))
-    # As ranges are in order of the keys, base has at most as many rows as there are ranges and keys.
-    return within.join(F.broadcast(base), at).withColumn("before", F.col("__base") + F.col("__own")).drop("__range", "__own", "__base")
+    return ranges.met(within, base, keys).withColumn("before", F.coalesce("__base", F.lit(0)) + F.col("__own")).drop(RANGE, "__own", "__base")
 
 
-def average_ranks(rows: DataFrame, keys: tuple[str, ...], **named: str) -> DataFrame:
-    """rows with 1-based ranks within keys, ties averaged: each name=column adds one. Ranked columns have no nulls.
+def doubled_ranks(rows: DataFrame, keys: tuple[str, ...], **named: str) -> DataFrame:
+    """rows with twice their 1-based ranks within keys, ties averaged, so they are whole: each name=column adds one. Ranked columns have no nulls.
 
     Ranks are of distinct values with their counts, so ties are summed before
     anything moves.
@@ -39,6 +34,11 @@ def average_ranks(rows: DataFrame, keys: tuple[str, ...], **named: str) -> DataF
     given = rows
     for name, x in named.items():
         counts = given.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("__c"))
-        ranked = places(counts, keys, (x,), "__c").select(*keys, x, (F.col("before") + (F.col("__c") + 1) / F.lit(2.0)).alias(name))
+        ranked = places(counts, keys, (x,), "__c").select(*keys, x, (2 * F.col("before") + F.col("__c") + 1).cast("long").alias(name))
         rows = rows.join(ranked, [*keys, x])
     return rows
+
+
+def average_ranks(rows: DataFrame, keys: tuple[str, ...], **named: str) -> DataFrame:
+    """The same as ranks: half of doubled_ranks."""
+    return doubled_ranks(rows, keys, **named).withColumns({name: F.col(name) / F.lit(2.0) for name in named})

@@ -11,7 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorlake.functions import ranges
 from factorlake.functions.numerics import div, finite
+from factorlake.functions.ranges import RANGE
 from factorlake.operators.factors import long_panel
 
 
@@ -87,10 +89,10 @@ def turnover(w: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return moves.select(*keys, "symbol", F.explode(F.array_compact("m")).alias("x")).select(*keys, "x.timestamp", "symbol", "x.turnover")
 
 
-def latest_spreads(spreads: DataFrame) -> DataFrame:
-    """(symbol, spread_bps): each symbol's last known spread by timestamp; the larger of several at one time, or where there is no timestamp."""
-    order = F.struct("timestamp", "spread_bps") if "timestamp" in spreads.columns else F.col("spread_bps")
-    return spreads.filter(F.col("symbol").isNotNull() & F.col("spread_bps").isNotNull()).groupBy("symbol").agg(F.max_by("spread_bps", order).alias("spread_bps"))
+def latest_spreads(spreads: DataFrame, order: str | None = None) -> DataFrame:
+    """(symbol, spread_bps): each symbol's last known spread by timestamp and, at one timestamp or without any, by the column `order`; without one the larger counts."""
+    last = F.struct(*(c for c in ("timestamp",) if c in spreads.columns), order or "spread_bps", "spread_bps")
+    return spreads.filter(F.col("symbol").isNotNull() & F.col("spread_bps").isNotNull()).groupBy("symbol").agg(F.max_by("spread_bps", last).alias("spread_bps"))
 
 
 def execution_costs(moved: DataFrame, config: BacktestConfig, spreads: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -103,33 +105,39 @@ def execution_costs(moved: DataFrame, config: BacktestConfig, spreads: DataFrame
     return moved.groupBy(*keys, "timestamp").agg(F.sum("turnover").alias("turnover"), F.sum(cost).alias("execution_cost"))
 
 
-def as_of(left: DataFrame, right: DataFrame, value: str, keys: tuple[str, ...] = (), by: str = "symbol") -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, value: str, keys: tuple[str, ...] = (), by: str = "symbol", order: str | None = None) -> DataFrame:
     """left with the last non-null `value` of right at or before each row's timestamp, per `by`.
 
-    Both sides meet in one sort: right's rows stand first at equal timestamps,
-    and a running last-non-null carries them forward. Of several of right's
-    values at one time the largest counts. right is shared by all keys, so where
-    left has keys its distinct times are looked up once and joined back: no
-    symbol's rows of all keys meet in one task.
+    Both sides meet in ranges of (by, timestamp): right's rows stand first at equal
+    timestamps, a running last-non-null carries them forward within a range, and
+    each range is told the last value of its first `by` in earlier ones. So one
+    symbol's history may be longer than a task holds. Of several of right's
+    values at one time the last by the column `order` counts; without one, the largest.
+    right is shared by all keys, so where left has keys its distinct times are looked up
+    once and joined back. A null `by` has no value.
     """
     if keys:
-        return left.join(as_of(left.select("timestamp", by).distinct(), right, value, (), by), ["timestamp", by])
-    a = left.withColumns({"__v": F.lit(None).cast("double"), "__side": F.lit(1)})
-    b = right.filter(F.col(value).isNotNull()).select("timestamp", by, F.col(value).alias("__v")).withColumn("__side", F.lit(0))
-    both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy("timestamp", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("__v", ignorenulls=True).over(w)).filter("__side = 1").drop("__v", "__side")
-
-
-def funding_costs(w: DataFrame, rates: DataFrame, config: BacktestConfig, keys: tuple[str, ...] = ()) -> DataFrame:
+        return left.join(as_of(left.select("timestamp", by).distinct(), right, value, (), by, order), ["timestamp", by])
+    a = left.withColumn("__side", F.lit(1))
+    b = right.filter(F.col(value).isNotNull() & F.col(by).isNotNull()).select("timestamp", by, F.col(value).alias("__v"), F.col(order or value).alias("__order")).withColumn("__side", F.lit(0))
+    at = ("timestamp", "__side", "__order", "__v")
+    both = ranges.dealt(a.unionByName(b, allowMissingColumns=True), (by,), at)
+    place = F.struct(*at)
+    pieces = both.groupBy(by, RANGE).agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), place)).alias("__last"))
+    carry = ranges.carried(pieces, (by,), __carry=F.last("__last", ignorenulls=True).over(ranges.earlier((by,))))
+    here = F.last("__v", ignorenulls=True).over(ranges.own((by,), at))
+    return ranges.met(both.withColumn("__here", here), carry, (by,)).withColumn(value, F.coalesce("__here", "__carry")).filter("__side = 1").drop("__v", "__side", "__order", "__here", "__carry", RANGE)
+
+
+def funding_costs(w: DataFrame, rates: DataFrame, config: BacktestConfig, keys: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
     """(keys, timestamp, funding_cost): weight times the last known annualised rate, per bar."""
-    met = as_of(w.select(*keys, "timestamp", "symbol", "weight"), rates, "annualized_funding_rate", keys)
+    met = as_of(w.select(*keys, "timestamp", "symbol", "weight"), rates, "annualized_funding_rate", keys, order=order)
     cost = F.coalesce(F.col("weight") * F.col("annualized_funding_rate") / F.lit(float(max(config.annualization, 1))) * F.lit(config.funding_multiplier), F.lit(0.0))
     return met.groupBy(*keys, "timestamp").agg(F.sum(cost).alias("funding_cost"))
 
 
 def returns(rows: DataFrame, config: BacktestConfig, keys: tuple[str, ...] = (), spreads: DataFrame | None = None, rates: DataFrame | None = None) -> DataFrame:
-    """(keys, timestamp, gross_return, turnover, execution_cost, funding_cost, total_cost, net_return, equity_curve)."""
+    """(keys, timestamp, gross_return, turnover, execution_cost, funding_cost, total_cost, net_return, equity_curve, drawdown)."""
     w = weights(rows, config, keys).persist()
     on = [*keys, "timestamp"]
     gross = w.groupBy(*on).agg(F.coalesce(F.sum(F.col("weight") * F.col("target")), F.lit(0.0)).alias("gross_return"))
@@ -140,15 +148,34 @@ def returns(rows: DataFrame, config: BacktestConfig, keys: tuple[str, ...] = (),
         out = out.withColumn("funding_cost", F.lit(0.0))
     out = out.fillna(0.0, ["gross_return", "turnover", "execution_cost", "funding_cost"])
     out = out.withColumn("total_cost", F.col("execution_cost") + F.col("funding_cost")).withColumn("net_return", F.col("gross_return") - F.col("total_cost"))
-    curve = Window.partitionBy(*keys).orderBy("timestamp").rowsBetween(Window.unboundedPreceding, 0)
-    # A product beyond a double's range is no number.
-    return out.withColumn("equity_curve", finite(F.product(F.col("net_return") + 1.0).over(curve)))
+    out = curve(out, keys)  # writes its ranges, so the holdings are done with
+    w.unpersist()
+    return out
+
+
+def curve(r: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """r with equity_curve, the running product of 1 + net_return, and drawdown, that against the curve's running maximum.
+
+    Ranges of (keys, timestamp) multiply and take maxima by themselves; of each the product and the largest and
+    smallest running product are carried, as a negative product turns them round. A product
+    beyond a double's range is no number.
+    """
+    at = ("timestamp",)
+    own = ranges.own(keys, at)
+    d = ranges.dealt(r, keys, at)
+    d = d.withColumn("__p", F.product(F.col("net_return") + 1.0).over(own))
+    pieces = d.groupBy(*keys, RANGE).agg(F.max_by("__p", "timestamp").alias("all"), F.max("__p").alias("most"), F.min("__p").alias("least"))
+    before = F.coalesce(F.product("all").over(ranges.earlier(keys)), F.lit(1.0))
+    tops = pieces.withColumn("before", before).withColumn("top", finite(F.col("before") * F.when(F.col("before") >= 0, F.col("most")).otherwise(F.col("least"))))
+    carry = ranges.carried(tops, keys, __before=F.col("before"), __top=F.max("top").over(ranges.earlier(keys)))
+    d = ranges.met(d, carry, keys).withColumn("equity_curve", finite(F.coalesce("__before", F.lit(1.0)) * F.col("__p")))
+    peak = F.greatest("__top", F.max("equity_curve").over(own))
+    return d.withColumn("drawdown", div("equity_curve", peak) - 1.0).drop("__p", "__before", "__top", RANGE)
 
 
 def metrics(r: DataFrame, config: BacktestConfig, keys: tuple[str, ...] = ()) -> DataFrame:
     """One row for each key. Drawdown is against the running maximum of the curve, so a loss in the first bar doesn't count."""
-    curve = Window.partitionBy(*keys).orderBy("timestamp").rowsBetween(Window.unboundedPreceding, 0)
-    d = r.withColumn("drawdown", div("equity_curve", F.max("equity_curve").over(curve)) - 1.0)
+    d = r if "drawdown" in r.columns else curve(r.drop("equity_curve"), keys)
     ann = float(config.annualization)
     g = d.groupBy(*keys).agg(
         (F.max_by("equity_curve", "timestamp") - 1.0).alias("total_return"), F.avg("net_return").alias("mean"), F.stddev_pop("net_return").alias("sd"), F.min("drawdown").alias("max_drawdown"),

@@ -2,7 +2,9 @@
 
 The wide panel is unpivoted once; factor and horizon are grouping keys, so no
 driver loop runs a job per factor. Ranks pooled over symbols and times come from
-ranges and prefix sums, so no task sorts all values of a factor.
+ranges and prefix sums, so no task sorts all values of a factor. Rank
+correlations are ratios of exact sums, so factors that mirror each other have
+the same score to the last bit, and ties go by name.
 """
 
 from __future__ import annotations
@@ -12,8 +14,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorlake.functions.numerics import average_rank, correlation, div, quantile_bucket
-from factorlake.functions.ranks import average_ranks, places
+from factorlake.functions import workdir
+from factorlake.functions.numerics import correlation, div, doubled_rank, quantile_bucket, rank_correlation
+from factorlake.functions.ranks import doubled_ranks, places
 from factorlake.operators.factors import long_panel
 
 KEYS = ("horizon", "factor")
@@ -31,13 +34,13 @@ def observations(wide: DataFrame, factors: list[str], horizons: tuple[int, ...],
 
 
 def _rank_correlations(rows: DataFrame, *keys: str) -> DataFrame:
-    ranked = rows.select(*keys, average_rank("value", *keys).alias("a"), average_rank("target", *keys).alias("b"))
-    return ranked.groupBy(*keys).agg(correlation("a", "b").alias("ic"), F.count(F.lit(1)).alias("n"))
+    ranked = rows.select(*keys, doubled_rank("value", *keys).alias("a"), doubled_rank("target", *keys).alias("b"))
+    return ranked.groupBy(*keys).agg(rank_correlation("a", "b").alias("ic"), F.count(F.lit(1)).alias("n"))
 
 
 def pooled(rows: DataFrame) -> DataFrame:
-    ranked = average_ranks(rows.select(*KEYS, "value", "target"), KEYS, a="value", b="target")
-    return ranked.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("observations"), correlation("value", "target").alias("pooled_pearson"), correlation("a", "b").alias("pooled_spearman"))
+    ranked = doubled_ranks(rows.select(*KEYS, "value", "target"), KEYS, a="value", b="target")
+    return ranked.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("observations"), correlation("value", "target").alias("pooled_pearson"), rank_correlation("a", "b").alias("pooled_spearman"))
 
 
 def cross_section_ic(rows: DataFrame, min_assets: int = 3) -> DataFrame:
@@ -71,11 +74,15 @@ def evaluate(wide: DataFrame, factors: list[str], horizons: tuple[int, ...], min
     keys = list(KEYS)
     out = pooled(rows).join(cross_section_summary(cross_section_ic(rows, min_assets)), keys, "left").join(time_series_ic(rows, min_observations), keys, "left").join(quantile_spread(rows), keys, "left")
     spearman = F.col("pooled_spearman")
-    return out.select(
+    out = out.select(
         "factor", "horizon", "observations", "pooled_pearson", "pooled_spearman",
         F.coalesce("cs_ic", "pooled_spearman").alias("mean_cross_section_ic"), "ic_ir", "positive_cross_section_ic_ratio", "mean_time_series_ic", "quantile_spread",
         F.when(spearman >= 0, 1).otherwise(-1).alias("direction"), (F.abs(spearman) * F.sqrt(F.col("observations").cast("double"))).alias("score"),
     ).orderBy("horizon", F.col("score").desc_nulls_last(), "factor")
+    # One row for each horizon and factor, which choices, sweeps and reports read again and again.
+    found = workdir.written(out)
+    rows.unpersist()
+    return found
 
 
 def select_top(evaluation: DataFrame, horizon: int) -> DataFrame:

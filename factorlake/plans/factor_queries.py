@@ -151,7 +151,7 @@ def queries() -> dict:
     f["bt_turnover"] = lambda s, d: rounded(backtest.turnover(backtest.weights(_one(s, d), CONFIG)).filter("turnover > 0"))
     f["bt_exec_cost"] = lambda s, d: rounded(backtest.execution_costs(backtest.turnover(backtest.weights(_one(s, d), COSTLY)), COSTLY, spreads(s, d)), 8)
     f["bt_funding_asof"] = _funding
-    f["bt_returns"] = lambda s, d: rounded(backtest.returns(_one(s, d), CONFIG), 6, BIG)
+    f["bt_returns"] = lambda s, d: rounded(backtest.returns(_one(s, d), CONFIG).drop("drawdown"), 6, BIG)
     f["bt_metrics"] = lambda s, d: rounded(backtest.metrics(backtest.returns(_one(s, d), CONFIG), CONFIG), 6, BIG)
     f["bt_metrics_costly"] = bt_metrics_costly
     f["bt_sides"] = lambda s, d: rounded(backtest.sides(backtest.weights(_one(s, d), CONFIG)))
@@ -196,7 +196,7 @@ be AS (SELECT *, abs(train_spearman) * sqrt(train_observations::DOUBLE) AS train
        QUALIFY row_number() OVER (PARTITION BY fold ORDER BY abs(train_spearman) * sqrt(train_observations::DOUBLE) DESC NULLS LAST, factor) = 1),
 rows_ AS (SELECT te.*, direction FROM te JOIN be USING (fold, factor)),
 {S.backtest('rows_', 'fold')}
-SELECT {S.rnd('fold train_start train_end test_start test_end factor train_observations ~train_spearman ~train_score direction', 5)}, {S.rnd('^test_total_return ~test_sharpe ^test_max_drawdown ~test_win_rate test_periods', 5)}, 2::INT AS embargo,
+SELECT {S.rnd('fold train_start train_end test_start test_end')}, {', '.join(f"CASE WHEN test_periods IS NOT NULL THEN {x} END AS {n}" for n, x in (('factor', 'factor'), ('train_observations', 'train_observations'), ('train_spearman', 'round(train_spearman, 5) + 0.0::DOUBLE'), ('train_score', 'round(train_score, 5) + 0.0::DOUBLE'), ('direction', 'direction')))}, {S.rnd('^test_total_return ~test_sharpe ^test_max_drawdown ~test_win_rate test_periods', 5)}, 2::INT AS embargo,
   CASE WHEN factor IS NULL THEN 'no factor to choose' WHEN test_periods IS NULL THEN 'no test rows' END AS error
 FROM folds LEFT JOIN be USING (fold) LEFT JOIN (SELECT fold, total_return AS test_total_return, sharpe AS test_sharpe, max_drawdown AS test_max_drawdown, win_rate AS test_win_rate, periods AS test_periods FROM mt) USING (fold)"""
 

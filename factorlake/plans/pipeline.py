@@ -119,7 +119,7 @@ class Runner:
         return {
             "market_data": market, "data_quality": report, "data_quality_issues": quality.issues(report), "data_quality_summary": quality.summary(report), "source_status": status, "source_overall": context.overall_status(status, provider),
             "derivatives_snapshot": feeds["derivatives"], "derivatives_history": feeds["history"], "microstructure_snapshot": feeds["micro"], "onchain_metrics": feeds["onchain"], "technical_indicators": indicators,
-            "indicator_states": technicals.states(indicators), "factor_panel": panel, "factor_candidates": found, "factor_evaluation": scored, "top_factor": top, "backtest_returns": curve, "backtest_metrics": backtest.metrics(curve, config),
+            "indicator_states": technicals.states(indicators), "factor_panel": panel, "factor_candidates": found, "factor_evaluation": scored, "top_factor": top, "backtest_returns": curve.drop("drawdown"), "backtest_metrics": backtest.metrics(curve, config),
             "factor_backtests": swept, "walk_forward": walkforward.validate(market, panel, names, wf, config, given.get("micro"), given.get("history")), "factor_signals": radar,
             "decision_cards": decisions.cards(market, radar, feeds["derivatives"], feeds["history"], feeds["micro"], feeds["onchain"], level), "raw_snapshots": store.manifest(market, self.context.run_id, "market_data", provider, "market_data"),
         }
