@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorlake.functions import ranges
-from factorlake.operators import backtest, evaluation, factors
+from factorlake.functions.recurrences import Smoothing, smooth
+from factorlake.operators import backtest, evaluation, factors, technicals
 from factorlake.schemas import MARKET
 
 T0 = datetime(2022, 1, 1)
@@ -73,3 +74,62 @@ def test_mirrored_factors_tie_and_go_by_name(spark, partitions):
         assert list(e) == sorted(e, key=lambda f: (-e[f].score, f))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def plain(g: pd.DataFrame) -> pd.DataFrame:
+    """The smoothed indicators of one symbol by pandas."""
+    h, low, c = g["high"], g["low"], g["close"]
+    ewm = lambda x, alpha, least: x.ewm(alpha=alpha, adjust=False, min_periods=least, ignore_na=True).mean()
+    d = c.diff()
+    tr = pd.concat([h - low, (h - c.shift()).abs(), (low - c.shift()).abs()], axis=1).max(axis=1)
+    atr = ewm(tr, 1 / 14, 14)
+    up, down = h.diff(), -low.diff()
+    plus, minus = (100 * ewm(x, 1 / 14, 14) / atr for x in (up.where((up > down) & (up > 0), 0.0), down.where((down > up) & (down > 0), 0.0)))
+    macd = ewm(c, 2 / 13, 12) - ewm(c, 2 / 27, 26)
+    signal = ewm(macd, 0.2, 9)
+    rsi = 100 - 100 / (1 + ewm(d.clip(lower=0), 1 / 14, 14) / ewm(-d.clip(upper=0), 1 / 14, 14))
+    dx = 100 * (plus - minus).abs() / (plus + minus)
+    return pd.DataFrame({"ema_20": ewm(c, 2 / 21, 10), "ema_200": ewm(c, 2 / 201, 100), "rsi_14": rsi, "macd": macd, "macd_signal": signal, "macd_hist": macd - signal, "atr_14": atr, "plus_di_14": plus, "minus_di_14": minus, "adx_14": ewm(dx, 1 / 14, 14)})
+
+
+def test_smoothers_of_symbols_over_several_ranges_equal_pandas(spark, many_ranges):
+    r = np.random.default_rng(9)
+    frames = []
+    for s, n in (("LONG", 900), ("MID", 150), ("ONE", 1), ("SHORT", 12), ("Z", 200)):
+        c = 100 * np.exp(np.cumsum(r.normal(0, 0.03, n)))
+        f = pd.DataFrame({"timestamp": [T0 + timedelta(hours=k) for k in range(n)], "symbol": s, "open": c, "high": c * (1 + r.uniform(0, 0.03, n)), "low": c * (1 - r.uniform(0, 0.03, n)), "close": c, "volume": 1.0})
+        f.loc[r.random(n) < 0.05, "close"] = np.nan  # gaps, also at the ends of ranges
+        frames.append(f)
+    bars = spark.createDataFrame(pd.concat(frames)).withColumns({"timestamp": F.col("timestamp").cast("timestamp_ntz"), "close": F.when(~F.isnan("close"), F.col("close"))})
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    wanted = ("ema_20", "ema_200", "rsi_14", "macd", "macd_signal", "macd_hist", "atr_14", "plus_di_14", "minus_di_14", "adx_14")
+    try:
+        for size in ("64", before):  # many blocks in a range, and one
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = technicals.panel(bars, wanted).toPandas().sort_values(["symbol", "timestamp"])
+            for f in frames:
+                mine, want = got[got["symbol"] == f["symbol"].iloc[0]], plain(f)
+                for k in wanted:
+                    np.testing.assert_allclose(mine[k].to_numpy(float), want[k].replace([np.inf, -np.inf], np.nan).to_numpy(float), rtol=1e-9, atol=1e-9, err_msg=f"{k} {f['symbol'].iloc[0]}")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_a_scan_equals_steps():
+    r = np.random.default_rng(2)
+    for n in (1, 2, 3, 50, 333):
+        x = np.where(r.random(n) < 0.2, np.nan, r.normal(size=n))
+        starts = r.random(n) < 0.1
+        for first, state in ((True, (0, np.nan)), (False, (0, np.nan)), (False, (3, 0.7))):
+            starts[0] = first
+            how = Smoothing(0.3, 2)
+            got, count, y = smooth(x, starts, how, *state)
+            c, v, want = *state, []
+            for k in range(n):
+                if starts[k]:
+                    c, v = 0, np.nan
+                if x[k] == x[k]:
+                    c, v = c + 1, x[k] if c == 0 else 0.3 * x[k] + 0.7 * v
+                want.append(v if c >= 2 else np.nan)
+            np.testing.assert_allclose(got, want, rtol=1e-12)
+            assert count == c and (c == 0 or abs(y - v) < 1e-12)
