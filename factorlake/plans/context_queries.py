@@ -11,7 +11,7 @@ from factorlake.functions.numerics import rounded
 from factorlake.operators import backtest, context, decisions, evaluation, factors, mining, signals, store
 from factorlake.plans import factor_queries as Q
 from factorlake.plans import sqltext as S
-from factorlake.sources import bars, payloads
+from factorlake.sources import bars, onchain, payloads
 
 NOW = datetime(2024, 2, 1, 0, 0, 0)
 
@@ -88,6 +88,17 @@ def chain(spark: SparkSession, d: str) -> DataFrame:
     return context.onchain(a, c)
 
 
+def fetched_chain(spark: SparkSession, d: str) -> DataFrame:
+    """The same metrics out of replies as a metrics service gives them, one for each symbol and metric."""
+    o = bars.read(spark, d, "orders")
+    day = F.date_trunc("month", "o_orderdate").cast("timestamp_ntz")
+    g = o.groupBy(day.alias("t"), F.col("o_orderpriority").alias("symbol")).agg(F.count_distinct("o_custkey").cast("string").alias("AdrActCnt"), F.count(F.lit(1)).cast("string").alias("TxCnt"))
+    time = F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss'.000000000Z'").alias("time")
+    reply = lambda metric, month: g.filter(F.month("t") != month).groupBy("symbol").agg(F.to_json(F.struct(F.collect_list(F.struct(time, metric)).alias("data"))).alias("payload")).withColumn("metric", F.lit(metric))
+    replies = reply("AdrActCnt", 3).unionByName(reply("TxCnt", 7)).select("symbol", F.lower("symbol").alias("asset"), "metric", "payload", F.lit(None).cast("string").alias("warning"))
+    return onchain.context_of(replies, "community")
+
+
 def health(spark: SparkSession, d: str) -> DataFrame:
     m = bars.events_hourly(spark, d)
     return context.source_status("okx", "1h", m.filter("symbol <> 'click' or timestamp < '2024-01-20'"), {"derivatives_history": history(spark, d), "derivatives_snapshot": m.limit(0), "microstructure": m.filter("symbol = 'view'")}, datetime(2024, 1, 31, 1, 0, 0))
@@ -159,6 +170,7 @@ def queries() -> dict:
         "deriv_history_outer_merge": lambda s, d: rounded(history(s, d)),
         "micro_snapshot": lambda s, d: rounded(micro(s, d).drop("interpretation")),
         "onchain_context": lambda s, d: rounded(chain(s, d).drop("interpretation")),
+        "onchain_fetched": lambda s, d: rounded(fetched_chain(s, d).drop("interpretation")),
         "source_health": lambda s, d: rounded(health(s, d).drop("message")),
         "source_health_overall": lambda s, d: context.overall_status(health(s, d), "okx"),
         "signal_radar": lambda s, d: rounded(radar(s, d).drop("interpretation"), 5, ("total_return", "max_drawdown")),
@@ -269,7 +281,14 @@ def oracle_sql() -> dict[str, str]:
     o["deriv_crowding"] = f"WITH {SNAP} SELECT {S.rnd(snap_cols)}, crowding_label || '; ' || {rate} || '; ' || {size} AS interpretation FROM snap"
     o["deriv_history_outer_merge"] = f"WITH {S.EVENT_BARS}, {HIST} SELECT {S.rnd('timestamp symbol exchange inst_id inst_type ~funding_rate ~realized_rate ~annualized_funding_rate ~oi_contracts ~oi_ccy ~oi_usd ~long_short_ratio')} FROM hist"
     o["micro_snapshot"] = f"WITH {PT}, {MICRO} SELECT {_MST.format('t + INTERVAL 5 SECOND')} AS timestamp, 'okx' AS exchange, {S.rnd('symbol inst_id ~best_bid ~best_ask ~mid_price ~spread_bps ~bid_depth_usd ~ask_depth_usd ~depth_imbalance')}, round(mid, 4) AS last_trade_price, 1.5::DOUBLE AS last_trade_size, 'buy' AS last_trade_side, 3::BIGINT AS recent_trade_count, 2::BIGINT AS buy_trade_count, 1::BIGINT AS sell_trade_count, microstructure_label FROM micro"
-    o["onchain_context"] = f"WITH {CHAIN} SELECT {S.rnd('timestamp symbol provider asset ~active_addresses ~active_address_change ~tx_count ~tx_count_change onchain_label')} FROM chain"
+    cols = ["asset_class", "close", "frequency", "high", "low", "open", "symbol", "timestamp", "volume"]
+    text = "concat_ws(chr(31), " + ", ".join(f"coalesce('v' || {c}::VARCHAR, 'n')" for c in cols) + ")"
+    words = ", ".join(f"sum(('0x' || substr(h, {8 * k + 1}, 8))::BIGINT)::VARCHAR AS w{k}" for k in range(8))
+    o["raw_manifest"] = f"""WITH {S.EVENT_BARS}, r AS (SELECT sha256({text}) AS h FROM bars), w AS (SELECT count(*)::BIGINT AS rows, {words} FROM r),
+c AS (SELECT rows, sha256(concat_ws(',', '{"|".join(cols)}', rows::VARCHAR, {", ".join(f"w{k}" for k in range(8))})) AS content_hash FROM w),
+a AS (SELECT string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS symbols, min(timestamp) AS start, max(timestamp) AS "end" FROM bars)
+SELECT sha256('run-1|market|synthetic|' || content_hash || '|market.parquet') AS snapshot_id, 'run-1' AS run_id, 'market' AS dataset, 'synthetic' AS provider, content_hash, rows, symbols, start, "end", 'market.parquet' AS artifact_path, '{",".join(cols)}' AS columns FROM c, a"""
+    o["onchain_fetched"] = o["onchain_context"] = f"WITH {CHAIN} SELECT {S.rnd('timestamp symbol provider asset ~active_addresses ~active_address_change ~tx_count ~tx_count_change onchain_label')} FROM chain"
     fresh = "greatest(epoch(TIMESTAMP '2024-01-31 01:00:00' - latest_timestamp) / 60.0::DOUBLE, 0.0::DOUBLE)"
     rows = lambda scope, src, limit: f"SELECT '{scope}' AS scope, symbol, 'okx' AS provider, CASE WHEN {fresh} <= {limit} THEN 'OK' ELSE 'STALE' END AS status, rows, latest_timestamp, round({fresh}, 6) AS freshness_minutes FROM (SELECT symbol, count(*)::BIGINT AS rows, max(timestamp) AS latest_timestamp FROM {src} GROUP BY symbol)"
     single = lambda scope, status: f"SELECT '{scope}', 'ALL', 'okx', '{status}', 0::BIGINT, NULL::TIMESTAMP, NULL::DOUBLE"

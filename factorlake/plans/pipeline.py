@@ -10,9 +10,10 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factorlake.functions import workdir
 from factorlake.operators import backtest, context, decisions, evaluation, factors, mining, prepare, quality, signals, store, technicals, walkforward
 from factorlake.schemas import DataRequest
-from factorlake.sources import providers
+from factorlake.sources import onchain, providers
 
 EMPTY = {
     "derivatives": "timestamp timestamp_ntz, symbol string, annualized_funding_rate double, oi_usd double, crowding string, crowding_label string, interpretation string",
@@ -64,6 +65,7 @@ class Runner:
     config: dict
     context: RunContext = field(default_factory=RunContext)
     feeds: dict[str, DataFrame] = field(default_factory=dict)  # derivatives, history, micro, onchain, where there are any
+    onchain_fetch: Callable[[str, str, str, str], str] | None = None  # asks for on-chain metrics where no such feed is given
 
     def validate(self) -> None:
         for key in ("data", "factors", "backtest"):
@@ -79,7 +81,14 @@ class Runner:
         tell("load market")
         raw = providers.build(data).load(self.spark, request)
         market = prepare.adjust(prepare.normalise(raw), prepare.parse_adjustments(c.get("adjustments"))).persist()
-        given, warnings = allowed_feeds(c, self.feeds)
+        asked = dict(self.feeds)
+        if self.onchain_fetch and "onchain" not in asked:
+            replies = workdir.written(onchain.Metrics(self.onchain_fetch).load(self.spark, request))
+            asked["onchain"] = onchain.context_of(replies)
+        given, warnings = allowed_feeds(c, asked)
+        if "onchain" in given and "onchain" not in self.feeds:
+            # One row for each symbol and metric that failed.
+            warnings += [f"{r.symbol}: {r.warning}" for r in onchain.warnings(replies).orderBy("symbol", "metric").collect()]
         for w in warnings:
             self.context.log("WARN", w)
         feeds = {k: given.get(k, self.spark.createDataFrame([], s)) for k, s in EMPTY.items()}

@@ -8,11 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factorlake.functions.numerics import number
+from factorlake.operators import context
 from factorlake.schemas import DataRequest
 
 # Base currencies with metrics, and the provider's names of these.
 ASSETS = {"BTC": "btc", "ETH": "eth"}
 METRICS = ("AdrActCnt", "TxCnt")
+COLUMNS = {"AdrActCnt": "active_addresses", "TxCnt": "tx_count"}
+PROVIDER = "coinmetrics_community"
 REPLY = "symbol string, asset string, metric string, payload string, warning string"
 
 
@@ -51,6 +55,25 @@ class Metrics:
         return wanted.repartition(max(1, len(request.universe)), "symbol", "metric").mapInPandas(fetched, REPLY)
 
 
+def metrics(replies: DataFrame) -> DataFrame:
+    """(timestamp, symbol, asset, metric, value) of the replies' rows; times and values that can't be read are null, rows without a time leave."""
+    rows = F.from_json("payload", "data array<map<string,string>>")["data"]
+    x = replies.filter("payload is not null").select("symbol", "asset", "metric", F.explode(rows).alias("x"))
+    # Times end in nine digits and a Z; the day and the second are what is asked for.
+    at = F.regexp_replace(F.substring(F.col("x")["time"], 1, 19), "T", " ").try_cast("timestamp_ntz")
+    return x.select(at.alias("timestamp"), "symbol", "asset", "metric", number(F.col("x")[F.col("metric")]).alias("value")).filter("timestamp is not null")
+
+
+def context_of(replies: DataFrame, provider: str = PROVIDER) -> DataFrame:
+    """The replies' metrics as the on-chain context: one row per symbol and time, with changes and a label."""
+    rows = metrics(replies)
+    of = lambda metric: rows.filter(F.col("metric") == metric).select("timestamp", "symbol", F.lit(provider).alias("provider"), "asset", F.col("value").alias(COLUMNS[metric]))
+    return context.onchain(*map(of, METRICS))
+
+
 def warnings(replies: DataFrame) -> DataFrame:
-    """(symbol, metric, warning) of what could not be fetched."""
-    return replies.filter("warning is not null").select("symbol", "metric", "warning")
+    """(symbol, metric, warning) of what could not be fetched, has no column or came without rows."""
+    bare = replies.join(metrics(replies).select("symbol", "metric").distinct(), ["symbol", "metric"], "left_anti")
+    why = F.coalesce("warning", F.when(~F.col("metric").isin(*COLUMNS), F.concat(F.lit("no column for the metric "), "metric")), F.concat("metric", F.lit(" came without rows")))
+    unknown = replies.filter(~F.col("metric").isin(*COLUMNS))
+    return bare.unionByName(unknown).select("symbol", "metric", why.alias("warning")).distinct()

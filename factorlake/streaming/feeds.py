@@ -10,24 +10,22 @@ can't put an old book back.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from factorlake.functions import workdir
 from factorlake.functions.numerics import div, number
 from factorlake.operators.context import depth, levels, millis
+from factorlake.streaming.state import SERVED
 
 MESSAGE = "event string, code string, msg string, arg struct<channel:string,instId:string,instType:string>, data array<string>"
 BOOKS = ("books", "books5", "bbo-tbt")
 BOOK = "ts string, seqId string, bids array<array<string>>, asks array<array<string>>"
 TRADE = "instId string, px string, sz string, side string, tradeId string, ts string"
 LIQUIDATION = "instId string, instType string, details array<struct<side:string,sz:string,bkPx:string,ts:string,instId:string,instType:string>>"
-STORED, SERVED = 500, 120
 
 
 def spot_id(symbol: str, quote: str = "USDT") -> str:
@@ -66,7 +64,8 @@ def route(messages: DataFrame, text: str = "value") -> DataFrame:
 
 
 def _items(routed: DataFrame, kind: str, schema: str) -> DataFrame:
-    return routed.filter(F.col("kind") == kind).select("m.arg", F.explode("m.data").alias("raw")).select("arg", F.from_json("raw", schema).alias("x"))
+    seq = ["seq"] if "seq" in routed.columns else []
+    return routed.filter(F.col("kind") == kind).select(*seq, "m.arg", F.explode("m.data").alias("raw")).select(*seq, "arg", F.from_json("raw", schema).alias("x"))
 
 
 def books(routed: DataFrame) -> DataFrame:
@@ -89,28 +88,21 @@ def liquidations(routed: DataFrame) -> DataFrame:
     )
 
 
-def latest_books(rows: DataFrame) -> DataFrame:
-    """The book of the highest sequence per instrument; state is one row per instrument."""
-    fields = [c for c in rows.columns if c != "inst_id"]
-    return rows.groupBy("inst_id").agg(F.max_by(F.struct(*fields), F.struct("seq_id", "timestamp")).alias("b")).select("inst_id", "b.*")
-
+def liquidation_items(routed: DataFrame) -> DataFrame:
+    """(inst_id, seq, item) of each liquidation, as text, for a buffer; messages have a seq."""
+    x = _items(routed, "liquidation", LIQUIDATION).select("seq", "arg", "x", F.explode("x.details").alias("d"))
+    return x.select(F.coalesce("d.instId", "x.instId", "arg.instId").alias("inst_id"), "seq", F.concat_ws(" ", F.lower("d.side"), "d.sz", "d.bkPx").alias("item"))
 
-def last_n(rows: DataFrame, n: int = SERVED, order: str = "seq") -> DataFrame:
-    """(inst_id, items): the n newest of rows (inst_id, order, item) per instrument, newest first, kept in streaming state.
 
-    State holds n pairs per instrument, however long the stream runs.
-    """
+def event_items(routed: DataFrame) -> DataFrame:
+    """(inst_id, seq, item) of what is no book, trade or liquidation: the kind stands for the instrument, the text is the item."""
+    return routed.filter(~F.col("kind").isin("book", "trade", "liquidation")).select(F.col("kind").alias("inst_id"), "seq", F.substring("value", 1, 200).alias("item"))
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get)) if state.exists else []
-        for f in frames:
-            held = sorted([*held, *zip(f[order].tolist(), f["item"].tolist())], reverse=True)[:n]
-        state.update(([int(a) for a, _ in held], [b for _, b in held]))
-        yield pd.DataFrame({"inst_id": [key[0]], "items": [[b for _, b in held]]})
 
-    return rows.select("inst_id", F.col(order).cast("long").alias(order), F.col("item").cast("string").alias("item")).groupBy("inst_id").applyInPandasWithState(
-        step, "inst_id string, items array<string>", "orders array<long>, items array<string>", "update", GroupStateTimeout.NoTimeout
-    )
+def latest_books(rows: DataFrame) -> DataFrame:
+    """The book of the highest sequence per instrument; state is one row per instrument."""
+    fields = [c for c in rows.columns if c != "inst_id"]
+    return rows.groupBy("inst_id").agg(F.max_by(F.struct(*fields), F.struct("seq_id", "timestamp")).alias("b")).select("inst_id", "b.*")
 
 
 def last_n_batch(rows: DataFrame, n: int = SERVED, order: str = "seq") -> DataFrame:
@@ -194,6 +186,6 @@ def as_messages(events: DataFrame) -> DataFrame:
     detail = lambda s: F.struct(F.lit(s).alias("side"), F.lit("4").alias("sz"), text(price).alias("bkPx"), ms.alias("ts"))
     liquidation = F.to_json(F.struct(F.struct(F.lit("liquidation-orders").alias("channel"), F.lit("SWAP").alias("instType")).alias("arg"), F.array(F.struct(F.concat(inst, F.lit("-SWAP")).alias("instId"), F.array(detail("buy"), detail("sell")).alias("details"))).alias("data")))
     k = F.col("event_id") % 10
-    return events.select(F.when(k == 0, "pong").when(k == 1, "{broken").when(k == 2, F.lit('{"event":"error","code":"1","msg":"x"}')).when(k == 3, liquidation).when(k < 7, trade).otherwise(book).alias("value"))
+    return events.select(F.col("event_id").alias("seq"), F.when(k == 0, "pong").when(k == 1, "{broken").when(k == 2, F.lit('{"event":"error","code":"1","msg":"x"}')).when(k == 3, liquidation).when(k < 7, trade).otherwise(book).alias("value"))
 
 

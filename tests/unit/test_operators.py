@@ -8,7 +8,7 @@ from factorlake.operators import backtest, context, decisions, evaluation, facto
 from factorlake.plans import pipeline
 from factorlake.schemas import MARKET, DataRequest, frequency
 from factorlake.sources import payloads, providers
-from factorlake.streaming import feeds
+from factorlake.streaming import feeds, state
 
 T0 = datetime(2022, 1, 1)
 
@@ -236,7 +236,7 @@ def test_last_n_equals_the_batch_twin(spark, tmp_path):
     rows = spark.createDataFrame([(f"I{k % 3}", k, f"t{k}") for k in range(60)], "inst_id string, seq long, item string")
     rows.repartition(4).write.parquet(str(tmp_path / "t"))
     one_file_a_batch = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "t"))
-    got = feeds.run(feeds.last_n(one_file_a_batch, 5), "update", key="inst_id")
+    got = feeds.run(state.last_n(one_file_a_batch, 5), "update", key="inst_id")
     want = feeds.last_n_batch(rows, 5)
     assert sorted(map(str, got.select("inst_id", "items").collect())) == sorted(map(str, want.collect()))
 
