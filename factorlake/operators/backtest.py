@@ -72,6 +72,23 @@ def sides(w: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return g.select(*keys, "timestamp", apart.alias("longs"), F.size("down").alias("shorts"), "gross", "net")
 
 
+def apart(w: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """w; reading it fails where a symbol is held twice at a time, on one side or both."""
+    twice = F.count(F.lit(1)).over(Window.partitionBy(*keys, "timestamp", "symbol")) > 1
+    return w.withColumn("weight", F.when(twice, F.raise_error(F.concat(F.lit("a symbol is held more than once at one time: "), "symbol"))).otherwise(F.col("weight")))
+
+
+def one(wide: DataFrame, factor: str, horizon: int, direction: int = 1) -> DataFrame:
+    """(timestamp, symbol, value, direction, target) of one factor of a panel; an unknown factor or horizon is refused, and reading no rows at all fails."""
+    for c in (factor, f"fwd_return_{horizon}"):
+        if c not in wide.columns:
+            raise ValueError(f"the panel has no column {c!r}")
+    rows = wide.select("timestamp", "symbol", F.col(factor).alias("value"), F.lit(direction).alias("direction"), F.col(f"fwd_return_{horizon}").alias("target")).dropna(subset=["value", "target"])
+    if rows.isEmpty():
+        raise ValueError(f"the factor {factor!r} has no row with a forward return")
+    return rows
+
+
 def turnover(w: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, timestamp, symbol, turnover): |change of weight| of each holding, and of each exit at the time after its last holding.
 
@@ -138,7 +155,7 @@ def funding_costs(w: DataFrame, rates: DataFrame, config: BacktestConfig, keys:
 
 def returns(rows: DataFrame, config: BacktestConfig, keys: tuple[str, ...] = (), spreads: DataFrame | None = None, rates: DataFrame | None = None) -> DataFrame:
     """(keys, timestamp, gross_return, turnover, execution_cost, funding_cost, total_cost, net_return, equity_curve, drawdown)."""
-    w = weights(rows, config, keys).persist()
+    w = apart(weights(rows, config, keys), keys).persist()
     on = [*keys, "timestamp"]
     gross = w.groupBy(*on).agg(F.coalesce(F.sum(F.col("weight") * F.col("target")), F.lit(0.0)).alias("gross_return"))
     out = gross.join(execution_costs(turnover(w, keys), config, spreads, keys), on, "full_outer")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorlake.functions import ranges, ranks
 from factorlake.functions.numerics import div, number
+from factorlake.functions.ranges import RANGE
 from factorlake.schemas import FREQUENCIES, OHLCV, PRICES
 
 PENALTIES = {"duplicate_timestamps": 1.0, "missing_values": 1.0, "invalid_prices": 1.5, "zero_or_negative_volume": 0.6, "extreme_returns": 0.8, "estimated_missing_bars": 0.5}
@@ -44,18 +46,39 @@ def symbols(raw: DataFrame) -> DataFrame:
     return out.withColumn("status", status("quality_score")).drop("asset_class", "frequency")
 
 
+def steps(rows: DataFrame) -> DataFrame:
+    """(symbol, timestamp, frequency, asset_class, step): seconds since the symbol's last distinct time, over ranges, so a long history is in no one task."""
+    known = rows.filter("timestamp is not null and symbol is not null").groupBy("symbol", "timestamp").agg(F.min("frequency").alias("frequency"), F.min("asset_class").alias("asset_class"))
+    at, by = ("timestamp",), ("symbol",)
+    dealt = ranges.dealt(known, by, at)
+    last = dealt.groupBy(*by, RANGE).agg(F.max("timestamp").alias("t"))
+    carry = ranges.carried(last, by, __before=F.last("t").over(ranges.earlier(by)))
+    own = F.lag("timestamp").over(Window.partitionBy(*by, RANGE).orderBy(*at))
+    seconds = lambda c: F.unix_timestamp(c.cast("timestamp"))
+    return ranges.met(dealt.withColumn("__own", own), carry, by).select(*by, *at, "frequency", "asset_class", (seconds(F.col("timestamp")) - seconds(F.coalesce("__own", "__before"))).alias("step"))
+
+
+def medians(values: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, median) of non-null whole values, exact: counts of distinct values and their places in order, and of these the one or two in the middle."""
+    counts = values.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))
+    all_ = counts.groupBy(key).agg(F.sum("c").alias("n"))
+    placed = ranks.places(counts, (key,), (value,), "c").join(all_, key)
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    holds = lambda i: F.max(F.when((F.col("before") <= i) & (i < F.col("before") + F.col("c")), F.col(value)))
+    return placed.groupBy(key).agg(((holds(low) + holds(high)) / F.lit(2.0)).alias("median"))
+
+
 def gaps(rows: DataFrame) -> DataFrame:
     """(symbol, large_time_gaps, estimated_missing_bars) over distinct times; the expected step is the frequency's, else the median."""
-    known = rows.filter("timestamp is not null").groupBy("symbol", "timestamp").agg(F.min("frequency").alias("frequency"), F.min("asset_class").alias("asset_class"))
-    w = Window.partitionBy("symbol").orderBy("timestamp")
-    at = F.unix_timestamp(F.col("timestamp").cast("timestamp"))
-    steps = known.withColumn("step", at - F.lag(at).over(w))
-    per = steps.groupBy("symbol").agg(F.percentile("step", F.lit(0.5)).alias("median"), F.min("frequency").alias("f"), F.min("asset_class").alias("a"))
+    found = steps(rows)
+    per = found.groupBy("symbol").agg(F.min("frequency").alias("f"), F.min("asset_class").alias("a")).join(medians(found, "symbol", "step"), "symbol", "left")
     expected = F.coalesce(*(F.when(F.col("f") == k, float(v)) for k, v in FREQUENCIES.items()), F.col("median"))
     per = per.withColumn("expected", expected).withColumn("wide", F.when((F.col("a") == "equity") & (F.col("f") == "1d"), 3.2).otherwise(1.8) * F.col("expected"))
-    joined = steps.filter("step is not null").select("symbol", "step").join(per.select("symbol", "expected", "wide"), "symbol")
+    # Counts of distinct steps meet their symbol, not the steps themselves.
+    counted = found.filter("step is not null").groupBy("symbol", "step").agg(F.count(F.lit(1)).alias("c")).join(per.select("symbol", "expected", "wide"), "symbol")
     large = F.col("step") > F.col("wide")
-    return joined.groupBy("symbol").agg(_yes(large).alias("large_time_gaps"), F.sum(F.when(large, F.greatest(F.lit(0), F.bround(div("step", "expected")) - 1)).otherwise(0).cast("long")).alias("estimated_missing_bars"))
+    missing = F.greatest(F.lit(0), F.bround(div("step", "expected")) - 1).cast("long")
+    return counted.groupBy("symbol").agg(F.sum(F.when(large, F.col("c")).otherwise(0)).alias("large_time_gaps"), F.sum(F.when(large, missing * F.col("c")).otherwise(0)).alias("estimated_missing_bars"))
 
 
 def status(score: str) -> Column:

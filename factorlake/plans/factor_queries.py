@@ -36,7 +36,7 @@ def _line_panel(spark: SparkSession, d: str) -> DataFrame:
 
 def _one(spark: SparkSession, d: str, panel: DataFrame | None = None) -> DataFrame:
     p = _line_panel(spark, d) if panel is None else panel
-    return p.select("timestamp", "symbol", F.col(ONE).alias("value"), F.lit(1).alias("direction"), F.col("fwd_return_1").alias("target")).dropna(subset=["value", "target"])
+    return backtest.one(p, ONE, 1)
 
 
 def rates(spark: SparkSession, d: str) -> DataFrame:
@@ -97,6 +97,12 @@ def _walk(spark: SparkSession, d: str) -> DataFrame:
     return rounded(walkforward.validate(m, factors.panel(m, WINDOWS), NAMES, FOLDS, CONFIG), 5, BIG)
 
 
+def _walk_costly(spark: SparkSession, d: str) -> DataFrame:
+    """Folds after spreads and funding, on daily bars."""
+    m = bars.lineitem_daily(spark, d)
+    return rounded(walkforward.validate(m, factors.panel(m, WINDOWS), NAMES, FOLDS, COSTLY, spreads(spark, d), rates(spark, d)), 5, BIG)
+
+
 def _sixty(spark: SparkSession, d: str) -> DataFrame:
     """Folds over the first 60 bar times: the first training slice is 30 of them."""
     times = bars.events_hourly(spark, d).select("timestamp").distinct().orderBy("timestamp").limit(60)
@@ -161,6 +167,7 @@ def queries() -> dict:
     f["wf_folds"] = _folds
     f["wf_folds_sixty"] = _sixty
     f["wf_results"] = _walk
+    f["wf_results_costly"] = _walk_costly
     return f
 
 
@@ -180,14 +187,14 @@ fi AS (SELECT i::INT AS fold, train + (i - 1) * test - 1 AS e, train + (i - 1) *
 folds AS (SELECT fold, (SELECT min(timestamp) FROM ft) AS train_start, a.timestamp AS train_end, b.timestamp AS test_start, c.timestamp AS test_end FROM fi JOIN ft a ON a.i = e JOIN ft b ON b.i = s JOIN ft c ON c.i = l WHERE l - s + 1 >= {t})"""
 
 
-def _walk_sql() -> str:
+def _walk_sql(head: str = _P, more: str = "", **costs) -> str:
     names = ", ".join(NAMES)
     def side(name: str, cond: str) -> str:
         return f"""{name}b AS (SELECT fold, timestamp, symbol, lead(close, 1) OVER (PARTITION BY fold, symbol ORDER BY timestamp) / nullif(close, 0) - 1 AS target FROM bars JOIN folds ON {cond}),
 {name} AS (UNPIVOT (SELECT fold, timestamp, symbol, target, {names} FROM {name}b JOIN panel USING (timestamp, symbol) WHERE target IS NOT NULL) ON {names} INTO NAME factor VALUE value)"""
     rank = lambda x: S.avg_rank(x, "fold, factor")
-    return f"""{_P},
-{_folds_sql()},
+    return f"""{head},
+{more}{_folds_sql()},
 {side('tr', 'timestamp <= train_end')},
 {side('te', 'timestamp BETWEEN test_start AND test_end')},
 tk AS (SELECT fold, factor, {rank('value')} AS a, {rank('target')} AS b FROM tr),
@@ -195,7 +202,7 @@ sc AS (SELECT fold, factor, count(*)::BIGINT AS train_observations, {S.corr('a',
 be AS (SELECT *, abs(train_spearman) * sqrt(train_observations::DOUBLE) AS train_score, (CASE WHEN train_spearman >= 0 THEN 1 ELSE -1 END)::INT AS direction FROM sc
        QUALIFY row_number() OVER (PARTITION BY fold ORDER BY abs(train_spearman) * sqrt(train_observations::DOUBLE) DESC NULLS LAST, factor) = 1),
 rows_ AS (SELECT te.*, direction FROM te JOIN be USING (fold, factor)),
-{S.backtest('rows_', 'fold')}
+{S.backtest('rows_', 'fold', **costs)}
 SELECT {S.rnd('fold train_start train_end test_start test_end')}, {', '.join(f"CASE WHEN test_periods IS NOT NULL THEN {x} END AS {n}" for n, x in (('factor', 'factor'), ('train_observations', 'train_observations'), ('train_spearman', 'round(train_spearman, 5) + 0.0::DOUBLE'), ('train_score', 'round(train_score, 5) + 0.0::DOUBLE'), ('direction', 'direction')))}, {S.rnd('^test_total_return ~test_sharpe ^test_max_drawdown ~test_win_rate test_periods', 5)}, 2::INT AS embargo,
   CASE WHEN factor IS NULL THEN 'no factor to choose' WHEN test_periods IS NULL THEN 'no test rows' END AS error
 FROM folds LEFT JOIN be USING (fold) LEFT JOIN (SELECT fold, total_return AS test_total_return, sharpe AS test_sharpe, max_drawdown AS test_max_drawdown, win_rate AS test_win_rate, periods AS test_periods FROM mt) USING (fold)"""
@@ -246,4 +253,5 @@ def oracle_sql() -> dict[str, str]:
     sixty = "bars AS (SELECT timestamp FROM (SELECT DISTINCT timestamp FROM all_bars) ORDER BY timestamp LIMIT 60)"
     o["wf_folds_sixty"] = f"WITH {S.EVENT_BARS.replace('bars AS (', 'all_bars AS (', 1)}, {sixty}, {_folds_sql(FEW)} SELECT * FROM folds"
     o["wf_results"] = _walk_sql()
+    o["wf_results_costly"] = _walk_sql(f"WITH {S.line_bars()},\n{S.panel()}", f"{RATES},\n{SPREADS},\n", ann=8760, spread=0.5, funding=1.0)
     return o

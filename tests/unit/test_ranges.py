@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factorlake.functions import ranges
 from factorlake.functions.recurrences import Smoothing, smooth
-from factorlake.operators import backtest, evaluation, factors, technicals
+from factorlake.operators import backtest, evaluation, factors, quality, technicals
 from factorlake.schemas import MARKET
 
 T0 = datetime(2022, 1, 1)
@@ -133,3 +133,26 @@ def test_a_scan_equals_steps():
                 want.append(v if c >= 2 else np.nan)
             np.testing.assert_allclose(got, want, rtol=1e-12)
             assert count == c and (c == 0 or abs(y - v) < 1e-12)
+
+
+def test_medians_and_steps_over_several_ranges(spark, many_ranges):
+    r = np.random.default_rng(4)
+    times = {s: np.sort(r.choice(20_000, n, replace=False)) for s, n in (("A", 700), ("B", 2), ("C", 1), ("D", 31))}
+    rows = [(T0 + timedelta(minutes=int(t)), s, None, None) for s, ts in times.items() for t in ts] + [(None, "A", None, None), (T0, None, None, None)]
+    rows += rows[:50]  # repeated times are one
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, symbol string, frequency string, asset_class string")
+    steps = quality.steps(df)
+    got = {x.symbol: x.median for x in quality.medians(steps, "symbol", "step").collect()}
+    assert got == {s: float(np.median(np.diff(t) * 60)) for s, t in times.items() if len(t) > 1}
+    assert steps.filter("step is null").count() == 4
+
+
+def test_a_backtest_refuses_what_it_cannot_do(spark):
+    panel = spark.createDataFrame([(T0, "A", 1.0, None)], "timestamp timestamp_ntz, symbol string, mom_5 double, fwd_return_1 double")
+    with pytest.raises(ValueError, match="no column 'mom_9'"):
+        backtest.one(panel, "mom_9", 1)
+    with pytest.raises(ValueError, match="no row"):
+        backtest.one(panel, "mom_5", 1)
+    twice = spark.createDataFrame([(T0, "A", 1.0, 1, 0.1), (T0, "A", -1.0, 1, 0.1)], "timestamp timestamp_ntz, symbol string, value double, direction int, target double")
+    with pytest.raises(Exception, match="more than once"):
+        backtest.returns(twice, backtest.BacktestConfig())
