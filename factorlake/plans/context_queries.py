@@ -7,11 +7,13 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factorlake.functions import workdir
 from factorlake.functions.numerics import rounded
 from factorlake.operators import backtest, context, decisions, evaluation, factors, mining, signals, store
 from factorlake.plans import factor_queries as Q
 from factorlake.plans import sqltext as S
-from factorlake.sources import bars, onchain, payloads
+from factorlake.schemas import DataRequest
+from factorlake.sources import bars, exchange, onchain, payloads
 
 NOW = datetime(2024, 2, 1, 0, 0, 0)
 
@@ -99,6 +101,28 @@ def fetched_chain(spark: SparkSession, d: str) -> DataFrame:
     return onchain.context_of(replies, "community")
 
 
+def _exchange(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly bars by pages of an exchange's candle route; the replies come from the events' bars."""
+    path = workdir.fresh(spark, "candles")
+    b = bars.events_hourly(spark, d)
+    b.select(F.concat(F.upper("symbol"), F.lit("-USDT")).alias("inst_id"), F.unix_millis(F.col("timestamp").cast("timestamp")).alias("ms"), "open", "high", "low", "close", "volume").write.parquet(path)
+    span = b.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
+    names = sorted(r["symbol"] for r in b.select("symbol").distinct().collect())  # the types of events
+    request = DataRequest.of({"universe": [{"symbol": n, "asset_class": "crypto", "exchange": f"{n.upper()}-USDT"} for n in names], "start": str(span["a"]), "end": str(span["b"]), "frequency": "1h"})
+
+    def fetch(inst_id: str, bar: str, after: str) -> str:
+        import json
+
+        from pyarrow import compute, dataset
+
+        of = dataset.dataset(path, format="parquet").to_table(filter=(compute.field("inst_id") == inst_id) & (compute.field("ms") < int(after)))
+        rows = of.sort_by([("ms", "descending")]).slice(0, 100).to_pylist()
+        return json.dumps({"code": "0", "data": [[str(r["ms"]), *(repr(r[c]) for c in ("open", "high", "low", "close", "volume")), "0", "0", "1"] for r in rows]})
+
+    got = exchange.load(spark, fetch, request).filter(F.col("symbol").isin("click", "view", "purchase") & (F.col("timestamp") >= F.lit(datetime(2024, 1, 5)).cast("timestamp_ntz")))
+    return rounded(got.drop("inst_id", "confirmed"))
+
+
 def health(spark: SparkSession, d: str) -> DataFrame:
     m = bars.events_hourly(spark, d)
     return context.source_status("okx", "1h", m.filter("symbol <> 'click' or timestamp < '2024-01-20'"), {"derivatives_history": history(spark, d), "derivatives_snapshot": m.limit(0), "microstructure": m.filter("symbol = 'view'")}, datetime(2024, 1, 31, 1, 0, 0))
@@ -168,14 +192,15 @@ def queries() -> dict:
     return {
         "deriv_crowding": lambda s, d: rounded(snapshot(s, d)),
         "deriv_history_outer_merge": lambda s, d: rounded(history(s, d)),
-        "micro_snapshot": lambda s, d: rounded(micro(s, d).drop("interpretation")),
-        "onchain_context": lambda s, d: rounded(chain(s, d).drop("interpretation")),
-        "onchain_fetched": lambda s, d: rounded(fetched_chain(s, d).drop("interpretation")),
-        "source_health": lambda s, d: rounded(health(s, d).drop("message")),
+        "micro_snapshot": lambda s, d: rounded(micro(s, d)),
+        "onchain_context": lambda s, d: rounded(chain(s, d)),
+        "onchain_fetched": lambda s, d: rounded(fetched_chain(s, d)),
+        "source_health": lambda s, d: rounded(health(s, d)),
         "source_health_overall": lambda s, d: context.overall_status(health(s, d), "okx"),
-        "signal_radar": lambda s, d: rounded(radar(s, d).drop("interpretation"), 5, ("total_return", "max_drawdown")),
+        "signal_radar": lambda s, d: rounded(radar(s, d), 5, ("total_return", "max_drawdown")),
         "decision_cards": lambda s, d: rounded(_cards(s, d), 5),
         "candle_payloads": lambda s, d: rounded(_candles(s, d)),
+        "exchange_candles": _exchange,
         "pivot_weights": _pivot,
         "semi_join_fold": _semi,
         "topk_per_symbol": _topk,
@@ -191,7 +216,6 @@ def queries() -> dict:
 
 
 def _synthetic(spark: SparkSession) -> DataFrame:
-    from factorlake.schemas import DataRequest
     from factorlake.sources import providers
 
     raw = {"universe": [{"symbol": "BTC-USD", "asset_class": "crypto"}, "AAPL"], "start": "2022-01-01", "end": "2022-06-01", "frequency": "1d"}
@@ -280,7 +304,7 @@ def oracle_sql() -> dict[str, str]:
     snap_cols = "timestamp symbol exchange inst_id inst_type ~funding_rate ~annualized_funding_rate ~premium ~interest_rate next_funding_time ~oi_contracts ~oi_ccy ~oi_usd crowding crowding_label"
     o["deriv_crowding"] = f"WITH {SNAP} SELECT {S.rnd(snap_cols)}, crowding_label || '; ' || {rate} || '; ' || {size} AS interpretation FROM snap"
     o["deriv_history_outer_merge"] = f"WITH {S.EVENT_BARS}, {HIST} SELECT {S.rnd('timestamp symbol exchange inst_id inst_type ~funding_rate ~realized_rate ~annualized_funding_rate ~oi_contracts ~oi_ccy ~oi_usd ~long_short_ratio')} FROM hist"
-    o["micro_snapshot"] = f"WITH {PT}, {MICRO} SELECT {_MST.format('t + INTERVAL 5 SECOND')} AS timestamp, 'okx' AS exchange, {S.rnd('symbol inst_id ~best_bid ~best_ask ~mid_price ~spread_bps ~bid_depth_usd ~ask_depth_usd ~depth_imbalance')}, round(mid, 4) AS last_trade_price, 1.5::DOUBLE AS last_trade_size, 'buy' AS last_trade_side, 3::BIGINT AS recent_trade_count, 2::BIGINT AS buy_trade_count, 1::BIGINT AS sell_trade_count, microstructure_label FROM micro"
+    o["micro_snapshot"] = f"WITH {PT}, {MICRO} SELECT {_MST.format('t + INTERVAL 5 SECOND')} AS timestamp, 'okx' AS exchange, {S.rnd('symbol inst_id ~best_bid ~best_ask ~mid_price ~spread_bps ~bid_depth_usd ~ask_depth_usd ~depth_imbalance')}, round(mid, 4) AS last_trade_price, 1.5::DOUBLE AS last_trade_size, 'buy' AS last_trade_side, 3::BIGINT AS recent_trade_count, 2::BIGINT AS buy_trade_count, 1::BIGINT AS sell_trade_count, microstructure_label, lower(microstructure_label) || printf('; spread %.2f bps; depth %.1fM bid, %.1fM ask; 2 buys, 1 sells', spread_bps, bid_depth_usd / 1e6, ask_depth_usd / 1e6) AS interpretation FROM micro"
     cols = ["asset_class", "close", "frequency", "high", "low", "open", "symbol", "timestamp", "volume"]
     text = "concat_ws(chr(31), " + ", ".join(f"coalesce('v' || {c}::VARCHAR, 'n')" for c in cols) + ")"
     words = ", ".join(f"sum(('0x' || substr(h, {8 * k + 1}, 8))::BIGINT)::VARCHAR AS w{k}" for k in range(8))
@@ -288,19 +312,23 @@ def oracle_sql() -> dict[str, str]:
 c AS (SELECT rows, sha256(concat_ws(',', '{"|".join(cols)}', rows::VARCHAR, {", ".join(f"w{k}" for k in range(8))})) AS content_hash FROM w),
 a AS (SELECT string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS symbols, min(timestamp) AS start, max(timestamp) AS "end" FROM bars)
 SELECT sha256('run-1|market|synthetic|' || content_hash || '|market.parquet') AS snapshot_id, 'run-1' AS run_id, 'market' AS dataset, 'synthetic' AS provider, content_hash, rows, symbols, start, "end", 'market.parquet' AS artifact_path, '{",".join(cols)}' AS columns FROM c, a"""
-    o["onchain_fetched"] = o["onchain_context"] = f"WITH {CHAIN} SELECT {S.rnd('timestamp symbol provider asset ~active_addresses ~active_address_change ~tx_count ~tx_count_change onchain_label')} FROM chain"
+    o["exchange_candles"] = f"WITH {S.EVENT_BARS} SELECT {S.rnd('timestamp symbol open high low close volume asset_class frequency')} FROM bars WHERE symbol IN ('click', 'view', 'purchase') AND timestamp >= TIMESTAMP '2024-01-05' AND timestamp < (SELECT max(timestamp) FROM bars)"
+    said = lambda c, name: f"CASE WHEN {c} IS NULL THEN '{name} over 7 rows unknown' ELSE printf('{name} over 7 rows %+.1f%%', round({c} * 100, 1)) END"
+    o["onchain_fetched"] = o["onchain_context"] = f"WITH {CHAIN} SELECT {S.rnd('timestamp symbol provider asset ~active_addresses ~active_address_change ~tx_count ~tx_count_change onchain_label')}, lower(onchain_label) || '; ' || {said('active_address_change', 'addresses')} || '; ' || {said('tx_count_change', 'transactions')} AS interpretation FROM chain"
     fresh = "greatest(epoch(TIMESTAMP '2024-01-31 01:00:00' - latest_timestamp) / 60.0::DOUBLE, 0.0::DOUBLE)"
     rows = lambda scope, src, limit: f"SELECT '{scope}' AS scope, symbol, 'okx' AS provider, CASE WHEN {fresh} <= {limit} THEN 'OK' ELSE 'STALE' END AS status, rows, latest_timestamp, round({fresh}, 6) AS freshness_minutes FROM (SELECT symbol, count(*)::BIGINT AS rows, max(timestamp) AS latest_timestamp FROM {src} GROUP BY symbol)"
     single = lambda scope, status: f"SELECT '{scope}', 'ALL', 'okx', '{status}', 0::BIGINT, NULL::TIMESTAMP, NULL::DOUBLE"
     health_sql = f"""WITH {S.EVENT_BARS}, {HIST}, he AS ({rows('market', "(SELECT * FROM bars WHERE symbol <> 'click' OR timestamp < TIMESTAMP '2024-01-20')", 180)} UNION ALL {rows('derivatives_history', 'hist', 5760)} UNION ALL {rows('microstructure', "(SELECT * FROM bars WHERE symbol = 'view')", 30)} UNION ALL {single('derivatives_snapshot', 'MISSING')} UNION ALL {single('onchain', 'SKIPPED')})"""
-    o["source_health"] = f"{health_sql} SELECT * FROM he"
+    age = "CASE WHEN freshness_minutes < 90 THEN printf('%.0f minutes', freshness_minutes) WHEN freshness_minutes < 4320 THEN printf('%.1f hours', freshness_minutes / 60) ELSE printf('%.1f days', freshness_minutes / 1440) END"
+    o["source_health"] = f"{health_sql} SELECT *, CASE WHEN freshness_minutes IS NULL THEN lower(status) || ' ' || scope ELSE 'last updated ' || {age} || ' ago' END AS message FROM he"
     o["source_health_overall"] = f"{health_sql} SELECT CASE WHEN count(*) = 0 THEN 'MISSING' WHEN count_if(status = 'MISSING') > 0 THEN 'WARN' WHEN count_if(status = 'STALE') > 0 THEN 'STALE' ELSE 'OK' END AS status FROM he"
     one = ",\n".join(("WITH " + S.line_bars(), S.panel(), S.long(horizons=(1,)), S.EVAL))
     rows_ = "rows_ AS (SELECT factor, timestamp, symbol, value, target, direction FROM obs JOIN (SELECT factor, direction FROM ev) USING (factor))"
     names = ", ".join(Q.NAMES)
     o["signal_radar"] = f"""{one}, {rows_}, {S.backtest('rows_', 'factor')}, bts AS (SELECT factor, horizon, direction, score, sharpe, total_return, max_drawdown, win_rate, NULL AS error FROM ev JOIN mt USING (factor)),
 lg AS (UNPIVOT (SELECT timestamp, symbol, {names} FROM panel) ON {names} INTO NAME factor VALUE value), {_radar_sql('bts', [], 'lg')}
-SELECT ts_text AS timestamp, {S.rnd('symbol factor theme ~value ~percentile signal signal_label setup direction direction_label ~confidence confidence_label ~signal_score ~sharpe ~score ^total_return ^max_drawdown ~win_rate horizon', 5)} FROM rad"""
+SELECT ts_text AS timestamp, {S.rnd('symbol factor theme ~value ~percentile signal signal_label setup direction direction_label ~confidence confidence_label ~signal_score ~sharpe ~score ^total_return ^max_drawdown ~win_rate horizon', 5)},
+  signal_label || '; at ' || floor(percentile * 100 + 0.5)::BIGINT || '% of its history, ' || CASE WHEN direction >= 0 THEN 'high' ELSE 'low' END || ' values favour returns, confidence ' || confidence_label AS interpretation FROM rad"""
     o["decision_cards"] = _cards_sql()
     o["candle_payloads"] = f"WITH {S.EVENT_BARS} SELECT timestamp, symbol, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, volume, asset_class, frequency, 'okx' AS exchange, upper(symbol) AS okx_inst_id, true AS okx_confirmed FROM bars WHERE hour(timestamp) <> 23"
     sums = ", ".join(f"round(coalesce(sum(weight) FILTER (symbol = '{s}'), 0), 6) + 0.0::DOUBLE AS \"{s}\"" for s in ("AF", "AO", "NF", "NO", "RF", "RO"))
