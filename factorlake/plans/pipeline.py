@@ -88,7 +88,7 @@ class Runner:
         given, warnings = allowed_feeds(c, asked)
         if "onchain" in given and "onchain" not in self.feeds:
             # One row for each symbol and metric that failed.
-            warnings += [f"{r.symbol}: {r.warning}" for r in onchain.warnings(replies).orderBy("symbol", "metric").collect()]
+            warnings += [f"{r.symbol}: {r.warning}" for r in onchain.context_warnings(replies).orderBy("symbol", "metric").collect()]
         for w in warnings:
             self.context.log("WARN", w)
         feeds = {k: given.get(k, self.spark.createDataFrame([], s)) for k, s in EMPTY.items()}

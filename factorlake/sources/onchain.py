@@ -72,8 +72,14 @@ def context_of(replies: DataFrame, provider: str = PROVIDER) -> DataFrame:
 
 
 def warnings(replies: DataFrame) -> DataFrame:
-    """(symbol, metric, warning) of what could not be fetched, has no column or came without rows."""
-    bare = replies.join(metrics(replies).select("symbol", "metric").distinct(), ["symbol", "metric"], "left_anti")
-    why = F.coalesce("warning", F.when(~F.col("metric").isin(*COLUMNS), F.concat(F.lit("no column for the metric "), "metric")), F.concat("metric", F.lit(" came without rows")))
-    unknown = replies.filter(~F.col("metric").isin(*COLUMNS))
-    return bare.unionByName(unknown).select("symbol", "metric", why.alias("warning")).distinct()
+    """(symbol, metric, warning) of what could not be fetched."""
+    return replies.filter("warning is not null").select("symbol", "metric", "warning")
+
+
+def context_warnings(replies: DataFrame) -> DataFrame:
+    """These, and what has no column or came without rows."""
+    known = F.col("metric").isin(*COLUMNS)
+    bare = replies.filter(known & F.col("warning").isNull()).join(metrics(replies).select("symbol", "metric").distinct(), ["symbol", "metric"], "left_anti")
+    empty = bare.select("symbol", "metric", F.concat("metric", F.lit(" came without rows")).alias("warning"))
+    unknown = replies.filter(~known & F.col("warning").isNull()).select("symbol", "metric", F.concat(F.lit("no column for the metric "), "metric").alias("warning"))
+    return warnings(replies).unionByName(empty).unionByName(unknown)

@@ -164,5 +164,5 @@ def test_fetched_metrics_become_the_context(spark):
     rows = onchain.context_of(replies).orderBy("timestamp").collect()
     assert len(rows) == 9 and {r.symbol for r in rows} == {"BTC-USD"} and rows[-1].onchain_label == "EXPANSION"
     assert rows[-1].active_addresses == 190.0 and rows[-1].active_address_change == pytest.approx(190 / 120 - 1) and rows[0].timestamp == datetime(2022, 1, 1)
-    said = sorted((r.symbol, r.warning) for r in onchain.warnings(replies).collect())
+    said = sorted((r.symbol, r.warning) for r in onchain.context_warnings(replies).collect())
     assert ("ETH-USD", "AdrActCnt came without rows") in said and ("ETH-USD", "TxCnt: away") in said and not any(s == "BTC-USD" for s, _ in said)
