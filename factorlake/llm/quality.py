@@ -198,8 +198,10 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str], text_col: str = "
     good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), *FOLD)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     # At most SAMPLE ids, so the broadcast is bounded.
     good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    p = _matrix(texts.join(F.broadcast(good), "doc_id").limit(2 * SAMPLE))
-    packed = session.cut(texts.filter(~held_out(F.col("doc_id"), *FOLD)).select("text").mapInArrow(_packed, "x binary"))
+    # Of rows that share a doc_id the one with the least hash of its text counts, so there are at most SAMPLE texts, the same in each run.
+    p = _matrix(texts.join(F.broadcast(good), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")))
+    # Each step sends one vector a task to the driver, so tasks follow the cluster, not the input.
+    packed = session.cut(texts.filter(~held_out(F.col("doc_id"), *FOLD)).select("text").mapInArrow(_packed, "x binary")).coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
     moments = _sums(packed, _moments, 1 + 2 * WIDTH)
     if len(p) and moments[0]:
         mean, scale, beta, _ = fit(p, packed, moments)

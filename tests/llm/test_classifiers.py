@@ -92,3 +92,17 @@ def test_nothing_to_learn_and_clashing_names(spark):
     assert toxicity.score(docs.limit(0), labels, ["doc_id"]).count() == 0
     assert quality.score(docs.limit(0), labels, ["doc_id"]).count() == 0
     assert langid.predict(docs.limit(0), docs.limit(0), ["doc_id"]).count() == 0
+
+
+def test_quality_of_repeated_ids_is_the_same_in_each_run(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 20)
+    docs, labels = corpus()
+    docs = [(k, t) for k, t, *_ in docs[:200]]
+    labels = spark.createDataFrame([(k, q) for k, q, _ in labels[:200]], "doc_id long, quality int")
+    again = [(k, t + " other words") for k, t in docs]
+
+    def scores(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        return {(r.row.doc_id, r.row.text): round(r.score, 9) for r in quality.score(df, labels, ["doc_id", "text"]).collect()}
+
+    assert scores([*docs, *again]) == scores([*again[::-1], *docs])
