@@ -263,5 +263,5 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("payload")
     return with_features(load(spark, path)).select(
         "doc_id", "n_bytes", F.octet_length(p).cast("long").alias("payload_bytes"), F.sha2(p, 256).alias("payload_sha256"),
-        F.crc32(F.substring(p, -16, 16)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        F.crc32(F.substring(p, -16, 16)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "error",
     )

@@ -48,3 +48,38 @@ def test_a_damaged_member_fails_alone(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     media.store(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "m"))
     assert media.with_features(media.load(spark, str(tmp_path / "m"))).count() == 0
+
+
+class Flaky(media.ArchiveReader):
+    """Each member's first attempt fails."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.seen = set()
+
+    def _at(self, f, info):
+        if info.filename not in self.seen:
+            self.seen.add(info.filename)
+            raise OSError("the connection was lost")
+        return media.ArchiveReader._at(f, info)
+
+
+def test_a_member_that_fails_once_is_read_again(spark, tmp_path):
+    media.store(spark.createDataFrame(rows(), "doc_id long, text string, payload int").coalesce(1), str(tmp_path / "m"))
+    reader = Flaky(str(tmp_path / "m"), 1 << 20, 3)
+    got = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert len(got) == len(rows()) and all(r["error"] is None for r in got)
+    once = Flaky(str(tmp_path / "m"), 1 << 20, 1)
+    lost = [r for p in once.partitions() for b in once.read(p) for r in b.to_pylist()]
+    assert all("connection was lost" in r["error"] for r in lost)
+
+
+def test_every_column_of_the_query(spark, tmp_path):
+    spark.createDataFrame(rows(), "doc_id long, text string, payload int").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for _, t, _ in rows():
+        png = media.to_png((t or "").encode())
+        payload, _ = media.from_png(png)
+        want[hashlib.sha256(payload).hexdigest()] = (len(png), hashlib.sha256(png).hexdigest(), media.feature(payload), None)
+    for r in media.op2_media_columns(spark, str(tmp_path)).collect():
+        assert want[r.payload_sha256] == (r.media_bytes, r.media_sha256, r.feature, r.error)
