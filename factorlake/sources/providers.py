@@ -107,7 +107,8 @@ class Candles:
         ids = spark.createDataFrame([(i.symbol, i.exchange or spot_id(i.symbol)) for i in request.universe], "symbol string, inst_id string").repartition(len(request.universe))
         replies = ids.mapInPandas(paged, "symbol string, inst_id string, payload string")
         made = payloads.candles(replies, request.universe[0].asset_class, request.frequency, self.unconfirmed)
-        return within(made, request)
+        kinds = spark.createDataFrame([(i.symbol, i.asset_class) for i in request.universe], "symbol string, asset_class string").dropDuplicates(["symbol"])
+        return within(made.drop("asset_class").join(kinds, "symbol").select(*made.columns), request)
 
 
 @dataclass

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, IsNotNull, LessThan
 
 from factorlake.schemas import DataRequest
-from factorlake.sources import exchange
+from factorlake.sources import exchange, providers
 
 T0 = datetime(2022, 1, 1)
 REQUEST = {"universe": [{"symbol": "BTC-USD", "asset_class": "crypto"}, {"symbol": "AAPL", "asset_class": "equity"}], "start": "2022-01-01", "end": "2022-01-11", "frequency": "1h"}
@@ -73,3 +73,9 @@ def test_the_source_in_a_session(spark):
                 assert some.rdd.getNumPartitions() == 1 and bars.rdd.getNumPartitions() == 6
     finally:
         spark.conf.set(key, before)
+
+
+def test_candles_of_a_provider_keep_each_asset_class(spark):
+    reply = json.dumps({"code": "0", "data": [[str(exchange.millis_of(T0)), "1", "2", "1", "2", "5", "0", "0", "1"]]})
+    got = providers.Candles(lambda inst, bar, after: reply).load(spark, DataRequest.of(REQUEST))
+    assert {r.symbol: r.asset_class for r in got.collect()} == {"BTC-USD": "crypto", "AAPL": "equity"}
