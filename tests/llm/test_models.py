@@ -96,7 +96,7 @@ def test_lbfgs_finds_the_minimum():
 
 def test_language_posterior_against_plain_python(spark):
     learn, ask = texts_of_two_languages()
-    names, matrix, prior = langid.fit(spark.createDataFrame(learn, "text string, lang string"))
+    names, _ = langid.languages(langid.counted(spark.createDataFrame(learn, "text string, lang string")))
     assert names == ["aa", "bb"]
     counts = {n: {} for n in names}
     for t, lang in learn:
@@ -114,6 +114,19 @@ def test_language_posterior_against_plain_python(spark):
         assert got[k][0] == names[logs.index(max(logs))] and abs(got[k][1] - sure) < 1e-3
 
 
+def test_languages_by_turns_are_as_at_once(spark):
+    """Five languages, in turns of two and three and in one; c and d have the same texts, so ties go to c."""
+    voc = {"a": "the house", "b": "der fluss", "c": "une maison", "d": "une maison", "e": "il fiume"}
+    learn = spark.createDataFrame([(f"{v} {v}", k) for k, v in voc.items()] + [(None, "e"), ("x", None)], "text string, lang string")
+    docs = spark.createDataFrame(list(enumerate(["the house", "fluss", "maison", "fiume il", "", None, "123", "zz"])), "doc_id long, text string")
+    by = lambda group: {r.row.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, learn, ["doc_id"], group=group).collect()}
+    once = by(64)
+    assert [once[k][0] for k in range(7)] == ["a", "b", "c", "e", "und", "und", "und"] and once[4][1] == 0.0
+    for group in (1, 2, 3):
+        some = by(group)
+        assert all(some[k][0] == once[k][0] and abs(some[k][1] - once[k][1]) < 1e-12 for k in once), group
+
+
 def test_risk_of_positives_and_unlabelled(spark):
     """Value, gradient and Hessian of the softplus sums by finite differences, and the risk as written out."""
     rng = np.random.default_rng(3)
