@@ -1,15 +1,15 @@
-"""python -m factorlake run --config FILE --out FOLDER | export --run FOLDER --site FOLDER"""
+"""python -m factorlake run --config FILE --out FOLDER | export --run FOLDER --site FOLDER | preset NAME --out FILE"""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
-from pathlib import Path
+from datetime import date
 
 from pyspark.sql import SparkSession
 
-from factorlake.plans import pipeline
+from factorlake.plans import configs, pipeline
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -23,12 +23,19 @@ def main(argv: list[str] | None = None) -> int:
     e.add_argument("--run", required=True)
     e.add_argument("--site", required=True)
     e.add_argument("--bars", type=int, default=500)
+    e.add_argument("--root", help="texts are shown from this folder, which has to hold the site")
+    w = sub.add_parser("preset")
+    w.add_argument("name", choices=sorted(configs.PRESETS))
+    w.add_argument("--out", required=True)
     a = p.parse_args(argv)
+    if a.command == "preset":
+        configs.save(a.out, configs.preset(a.name, date.today()))
+        return 0
     spark = SparkSession.builder.appName("factorlake").getOrCreate()
     if a.command == "run":
-        done = pipeline.Runner(spark, json.loads(Path(a.config).read_text()), pipeline.RunContext(log=lambda level, m: print(level, m, file=sys.stderr))).run(a.out, a.csv)
+        done = pipeline.Runner(spark, configs.load(a.config), pipeline.RunContext(log=lambda level, m: print(level, m, file=sys.stderr))).run(a.out, a.csv)
     else:
-        done = pipeline.export_site(spark, a.run, a.site, a.bars)
+        done = pipeline.export_site(spark, a.run, a.site, a.bars, a.root)
     print(json.dumps(done, default=str))
     return 0
 

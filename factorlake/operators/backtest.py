@@ -6,13 +6,13 @@ carry the keys along. A symbol that leaves the portfolio trades too.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorlake.functions import ranges
-from factorlake.functions.numerics import div, finite
+from factorlake.functions.numerics import div, finite, number
 from factorlake.functions.ranges import RANGE
 from factorlake.operators.factors import long_panel
 
@@ -30,12 +30,27 @@ class BacktestConfig:
     funding_enabled: bool = False
     funding_multiplier: float = 1.0
     annualization: int = 252
+    direction: int = 1
+    funding_rate_column: str = "annualized_funding_rate"
+
+    @classmethod
+    def of(cls, raw: dict, direction: int = 1) -> BacktestConfig:
+        """The config in a run's section, whose multipliers may be named spread_cost_multiplier and funding_cost_multiplier; other keys are none of a backtest's."""
+        named = {{"spread_cost_multiplier": "spread_multiplier", "funding_cost_multiplier": "funding_multiplier"}.get(k, k): v for k, v in raw.items()}
+        known = {f.name: f.type for f in fields(cls)}
+        as_type = {"int": int, "float": float, "bool": bool, "str": str, "int | None": lambda v: None if v is None else int(v)}
+        try:
+            return cls(**{"direction": direction} | {k: as_type[known[k]](v) for k, v in named.items() if k in known})
+        except TypeError as e:
+            raise ValueError(f"a backtest's setting has the wrong type: {e}") from e
 
     def __post_init__(self) -> None:
         if self.horizon <= 0:
             raise ValueError("a horizon is positive")
         if self.mode not in ("long_short", "long_only"):
             raise ValueError(f"unknown mode {self.mode!r}")
+        if self.direction not in (1, -1):
+            raise ValueError("a direction is 1 or -1")
 
     @property
     def base_bps(self) -> float:
@@ -89,6 +104,11 @@ def one(wide: DataFrame, factor: str, horizon: int, direction: int = 1) -> DataF
     return rows
 
 
+def single(wide: DataFrame, factor: str, config: BacktestConfig) -> DataFrame:
+    """The rows of one factor at the config's horizon and in its direction."""
+    return one(wide, factor, config.horizon, config.direction)
+
+
 def turnover(w: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, timestamp, symbol, turnover): |change of weight| of each holding, and of each exit at the time after its last holding.
 
@@ -147,9 +167,12 @@ def as_of(left: DataFrame, right: DataFrame, value: str, keys: tuple[str, ...] =
 
 
 def funding_costs(w: DataFrame, rates: DataFrame, config: BacktestConfig, keys: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
-    """(keys, timestamp, funding_cost): weight times the last known annualised rate, per bar."""
-    met = as_of(w.select(*keys, "timestamp", "symbol", "weight"), rates, "annualized_funding_rate", keys, order=order)
-    cost = F.coalesce(F.col("weight") * F.col("annualized_funding_rate") / F.lit(float(max(config.annualization, 1))) * F.lit(config.funding_multiplier), F.lit(0.0))
+    """(keys, timestamp, funding_cost): weight times the last known annualised rate, per bar; nothing where rates has no such column."""
+    rate = config.funding_rate_column
+    if rate not in rates.columns:
+        return w.select(*keys, "timestamp").distinct().withColumn("funding_cost", F.lit(0.0))
+    met = as_of(w.select(*keys, "timestamp", "symbol", "weight"), rates.withColumn(rate, number(rate)), rate, keys, order=order)
+    cost = F.coalesce(F.col("weight") * F.col(rate) / F.lit(float(max(config.annualization, 1))) * F.lit(config.funding_multiplier), F.lit(0.0))
     return met.groupBy(*keys, "timestamp").agg(F.sum(cost).alias("funding_cost"))
 
 

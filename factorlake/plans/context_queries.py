@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from factorlake.functions import workdir
 from factorlake.functions.numerics import rounded
-from factorlake.operators import backtest, context, decisions, evaluation, factors, mining, signals, store
+from factorlake.operators import backtest, cockpit, context, decisions, evaluation, factors, mining, signals, store
 from factorlake.plans import factor_queries as Q
 from factorlake.plans import sqltext as S
+from factorlake.plans import technical_queries as T
 from factorlake.schemas import DataRequest
 from factorlake.sources import bars, exchange, onchain, payloads
 
@@ -152,6 +153,16 @@ def _cards(spark: SparkSession, d: str) -> DataFrame:
     return decisions.cards(m, _fixed_signals(spark, d), snapshot(spark, d), history(spark, d), micro(spark, d), c, "WARN")
 
 
+def _cockpit(spark: SparkSession, d: str) -> DataFrame:
+    """Cards of two types of events, technicals of two, and what can be inferred for the rest; weeks stand for folds."""
+    m = bars.events_hourly(spark, d)
+    states = T.queries()["indicator_states"](spark, d).filter("symbol in ('view', 'purchase')")
+    folds = m.groupBy(F.date_trunc("week", "timestamp").alias("fold")).agg(F.avg(F.col("close") - F.col("open")).alias("test_sharpe"))
+    of_chain = chain(spark, d).withColumn("symbol", F.when(F.col("symbol").startswith("1"), "click").when(F.col("symbol").startswith("2"), "view").otherwise(F.col("symbol")))
+    out = cockpit.view(m, _cards(spark, d).filter("symbol in ('click', 'view')"), _fixed_signals(spark, d), states, micro(spark, d), snapshot(spark, d), of_chain, folds)
+    return rounded(out, 5)
+
+
 def _pivot(spark: SparkSession, d: str) -> DataFrame:
     w = backtest.weights(Q._one(spark, d), Q.CONFIG)
     symbols = ["AF", "AO", "NF", "NO", "RF", "RO"]
@@ -199,6 +210,7 @@ def queries() -> dict:
         "source_health_overall": lambda s, d: context.overall_status(health(s, d), "okx"),
         "signal_radar": lambda s, d: rounded(radar(s, d), 5, ("total_return", "max_drawdown")),
         "decision_cards": lambda s, d: rounded(_cards(s, d), 5),
+        "cockpit": _cockpit,
         "candle_payloads": lambda s, d: rounded(_candles(s, d)),
         "exchange_candles": _exchange,
         "pivot_weights": _pivot,
@@ -263,9 +275,37 @@ rad AS (SELECT *, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS ts_text, CASE {the
    QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY abs(p - 0.5::DOUBLE) * 2.0::DOUBLE * confidence * CASE WHEN signal = 'NEUTRAL' THEN 0.45::DOUBLE ELSE 1.0::DOUBLE END DESC NULLS LAST, confidence DESC NULLS LAST, sharpe DESC NULLS LAST, factor) <= 8)"""
 
 
+FIXED = "fx AS (SELECT * FROM (VALUES ('mom_5', 1, 2.4::DOUBLE, 3.0::DOUBLE, 0.4::DOUBLE, -0.1::DOUBLE, 0.6::DOUBLE, 1, NULL), ('reversal_5', 1, 1.4, 2.0, 0.2, -0.2, 0.55, 1, ''), ('volume_zscore_10', -1, 0.9, 1.0, 0.1, -0.3, NULL, 1, NULL), ('mom_5', 1, 0.4, 9.0, 0.4, -0.1, 0.6, 5, NULL), ('mom_3', 1, 9.0, 9.0, 0.4, -0.1, 0.6, 1, 'failed')) t(factor, direction, sharpe, score, total_return, max_drawdown, win_rate, horizon, error))"
+FEW_FACTORS = "mom_3, mom_5, reversal_5, volume_zscore_10"
+
+
+def _cockpit_sql() -> str:
+    case = lambda c, texts: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in texts.items()) + " END"
+    family = lambda c: f"CASE WHEN contains({c}, 'LONG') THEN 'LONG' WHEN contains({c}, 'SHORT') THEN 'SHORT' ELSE {c} END"
+    return f"""WITH {S.EVENT_BARS}, {S.panel()}, {FIXED},
+lg AS (UNPIVOT (SELECT timestamp, symbol, {FEW_FACTORS} FROM panel) ON {FEW_FACTORS} INTO NAME factor VALUE value),
+{_radar_sql('fx', [], 'lg')},
+{SNAP}, {MICRO}, {CHAIN},
+ca AS (SELECT symbol, stance, confidence, primary_factor, risk_note FROM ({_cards_sql()}) WHERE symbol IN ('click', 'view')),
+st AS (SELECT symbol, technical_bias, confidence, trend_state FROM ({T.oracle_sql()['indicator_states']}) WHERE symbol IN ('view', 'purchase')),
+lb AS (SELECT symbol, timestamp, close, lag(close) OVER (PARTITION BY symbol ORDER BY timestamp) AS b, lag(close, 2) OVER (PARTITION BY symbol ORDER BY timestamp) AS c FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) = 1),
+ct AS (SELECT symbol, count_if(signal = 'BULLISH') AS bulls, count_if(signal = 'BEARISH') AS bears, max(confidence) AS sure FROM rad GROUP BY symbol),
+tp AS (SELECT symbol, theme, factor FROM rad QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY signal_score DESC NULLS LAST, confidence DESC NULLS LAST, factor DESC) = 1),
+ol_ AS (SELECT CASE WHEN symbol LIKE '1%' THEN 'click' WHEN symbol LIKE '2%' THEN 'view' ELSE symbol END AS symbol, onchain_label FROM chain QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) = 1),
+fo AS (SELECT count_if(s > 0)::BIGINT AS folds_positive, count(*)::BIGINT AS folds FROM (SELECT avg(close - open) AS s FROM bars GROUP BY date_trunc('week', timestamp)))
+SELECT lb.symbol, lb.timestamp, round(lb.close, 5) + 0.0::DOUBLE AS last_close, round(CASE WHEN c IS NOT NULL THEN lb.close / nullif(b, 0) - 1 END, 5) + 0.0::DOUBLE AS last_change,
+  coalesce(stance, technical_bias, CASE WHEN coalesce(bulls, 0) > coalesce(bears, 0) AND crowding IN ('LONG_CROWDED', 'LONG_WARM') THEN 'WATCH_LONG' WHEN coalesce(bears, 0) > coalesce(bulls, 0) AND crowding IN ('SHORT_CROWDED', 'SHORT_WARM') THEN 'WATCH_SHORT'
+    WHEN coalesce(bulls, 0) > coalesce(bears, 0) THEN 'LEAN_LONG' WHEN coalesce(bears, 0) > coalesce(bulls, 0) THEN 'LEAN_SHORT' WHEN microstructure_label = 'BID_DOMINANT' THEN 'WATCH_LONG' WHEN microstructure_label = 'ASK_DOMINANT' THEN 'WATCH_SHORT' ELSE 'NEUTRAL' END) AS bias,
+  round(coalesce(ca.confidence, st.confidence, sure), 5) + 0.0::DOUBLE AS confidence,
+  coalesce({case('stance', cockpit.STANCES)}, trend_state, {case('theme', cockpit.THEMES)}, microstructure_label, onchain_label, crowding_label, 'waiting') AS regime, coalesce(primary_factor, tp.factor) AS primary_factor,
+  concat_ws(' ', CASE WHEN risk_note <> 'none' THEN risk_note END, CASE WHEN {family('stance')} <> {family('technical_bias')} THEN 'technicals=' || lower(technical_bias) END, CASE WHEN abs(annualized_funding_rate) > 0.1 THEN 'funding=extreme' END,
+    CASE WHEN spread_bps > 8 THEN 'book=thin' END, CASE WHEN ol_.symbol IS NULL THEN 'chain=missing' END) AS conflicts, folds_positive, folds
+FROM lb LEFT JOIN ct USING (symbol) LEFT JOIN tp USING (symbol) LEFT JOIN ca USING (symbol) LEFT JOIN st USING (symbol) LEFT JOIN micro USING (symbol) LEFT JOIN snap USING (symbol) LEFT JOIN ol_ USING (symbol), fo"""
+
+
 def _cards_sql() -> str:
-    fixed = "fx AS (SELECT * FROM (VALUES ('mom_5', 1, 2.4::DOUBLE, 3.0::DOUBLE, 0.4::DOUBLE, -0.1::DOUBLE, 0.6::DOUBLE, 1, NULL), ('reversal_5', 1, 1.4, 2.0, 0.2, -0.2, 0.55, 1, ''), ('volume_zscore_10', -1, 0.9, 1.0, 0.1, -0.3, NULL, 1, NULL), ('mom_5', 1, 0.4, 9.0, 0.4, -0.1, 0.6, 5, NULL), ('mom_3', 1, 9.0, 9.0, 0.4, -0.1, 0.6, 1, 'failed')) t(factor, direction, sharpe, score, total_return, max_drawdown, win_rate, horizon, error))"
-    fs = "mom_3, mom_5, reversal_5, volume_zscore_10"
+    fixed = FIXED
+    fs = FEW_FACTORS
     two = lambda n, c: f"{n} AS (SELECT symbol, max(CASE WHEN k = 1 THEN {c} END) AS latest, max(CASE WHEN k = 2 THEN {c} END) AS previous FROM (SELECT symbol, {c}, row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) AS k FROM hist WHERE {c} IS NOT NULL) GROUP BY symbol)"
     label = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in decisions.LABELS.items())
     hot, cold = "crowding IN ('LONG_CROWDED', 'LONG_WARM')", "crowding IN ('SHORT_CROWDED', 'SHORT_WARM')"
@@ -330,6 +370,7 @@ lg AS (UNPIVOT (SELECT timestamp, symbol, {names} FROM panel) ON {names} INTO NA
 SELECT ts_text AS timestamp, {S.rnd('symbol factor theme ~value ~percentile signal signal_label setup direction direction_label ~confidence confidence_label ~signal_score ~sharpe ~score ^total_return ^max_drawdown ~win_rate horizon', 5)},
   signal_label || '; at ' || floor(percentile * 100 + 0.5)::BIGINT || '% of its history, ' || CASE WHEN direction >= 0 THEN 'high' ELSE 'low' END || ' values favour returns, confidence ' || confidence_label AS interpretation FROM rad"""
     o["decision_cards"] = _cards_sql()
+    o["cockpit"] = _cockpit_sql()
     o["candle_payloads"] = f"WITH {S.EVENT_BARS} SELECT timestamp, symbol, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, volume, asset_class, frequency, 'okx' AS exchange, upper(symbol) AS okx_inst_id, true AS okx_confirmed FROM bars WHERE hour(timestamp) <> 23"
     sums = ", ".join(f"round(coalesce(sum(weight) FILTER (symbol = '{s}'), 0), 6) + 0.0::DOUBLE AS \"{s}\"" for s in ("AF", "AO", "NF", "NO", "RF", "RO"))
     o["pivot_weights"] = f"{Q._B}, {S.backtest('rows_')} SELECT timestamp, {sums} FROM w GROUP BY timestamp"

@@ -103,6 +103,17 @@ def _walk_costly(spark: SparkSession, d: str) -> DataFrame:
     return rounded(walkforward.validate(m, factors.panel(m, WINDOWS), NAMES, FOLDS, COSTLY, spreads(spark, d), rates(spark, d)), 5, BIG)
 
 
+BACKWARDS = backtest.BacktestConfig.of({"transaction_cost_bps": 5, "slippage_bps": 2, "funding_enabled": True, "funding_cost_multiplier": 1.0, "funding_rate_column": "realized_rate", "annualization": 8760, "direction": -1})
+
+
+def _backwards(spark: SparkSession, d: str) -> DataFrame:
+    """The factor against its direction, with funding by a column that the config names."""
+    t = bars.read(spark, d, "lineitem")
+    realized = t.groupBy(F.concat("l_returnflag", "l_linestatus").alias("symbol"), F.date_trunc("week", "l_shipdate").cast("timestamp_ntz").alias("timestamp")).agg(((F.avg("l_tax") - 0.04) * 3.0 * 365.0).alias("realized_rate"))
+    r = backtest.returns(backtest.single(_line_panel(spark, d), ONE, BACKWARDS), BACKWARDS, rates=realized)
+    return rounded(backtest.metrics(r, BACKWARDS), 6, BIG)
+
+
 def _sixty(spark: SparkSession, d: str) -> DataFrame:
     """Folds over the first 60 bar times: the first training slice is 30 of them."""
     times = bars.events_hourly(spark, d).select("timestamp").distinct().orderBy("timestamp").limit(60)
@@ -160,6 +171,7 @@ def queries() -> dict:
     f["bt_returns"] = lambda s, d: rounded(backtest.returns(_one(s, d), CONFIG).drop("drawdown"), 6, BIG)
     f["bt_metrics"] = lambda s, d: rounded(backtest.metrics(backtest.returns(_one(s, d), CONFIG), CONFIG), 6, BIG)
     f["bt_metrics_costly"] = bt_metrics_costly
+    f["bt_direction_and_rate_column"] = _backwards
     f["bt_sides"] = lambda s, d: rounded(backtest.sides(backtest.weights(_one(s, d), CONFIG)))
     f["bt_all_factors"] = _sweep
     f["bt_all_factors_costly"] = _sweep_costly
@@ -243,6 +255,8 @@ def oracle_sql() -> dict[str, str]:
     o["bt_returns"] = f"{bt} SELECT {S.rnd('timestamp ~gross_return ~turnover ~execution_cost ~funding_cost ~total_cost ~net_return ^equity_curve')} FROM rt"
     o["bt_metrics"] = f"{bt} SELECT {S.rnd(METRICS)} FROM mt"
     o["bt_metrics_costly"] = f"{costly} SELECT {S.rnd(METRICS)} FROM mt"
+    back = f"WITH {S.line_bars()},\n{S.panel()},\n{ROWS.replace('1 AS direction', '-1 AS direction')}, {RATES.replace('avg(l_discount) - 0.05', 'avg(l_tax) - 0.04')}, {S.backtest('rows_', ann=8760, funding=1.0)}"
+    o["bt_direction_and_rate_column"] = f"{back} SELECT {S.rnd(METRICS)} FROM mt"
     one = ",\n".join(("WITH " + S.line_bars(), S.panel(), S.long(horizons=(1,)), S.EVAL))
     rows = "rows_ AS (SELECT factor, timestamp, symbol, value, target, direction FROM obs JOIN (SELECT factor, direction FROM ev) USING (factor))"
     o["bt_all_factors"] = f"{one}, {rows}, {S.backtest('rows_', 'factor')} SELECT {S.rnd('factor horizon direction ~score ~pooled_spearman ~quantile_spread observations ' + METRICS, 5)} FROM ev LEFT JOIN mt USING (factor)"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from factorlake.functions import workdir
 from factorlake.operators import backtest, context, decisions, evaluation, factors, mining, prepare, quality, signals, store, technicals, walkforward
+from factorlake.plans import configs, site
 from factorlake.schemas import DataRequest
 from factorlake.sources import onchain, providers
 
@@ -67,10 +68,21 @@ class Runner:
     feeds: dict[str, DataFrame] = field(default_factory=dict)  # derivatives, history, micro, onchain, where there are any
     onchain_fetch: Callable[[str, str, str, str], str] | None = None  # asks for on-chain metrics where no such feed is given
 
+    warnings: list[str] = field(default_factory=list)
+    _kept: list[DataFrame] = field(default_factory=list)
+
     def validate(self) -> None:
-        for key in ("data", "factors", "backtest"):
-            if not isinstance(self.config.get(key), dict):
-                raise ValueError(f"the config lacks the section {key!r}")
+        configs.validate(self.config)
+
+    def _keep(self, frame: DataFrame) -> DataFrame:
+        """frame, kept until the run has been written."""
+        self._kept.append(frame.persist())
+        return frame
+
+    def release(self) -> None:
+        for frame in self._kept:
+            frame.unpersist()
+        self._kept.clear()
 
     def frames(self) -> dict[str, DataFrame]:
         """Every result of the run by artifact name, lazy but for what the forest fits."""
@@ -80,7 +92,7 @@ class Runner:
         request = DataRequest.of(data)
         tell("load market")
         raw = providers.build(data).load(self.spark, request)
-        market = prepare.adjust(prepare.normalise(raw), prepare.parse_adjustments(c.get("adjustments"))).persist()
+        market = self._keep(prepare.adjust(prepare.normalise(raw), configs.adjustments(c)))
         asked = dict(self.feeds)
         if self.onchain_fetch and "onchain" not in asked:
             replies = workdir.written(onchain.Metrics(self.onchain_fetch).load(self.spark, request))
@@ -89,37 +101,38 @@ class Runner:
         if "onchain" in given and "onchain" not in self.feeds:
             # One row for each symbol and metric that failed.
             warnings += [f"{r.symbol}: {r.warning}" for r in onchain.context_warnings(replies).orderBy("symbol", "metric").collect()]
+        self.warnings = warnings
         for w in warnings:
             self.context.log("WARN", w)
         feeds = {k: given.get(k, self.spark.createDataFrame([], s)) for k, s in EMPTY.items()}
         tell("quality")
-        report = quality.symbols(market).persist()
+        report = self._keep(quality.symbols(market))
         windows, horizons = [int(w) for w in c["factors"].get("windows", [5, 10, 20])], tuple(int(h) for h in c["factors"].get("horizons", [1]))
         least = int(c["factors"].get("min_observations", 30))
         tell("factors")
-        panel = factors.panel(market, windows, horizons).persist()
+        panel = self._keep(factors.panel(market, windows, horizons))
         names = factors.names(windows)
         found = factors.candidates(self.spark, windows)
         ml = c.get("ml") or {}
         if ml.get("enabled"):
             predicted, extra = mining.forest(market, windows, horizons[0], int(ml.get("n_estimators", 80)), seed=int(ml.get("seed", 7)))
             if extra:
-                panel = factors.combine([panel, predicted]).persist()
+                panel = self._keep(factors.combine([panel, predicted]))
                 names = [*names, extra[0]["name"]]
                 found = found.unionByName(self.spark.createDataFrame([(e["name"], e["source"], e["description"]) for e in extra], found.schema))
         tell("evaluation")
-        scored = evaluation.evaluate(panel, names, horizons, least, int(c["factors"].get("min_cross_section_assets", 3))).persist()
+        scored = self._keep(evaluation.evaluate(panel, names, horizons, least, int(c["factors"].get("min_cross_section_assets", 3))))
         b = c["backtest"]
-        config = backtest.BacktestConfig(**{k: v for k, v in b.items() if k in backtest.BacktestConfig.__dataclass_fields__})
+        config = backtest.BacktestConfig.of(b)
         top = evaluation.select_top(scored, config.horizon)
         rows = backtest.factor_rows(panel, names, scored, config.horizon)
         best = rows.join(F.broadcast(top.select("factor")), "factor", "left_semi").drop("factor")
         curve = backtest.returns(best, config, spreads=given.get("micro"), rates=given.get("history"))
         tell("backtests")
-        swept = backtest.sweep(panel, names, scored, config, given.get("micro"), given.get("history")).persist()
+        swept = self._keep(backtest.sweep(panel, names, scored, config, given.get("micro"), given.get("history")))
         wf = walkforward.WalkForwardConfig(**(c.get("walk_forward") or {}))
         tell("signals and cards")
-        radar = signals.radar(panel, names, swept, int((c.get("signals") or {}).get("min_history", 20))).persist()
+        radar = self._keep(signals.radar(panel, names, swept, int((c.get("signals") or {}).get("min_history", 20))))
         level = quality.summary(report).first()["status"]
         provider = str(data.get("provider", "synthetic")).lower()
         now = datetime.fromisoformat(c["generated_at"]) if c.get("generated_at") else datetime.now(timezone.utc).replace(tzinfo=None)
@@ -134,26 +147,20 @@ class Runner:
         }
 
     def run(self, folder: str, csv: bool = False) -> dict:
-        """Writes all artifacts; returns a small summary."""
-        frames = self.frames()
-        paths = store.write_artifacts(frames, folder, csv)
-        head = lambda name, n: [json.loads(x) for x in frames[name].limit(n).toJSON().collect()]
-        summary = {"run_id": self.context.run_id, "config_hash": store.config_hash(self.config), "artifacts": paths, "top_factor": head("top_factor", 1), "metrics": head("backtest_metrics", 1), "quality": head("data_quality_summary", 1), "source": head("source_overall", 1)}
+        """Writes all artifacts and the summary, which it returns; what is too large for a summary is capped there."""
+        try:
+            paths = store.write_artifacts(self.frames(), folder, csv)
+        finally:
+            self.release()
+        out = {"run_id": self.context.run_id, "config_hash": store.config_hash(self.config), "artifacts": paths} | site.summary(self.spark, folder, paths, csv, self.warnings)
+        out |= {"metrics": out["backtest_metrics"], "quality": out["data_quality_summary"], "source": out["source_overall"]}
+        site.write_text(self.spark, json.dumps(out, ensure_ascii=False), f"{folder.rstrip('/')}/summary")
         self.context.checkpoint("done")
-        return summary
-
-
-def export_site(spark: SparkSession, folder: str, target: str, bars_per_symbol: int = 500) -> dict[str, str]:
-    """JSON files of a run's small tables and of each symbol's last bars (20 to 5000), as folders under target."""
-    from pyspark.sql import Window
-
-    n = min(max(bars_per_symbol, 20), 5000)
-    out = {}
-    for name in ("data_quality", "factor_evaluation", "factor_backtests", "walk_forward", "factor_signals", "decision_cards", "indicator_states", "source_status"):
-        out[name] = f"{target.rstrip('/')}/{name}"
-        spark.read.parquet(f"{folder}/{name}").coalesce(1).write.mode("overwrite").json(out[name])
-    w = Window.partitionBy("symbol").orderBy(F.col("timestamp").desc())
-    m = spark.read.parquet(f"{folder}/market_data").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= n).drop("n")
-    out["market"] = f"{target.rstrip('/')}/market"
-    m.repartition("symbol").sortWithinPartitions("symbol", "timestamp").write.mode("overwrite").partitionBy("symbol").json(out["market"])
-    return out
+        return out
+
+
+def export_site(spark: SparkSession, folder: str, target: str, bars_per_symbol: int = 500, root: str | None = None, config: dict | None = None, runs: DataFrame | None = None) -> dict[str, str]:
+    """A run as JSON under target, see site.export; with root given, target has to be a folder of its own within it."""
+    if root:
+        site.allowed_target(root, target, folder)
+    return site.export(spark, folder, target, bars_per_symbol, root, config, runs)

@@ -14,6 +14,22 @@ FREQUENCIES = {"1d": 86_400, "1h": 3_600, "5m": 300, "1m": 60}
 ALIASES = {"daily": "1d", "day": "1d", "d": "1d", "hourly": "1h", "hour": "1h", "h": "1h", "5min": "5m", "5minute": "5m", "1min": "1m", "minute": "1m"}
 
 
+# Each library's own name for a bar.
+CODES = {
+    "pandas": {"1d": "D", "1h": "h", "5m": "5min", "1m": "min"},
+    "yfinance": {"1d": "1d", "1h": "1h", "5m": "5m", "1m": "1m"},
+    "ccxt": {"1d": "1d", "1h": "1h", "5m": "5m", "1m": "1m"},
+    "okx": {"1d": "1Dutc", "1h": "1H", "5m": "5m", "1m": "1m"},
+}
+
+
+def code(bar: str, library: str) -> str:
+    """What a library calls a bar of this length."""
+    if library not in CODES:
+        raise ValueError(f"no bar codes of {library!r}")
+    return CODES[library][frequency(bar)]
+
+
 def frequency(value: str) -> str:
     v = str(value).strip().lower()
     v = ALIASES.get(v, v)

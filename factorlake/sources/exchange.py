@@ -19,7 +19,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from factorlake.schemas import FREQUENCIES, DataRequest
+from factorlake.schemas import FREQUENCIES, DataRequest, code
 from factorlake.streaming.feeds import spot_id
 
 SCHEMA = "timestamp timestamp_ntz, symbol string, open double, high double, low double, close double, volume double, asset_class string, frequency string, inst_id string, confirmed boolean"
@@ -64,7 +64,7 @@ class CandleReader(DataSourceReader):
         """The rows of one reply; what fails is asked for again, and no more than that."""
         for attempt in range(self.attempts):
             try:
-                reply = json.loads(self.fetch(inst_id, self.bar, str(after)))
+                reply = json.loads(self.fetch(inst_id, code(self.bar, "okx"), str(after)))
                 if str(reply.get("code", "0")) != "0":
                     raise OSError(f"exchange error {reply['code']}: {reply.get('msg', '')}")
                 return [r for r in reply.get("data") or [] if len(r) >= 9]

@@ -9,10 +9,11 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factorlake.functions import workdir
 from factorlake.operators import technicals
 from factorlake.operators.prepare import normalise
-from factorlake.schemas import FREQUENCIES, DataRequest
-from factorlake.sources import payloads
+from factorlake.schemas import FREQUENCIES, DataRequest, code
+from factorlake.sources import exchange, payloads
 from factorlake.streaming.feeds import spot_id
 
 
@@ -87,7 +88,7 @@ class Candles:
     def load(self, spark: SparkSession, request: DataRequest) -> DataFrame:
         import json
 
-        fetch, pages, bar, floor = self.fetch, self.pages, request.frequency, request.start.timestamp() * 1000
+        fetch, pages, bar, floor = self.fetch, self.pages, code(request.frequency, "okx"), request.start.timestamp() * 1000
 
         def paged(frames):
             import pandas as pd
@@ -134,7 +135,68 @@ class Rows:
         return within(normalise(ids.mapInPandas(fetched, text)), request)
 
 
-PROVIDERS = {"synthetic": lambda c: Synthetic(int(c.get("seed", 42))), "csv": lambda c: Csv(c["path"]), "parquet": lambda c: ParquetBars(c["path"]), "yfinance": lambda c: Rows(c["fetch"]), "ccxt": lambda c: Rows(c["fetch"]), "okx": lambda c: Candles(c["fetch"], int(c.get("max_pages", 30)), bool(c.get("include_unconfirmed")))}
+TEXT = "timestamp string, symbol string, open string, high string, low string, close string, volume string, asset_class string, frequency string"
+
+
+def _per_symbol(spark: SparkSession, request: DataRequest, library: str, bars_of: Callable) -> DataFrame:
+    """Normalised bars of bars_of(symbol) -> [(time, o, h, l, c, v) as text], a task for each symbol; no bars at all is an error."""
+
+    def fetched(frames):
+        import pandas as pd
+
+        for f in frames:
+            for symbol, kind in zip(f["symbol"], f["asset_class"]):
+                rows = [(r[0], symbol, *(None if x is None else str(x) for x in r[1:6]), kind, bar) for r in bars_of(symbol)]
+                if rows:
+                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in TEXT.split(", ")])
+
+    bar = request.frequency
+    ids = spark.createDataFrame([(i.symbol, i.asset_class) for i in request.universe], "symbol string, asset_class string").repartition(len(request.universe))
+    raw = workdir.written(ids.mapInPandas(fetched, TEXT))  # asked for once
+    if raw.isEmpty():
+        raise RuntimeError(f"{library} has no bars of {', '.join(request.symbols)}")
+    return normalise(raw)
+
+
+@dataclass
+class Downloads:
+    """A download library's rows: `fetch(symbol, start, end, interval) -> [{"Datetime" or "Date", "Open", "High", "Low", "Close", "Volume"}, ...]`.
+
+    start and end are days. A symbol without rows is left out; the time is in the
+    column Datetime where the rows have one, else in Date.
+    """
+
+    fetch: Callable[[str, str, str, str], list[dict]]
+
+    def load(self, spark: SparkSession, request: DataRequest) -> DataFrame:
+        fetch, span, interval = self.fetch, (f"{request.start:%Y-%m-%d}", f"{request.end:%Y-%m-%d}"), code(request.frequency, "yfinance")
+
+        def bars_of(symbol: str) -> list[tuple]:
+            rows = fetch(symbol, *span, interval)
+            time = "Datetime" if rows and "Datetime" in rows[0] else "Date"
+            return [(str(r[time]), *(r[c] for c in ("Open", "High", "Low", "Close", "Volume"))) for r in rows]
+
+        return _per_symbol(spark, request, "yfinance", bars_of)
+
+
+@dataclass
+class Since:
+    """One page from the request's start on: `fetch(symbol, timeframe, since) -> [(ms, o, h, l, c, v), ...]`, times in milliseconds since 1970, UTC."""
+
+    fetch: Callable[[str, str, int], list[tuple]]
+
+    def load(self, spark: SparkSession, request: DataRequest) -> DataFrame:
+        fetch, since, timeframe = self.fetch, exchange.millis_of(request.start), code(request.frequency, "ccxt")
+
+        def bars_of(symbol: str) -> list[tuple]:
+            import pandas as pd
+
+            return [(str(pd.to_datetime(r[0], unit="ms")), *r[1:6]) for r in fetch(symbol, timeframe, since)]
+
+        return within(_per_symbol(spark, request, "ccxt", bars_of), request)
+
+
+PROVIDERS = {"synthetic": lambda c: Synthetic(int(c.get("seed", 42))), "csv": lambda c: Csv(c["path"]), "parquet": lambda c: ParquetBars(c["path"]), "yfinance": lambda c: Downloads(c["download"]) if "download" in c else Rows(c["fetch"]), "ccxt": lambda c: Since(c["ohlcv"]) if "ohlcv" in c else Rows(c["fetch"]), "okx": lambda c: Candles(c["fetch"], int(c.get("max_pages", 30)), bool(c.get("include_unconfirmed")))}
 
 
 def build(config: dict):
