@@ -73,7 +73,7 @@ def records(frame: DataFrame, name: str, rows: int | None, root: str | None = No
 
 def read(spark: SparkSession, folder: str, name: str, csv: bool = False) -> DataFrame:
     path = f"{folder.rstrip('/')}/{name}"
-    return spark.read.option("header", True).csv(path) if csv else spark.read.parquet(path)
+    return spark.read.option("header", True).option("inferSchema", True).csv(path) if csv else spark.read.parquet(path)
 
 
 def summary(spark: SparkSession, folder: str, artifacts: dict[str, str], csv: bool = False, warnings: list[str] | None = None) -> dict:

@@ -4,7 +4,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from factorlake.operators import backtest, cockpit
+from factorlake.operators import backtest, cockpit, store
 from factorlake.plans import configs, pipeline, site
 from factorlake.schemas import CODES, FREQUENCIES, DataRequest, code
 from factorlake.sources import providers
@@ -119,8 +119,15 @@ def test_texts_do_not_tell_the_root(spark):
     assert json.loads(site.scrubbed(json.dumps({"a": ["/home/a.b/x", "/home/aXb/x"]}), "/home/a.b")) == {"a": ["./x", "/home/aXb/x"]}
 
 
-@pytest.mark.parametrize("csv", [False, True])
-def test_a_whole_export(spark, tmp_path, csv):
+def test_rows_of_a_table_in_csv_are_in_order(spark, tmp_path):
+    folds = spark.createDataFrame([(k, 0.5 * k) for k in (10, 2, 9)], "fold int, test_sharpe double")
+    store.write_artifacts({"walk_forward": folds}, str(tmp_path), csv=True)
+    back = site.read(spark, str(tmp_path), "walk_forward", csv=True)
+    assert [r["fold"] for r in site.records(back, "walk_forward", 2)] == [2, 9] and [r["fold"] for r in site.records(back, "walk_forward", -2)] == [9, 10]
+    assert site.records(back, "walk_forward", None)[0] == {"fold": 2, "test_sharpe": 1.0}
+
+
+def test_a_whole_export(spark, tmp_path, csv=False):
     run, target = str(tmp_path / "out" / "1"), str(tmp_path / "site")
     runner = pipeline.Runner(spark, GOOD)
     done = runner.run(run, csv)
