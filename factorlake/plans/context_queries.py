@@ -130,7 +130,7 @@ def health(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sweep(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = Q._line_panel(spark, d).persist()
+    p = workdir.written(Q._line_panel(spark, d))
     return p, backtest.sweep(p, Q.NAMES, evaluation.evaluate(p, Q.NAMES, (1,)), Q.CONFIG)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factorlake.functions import workdir
 from factorlake.functions.numerics import rounded
 from factorlake.operators import backtest, evaluation, factors, walkforward
 from factorlake.plans import sqltext as S
@@ -83,7 +84,7 @@ def _funding(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sweep(spark: SparkSession, d: str) -> DataFrame:
-    p = _line_panel(spark, d).persist()
+    p = workdir.written(_line_panel(spark, d))
     out = backtest.sweep(p, NAMES, evaluation.evaluate(p, NAMES, (1,)), CONFIG)
     return rounded(out.drop("error"), 5, BIG)
 
@@ -121,7 +122,7 @@ def _sixty(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sweep_costly(spark: SparkSession, d: str) -> DataFrame:
-    p = _line_panel(spark, d).persist()
+    p = workdir.written(_line_panel(spark, d))
     out = backtest.sweep(p, NAMES, evaluation.evaluate(p, NAMES, (1,)), COSTLY, spreads(spark, d), rates(spark, d))
     return rounded(out.drop("error"), 5, BIG)
 
