@@ -23,8 +23,8 @@ def forest(market: DataFrame, windows: list[int], horizon: int, trees: int = 80,
     name, target = f"ml_rf_prediction_h{horizon}", f"fwd_return_{horizon}"
     names = factors.names(windows)
     wide = factors.panel(market, windows, (horizon,))
-    # Written once: the counts, the fit and the predictions all read it.
-    rows = workdir.written(wide.select("timestamp", "symbol", *names, target).dropna(subset=[*names, target]))
+    # Written once, before the filter (which would repeat every factor's expression): the counts, the fit and the predictions all read it.
+    rows = workdir.written(wide.select("timestamp", "symbol", *names, target)).dropna(subset=[*names, target])
     keys = market.select("timestamp", "symbol")
     times = places(rows.select("timestamp").distinct().withColumn("k", F.lit(1)), ("k",), ("timestamp",))
     n = times.count()
