@@ -10,6 +10,7 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from factorlake.functions import ranges
 from factorlake.functions.numerics import div, finite, number
@@ -193,24 +194,41 @@ def returns(rows: DataFrame, config: BacktestConfig, keys: tuple[str, ...] = (),
     return out
 
 
+def _scaled(rows: DataFrame, factor: Column, exponent: Column, over: WindowSpec) -> DataFrame:
+    """rows with __m and __k: the running product of factor * 2^exponent is __m * 2^__k, and |__m| stays near 1, so nothing overflows."""
+    s = F.sum(F.coalesce(finite(F.log2(F.abs(factor))), F.lit(0.0)) + exponent).over(over)
+    rows = rows.withColumn("__k", F.round(s).cast("int"))
+    step = F.col("__k") - F.coalesce(F.lag("__k").over(over), F.lit(0))
+    return rows.withColumn("__m", F.product(factor * F.pow(F.lit(2.0), exponent - step)).over(over))
+
+
 def curve(r: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """r with equity_curve, the running product of 1 + net_return, and drawdown, that against the curve's running maximum.
 
-    Ranges of (keys, timestamp) multiply and take maxima by themselves; of each the product and the largest and
-    smallest running product are carried, as a negative product turns them round. A product
-    beyond a double's range is no number.
+    A product beyond a double's range is no number, and neither is any after it; one that has come to 0 stays there.
+    So ranges of (keys, timestamp) are told the product before them, which they multiply on row by row, and then how the
+    first earlier range ended that left a double's range, and the largest value so far. The products told are
+    made of scaled ones, as a range may pass that range by itself where the curve does not.
     """
     at = ("timestamp",)
-    own = ranges.own(keys, at)
+    own, place = ranges.own(keys, at), Window.partitionBy(*keys, RANGE).orderBy(*at)
     d = ranges.dealt(r, keys, at)
-    d = d.withColumn("__p", F.product(F.col("net_return") + 1.0).over(own))
-    pieces = d.groupBy(*keys, RANGE).agg(F.max_by("__p", "timestamp").alias("all"), F.max("__p").alias("most"), F.min("__p").alias("least"))
-    before = F.coalesce(F.product("all").over(ranges.earlier(keys)), F.lit(1.0))
-    tops = pieces.withColumn("before", before).withColumn("top", finite(F.col("before") * F.when(F.col("before") >= 0, F.col("most")).otherwise(F.col("least"))))
-    carry = ranges.carried(tops, keys, __before=F.col("before"), __top=F.max("top").over(ranges.earlier(keys)))
-    d = ranges.met(d, carry, keys).withColumn("equity_curve", finite(F.coalesce("__before", F.lit(1.0)) * F.col("__p")))
+    f = F.col("net_return") + 1.0
+    pieces = _scaled(d, f, F.lit(0), place).groupBy(*keys, RANGE).agg(F.max_by("__m", "timestamp").alias("m"), F.max_by("__k", "timestamp").alias("k"))
+    pieces = _scaled(pieces, F.col("m"), F.col("k"), Window.partitionBy(*keys).orderBy(RANGE))
+    half = F.floor(F.col("__k") / 2)
+    pieces = pieces.withColumn("all", F.col("__m") * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), F.col("__k") - half))
+    carry = ranges.carried(pieces, keys, __before=F.last("all").over(ranges.earlier(keys)))
+    starts = (F.row_number().over(place) == 1) & F.col("__before").isNotNull()
+    d = ranges.met(d, carry, keys).withColumn("__f", F.when(starts, F.col("__before") * F.coalesce(f, F.lit(1.0))).otherwise(f)).withColumn("__p", F.product("__f").over(own))
+    ends = d.groupBy(*keys, RANGE).agg(F.max_by("__p", "timestamp").alias("end"), F.max(finite("__p")).alias("top"))
+    # The first range to end at 0 or beyond all doubles; those after it have no curve of their own.
+    left = F.first(F.when((F.col("end") == 0) | finite("end").isNull(), F.col("end")), ignorenulls=True).over(ranges.earlier(keys))
+    ends = ends.withColumn("left", left).withColumn("top", F.when(F.col("left").isNull(), F.col("top")).otherwise(finite("left")))
+    carry = ranges.carried(ends, keys, __left=F.col("left"), __top=F.max("top").over(ranges.earlier(keys)))
+    d = ranges.met(d.drop("__before", "__f"), carry, keys).withColumn("equity_curve", finite(F.coalesce("__left", "__p")))
     peak = F.greatest("__top", F.max("equity_curve").over(own))
-    return d.withColumn("drawdown", div("equity_curve", peak) - 1.0).drop("__p", "__before", "__top", RANGE)
+    return d.withColumn("drawdown", div("equity_curve", peak) - 1.0).drop("__p", "__left", "__top", RANGE)
 
 
 def metrics(r: DataFrame, config: BacktestConfig, keys: tuple[str, ...] = ()) -> DataFrame:

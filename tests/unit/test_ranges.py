@@ -61,6 +61,20 @@ def test_a_product_beyond_range_is_no_number(spark):
     assert [r.equity_curve is None for r in backtest.curve(df).orderBy("timestamp").collect()] == [False, True, True]
 
 
+@pytest.mark.parametrize("steps", [[10] * 31 + [-10] * 33, [-11] * 27 + [0] * 13 + [11] * 40 + [-1] * 80, [-10] * 33 + [10] * 31], ids=["above", "above in one range alone", "to nothing"])
+def test_a_curve_that_left_a_doubles_range_in_several_ranges(spark, many_ranges, steps):
+    net = 10.0 ** np.array(steps) - 1
+    df = spark.createDataFrame([(T0 + timedelta(days=k), float(x)) for k, x in enumerate(net)], "timestamp timestamp_ntz, net_return double")
+    got = backtest.curve(df).toPandas().sort_values("timestamp")
+    with np.errstate(all="ignore"):
+        c = np.cumprod(1 + net)
+        c[~np.isfinite(c)] = np.nan
+        peak = np.fmax.accumulate(c)
+        drawdown = np.where(peak == 0, np.nan, c / peak - 1)
+    np.testing.assert_allclose(got["equity_curve"].to_numpy(float), c, rtol=1e-9, atol=1e-307)
+    np.testing.assert_allclose(got["drawdown"].to_numpy(float), drawdown, rtol=1e-7, atol=1e-9)
+
+
 @pytest.mark.parametrize("partitions", ["4", "8", "200"])
 def test_mirrored_factors_tie_and_go_by_name(spark, partitions):
     rows = [(T0 + timedelta(days=i), s, c, c, c, c, 100.0, "crypto", "1d") for k, s in enumerate("ABC") for i, c in enumerate((100 * np.exp(np.cumsum(np.random.default_rng(k).normal(0, 0.03, 90)))).tolist())]
