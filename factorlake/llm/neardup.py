@@ -213,7 +213,7 @@ def _own_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for i, j, b, o in blocks(body, offs):
             hashes, sizes = shingles(b, o)
             take = pa.array(np.repeat(np.arange(i, j), sizes))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("node", "comp", "n")), pa.array(sql_long(hashes))], names=["node", "comp", "n", "shingle"])
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(take), pa.array(sql_long(hashes))], names=["node", "shingle"])
 
 
 def _across(grouped: DataFrame, pivots: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
@@ -234,12 +234,16 @@ def _across(grouped: DataFrame, pivots: DataFrame, texts: DataFrame, threshold:
     mixed = session.cut(each.join(kinds, "band").join(pivots, "band"))
     part = threshold / 100
     large = mixed.filter(F.col("m") > SMALL).select("node").distinct()
-    own = grouped.join(large, "node").select("node", "comp", "n", "rep.doc_id", "rep.th").join(texts.withColumnRenamed("doc_id", "e"), "th").filter("doc_id <=> e")
-    own = session.cut(own.select("node", "comp", "n", "text").dropDuplicates(["node"]).mapInArrow(_own_shingles, "node long, comp long, n long, shingle long"))
-    df = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    those = session.cut(grouped.join(large, "node").select("node", "comp", "n", "rep").dropDuplicates(["node"]))
+    own = those.select("node", "rep.doc_id", "rep.th").join(texts.withColumnRenamed("doc_id", "e"), "th").filter("doc_id <=> e")
+    own = session.cut(own.select("node", "text").dropDuplicates(["node"]).mapInArrow(_own_shingles, "node long, shingle long"))
+    few = session.cut(own.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node")).filter(F.col("df") <= RARE))
+    # Only rare shingles of several nodes meet their holders: one's own names its node already, and frequent ones are what is left of n.
+    each_rare = own.join(few.filter("df > 1").select("shingle", "df"), "shingle").select("node", "shingle", "df").unionByName(few.filter("df = 1"))
     # Per node: shingles that are not rare (c), those of it alone, and the rare ones it shares, rarest first.
-    rare = F.when((F.col("df") > 1) & (F.col("df") <= RARE), F.struct("df", "shingle"))
-    per_node = own.join(df, "shingle").groupBy("node", "comp", "n").agg(F.sum((F.col("df") > RARE).cast("long")).alias("c"), F.sum((F.col("df") == 1).cast("long")).alias("alone"), F.array_sort(F.collect_list(rare)).alias("rare"))
+    rare = F.when(F.col("df") > 1, F.struct("df", "shingle"))
+    per_node = each_rare.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.sum((F.col("df") == 1).cast("long")).alias("alone"), F.array_sort(F.collect_list(rare)).alias("rare"))
+    per_node = those.select("node", "comp", "n").join(per_node, "node", "left").fillna(0, ["k", "alone"]).withColumn("c", F.col("n") - F.col("k"))
     first = F.greatest(F.col("n") - F.ceil(F.lit(threshold) * F.col("n") / F.lit(100)) + F.lit(1) - F.col("alone"), F.lit(0)).cast("int")
     per_node = session.cut(per_node.select("node", "comp", "n", "c", F.slice("rare", F.lit(1), first).alias("rare")))
     # A set with too few shingles that are not rare is beyond the bound whatever its partner; a small bucket bounds by set sizes alone.

@@ -68,6 +68,37 @@ def test_large_groups_of_unequal_copies(spark, monkeypatch):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
+def joined_rows(spark, key, since):
+    """Rows that joins by key made in the queries numbered since or later, and the number of the next one."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran, made = store.executionsList(), 0
+    ids = [ran.apply(i).executionId() for i in range(ran.size())]
+    for e in (e for e in ids if e >= since):
+        nodes, values = store.planGraph(e).allNodes(), store.executionMetrics(e)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name() and f"[{key}#" in node.desc():
+                ms = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                made += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in ms if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
+    return made, max(ids, default=-1) + 1
+
+
+def test_frequent_shingles_meet_no_holders(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    rnd = random.Random(4)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for _ in range(rnd.randint(0, 9)):
+            w[rnd.randrange(len(w))] = f"e{rnd.random()}"
+        rows.append((k, " ".join(w)))
+    _, since = joined_rows(spark, "shingle", 0)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n", "component_id").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+    assert 10 * joined_rows(spark, "shingle", since)[0] < sum(n for _, n, _ in got)
+
+
 def test_chain_of_stars(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 7), (200, 201)], "a long, b long")
     got = {r.node: r.comp for r in neardup.components(links).collect()}
