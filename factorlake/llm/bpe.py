@@ -11,6 +11,10 @@ unless that is white space beyond ASCII, after which the pre-tokenizer goes on;
 which characters those are is asked of the pre-tokenizer itself. Special tokens'
 strings cut a text before all else and have their own id, as in the library.
 
+A chunk not met before, if of Latin letters, digits and ASCII signs, is cut into the
+pre-tokenizer's pieces here, and the library's model merges a piece that a bounded
+table doesn't know; other chunks go through the whole library.
+
 Chunks and joins are known by their bytes, so a hit is exact. The table lives in a
 worker, in two generations of bounded bytes: what has not been met since the last change of
 generation leaves. Sharing it between workers would shuffle more ids than the texts have bytes.
@@ -25,6 +29,8 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+import struct
 from collections.abc import Iterator
 from itertools import chain
 
@@ -39,10 +45,15 @@ from factorlake.llm.bytesblock import Rolling, blocks, spread, utf8
 MODEL = "byte_bpe_50k.json"
 WINDOW = 16  # bytes that decide on a cut
 MEAN = 64  # bytes between cuts, on average
-TABLE_BYTES = 12 << 20  # of one generation: chunks and ids
+TABLE_BYTES = 6 << 20  # of one generation: chunks and ids
+PIECES_KEPT = 200_000  # of one generation
 _BLANKS = frozenset(b"\t\n\v\f\r ")
 _GAP = np.zeros(256, bool)
 _GAP[list(_BLANKS)] = True
+# White space, signs, digits and letters of ASCII, and the letters from U+00C0 to U+017F.
+_LATIN = re.compile(rb"[\t-\r -~]*(?:(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])[\t-\r -~]*)*")
+# The tokenizer's own pre-tokenizer pattern for these, where a byte beyond ASCII is part of a letter.
+_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\x80-\xff]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
 
 def model_path(name: str = MODEL) -> str:
@@ -51,6 +62,33 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_signs() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the rest for characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+class PieceIds(dict):
+    """A piece's bytes -> its ids as 32-bit numbers, by the library's model; of two generations the older leaves when the newer is full."""
+
+    def __init__(self, tokenizer, kept: int = PIECES_KEPT):
+        self.tokenizer, self.kept = tokenizer, kept
+        self.model, self.signs = tokenizer.model, _byte_signs()
+        self.older: dict[bytes, bytes] = {}
+
+    def __missing__(self, piece: bytes) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            ids = [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.signs))]
+            found = struct.pack(f"={len(ids)}i", *ids)
+        if len(piece) <= 64:
+            if len(self) >= self.kept:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class ChunkEncoder:
     """Encodes blocks of texts; holds the ids of the chunks seen so far."""
 
@@ -64,6 +102,7 @@ class ChunkEncoder:
         self.special = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.sizes = TokenBytes(path).size
         self.mean, self.limit = mean, table_bytes
+        self.pieces = PieceIds(self.tokenizer)
         self.spaces: dict[str, bool] = {}  # character -> whether it is white space
         self.young: dict[bytes, bytes] = {}  # chunk -> ids, as 32-bit numbers
         self.old: dict[bytes, bytes] = {}
@@ -73,8 +112,16 @@ class ChunkEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_new(self, chunks: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """(chunk, ids). Chunks that begin with ASCII white space and end in a character that is none are
+        """(chunk, ids). Latin chunks by their pieces. Of the others, those that begin with ASCII white space and end in a character that is none are
         encoded end to end, as the joins between them are pieces' ends, and their ids dealt back by size."""
+        of, other = self.pieces.__getitem__, []
+        for c in chunks:
+            # A special token's opening is left to the library.
+            if _LATIN.fullmatch(c) and b"<|" not in c:
+                yield c, b"".join(map(of, _PIECE.findall(c)))
+            else:
+                other.append(c)
+        chunks = other
         plain = [c[0] in _BLANKS and c[-1] not in _BLANKS and (c[-1] < 0x80 or not self._is_space(c[-4:].decode("utf-8", "ignore")[-1])) for c in chunks]
         run = [c for c, p in zip(chunks, plain) if p]
         for i in range(0, len(run), 1000):
@@ -211,9 +258,7 @@ class TokenBytes:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        # The byte-level alphabet: printable bytes stand for themselves, the rest for characters from 256 on.
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        symbol = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+        symbol = {c: b for b, c in _byte_signs().items()}
         special = {i: x.content.encode() for i, x in t.get_added_tokens_decoder().items()}
         tokens = [special.get(i) or bytes(symbol[c] for c in t.id_to_token(i) or "") for i in range(t.get_vocab_size())]
         self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
@@ -245,8 +290,20 @@ def decode(rows: DataFrame, ids_col: str = "ids", out: str = "decoded", path: st
     return rows.mapInArrow(_decode_kernel(path or model_path(), ids_col, out), f"{_simple(rows)}, `{out}` string")
 
 
+def round_trip(docs: DataFrame, text_col: str = "text", ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
+    """docs but text_col, with its ids and the text decoded from them. One kernel: as two, each task has two Python workers, and the executor's memory counts both."""
+    path = path or model_path()
+    there, back = _encode_kernel(path, text_col, ids), _decode_kernel(path, ids, out)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return back(batch.drop_columns([text_col]) for batch in there(batches))
+
+    schema = ", ".join(x for x in (_simple(docs.drop(text_col)), f"`{ids}` array<int>, `{out}` string") if x)
+    return docs.mapInArrow(kernel, schema)
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    out = decode(encode(docs.select("doc_id", "text")).drop("text"))
+    out = round_trip(docs.select("doc_id", "text"))
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -66,6 +66,42 @@ def test_shared_passages_are_encoded_once():
     assert 0 < sum(map(len, seen)) < 1000
 
 
+def latin():
+    rnd = random.Random(31)
+    bits = ["word", " the", "Ünïcode", "ſtraße", "naïve", " Éa", "×", "÷", "ª", "ʰ", "đ", "'s", "'S", "'ll", "' re", " '", "12", " 3", "²", "...", " !!", "<|", "<|endoftext|>", " ", "  ", "\n", "\r\n", "\t", "\x0b", "\x1c", "\x7f", "\x00", "\u0085", "\u00a0", "_", "~", "`a"]
+    return ["".join(rnd.choice(bits) for _ in range(rnd.randint(1, 40))) for _ in range(3000)] + ["x" * 70 + " " + "y" * 70]
+
+
+def test_pieces_equal_the_library():
+    lib, many = Tokenizer.from_file(bpe.model_path()), latin()
+    enc = bpe.ChunkEncoder(bpe.model_path(), table_bytes=2000)
+    enc.pieces.kept = 20
+    body, offs = bpe.utf8(pa.array(many))
+    for i, j, b, o in bpe.blocks(body, offs, 4000):
+        ids, sizes = enc.block(b, o)
+        for text, own in zip(many[i:j], np.split(ids, np.cumsum(sizes)[:-1])):
+            assert own.tolist() == lib.encode(text, add_special_tokens=False).ids, ascii(text)
+    assert len(enc.pieces) <= 20 and len(enc.pieces.older) == 20
+
+
+def test_words_met_before_are_not_encoded_again():
+    rnd = random.Random(32)
+    known = ["".join(rnd.choice("abcdefghé") for _ in range(rnd.randint(2, 9))) for _ in range(300)]
+    enc = bpe.ChunkEncoder(bpe.model_path())
+    enc.block(*bpe.utf8(pa.array([" " + " ".join(known)])))
+    seen = []
+    enc.encode = lambda texts, real=enc.encode: seen.extend(texts) or real(texts)
+    size = len(enc.pieces)
+    rnd.shuffle(known)
+    enc.block(*bpe.utf8(pa.array([" " + " ".join(known)])))
+    assert not seen and len(enc.pieces) == size
+
+
+def test_a_task_of_the_query_has_one_python_worker(spark):
+    docs = spark.createDataFrame([(1, "Hello  world")], "doc_id long, text string")
+    assert bpe.digests(docs)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_very_long_text(spark):
     text = "long words and more " * 200_000
     got = bpe.digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
