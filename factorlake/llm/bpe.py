@@ -290,20 +290,26 @@ def decode(rows: DataFrame, ids_col: str = "ids", out: str = "decoded", path: st
     return rows.mapInArrow(_decode_kernel(path or model_path(), ids_col, out), f"{_simple(rows)}, `{out}` string")
 
 
-def round_trip(docs: DataFrame, text_col: str = "text", ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
-    """docs but text_col, with its ids and the text decoded from them. One kernel: as two, each task has two Python workers, and the executor's memory counts both."""
+def round_trip(docs: DataFrame, text_col: str = "text", ids: str = "ids", out: str = "decoded", path: str | None = None, lasting: bool = True) -> DataFrame:
+    """docs but text_col, with its ids and the text decoded from them. One kernel: as two, each task has two Python workers, and the executor's memory counts both.
+
+    Unless lasting, a task leaves model and tables behind it, as its worker goes on to serve other stages.
+    """
     path = path or model_path()
     there, back = _encode_kernel(path, text_col, ids), _decode_kernel(path, ids, out)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return back(batch.drop_columns([text_col]) for batch in there(batches))
+        yield from back(batch.drop_columns([text_col]) for batch in there(batches))
+        if not lasting:
+            _encoder.cache_clear()
+            _token_bytes.cache_clear()
 
     schema = ", ".join(x for x in (_simple(docs.drop(text_col)), f"`{ids}` array<int>, `{out}` string") if x)
-    return docs.mapInArrow(kernel, schema)
+    return docs.mapInArrow(kernel if lasting else session.tidy(kernel), schema)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    out = round_trip(docs.select("doc_id", "text"))
+def digests(docs: DataFrame, lasting: bool = True) -> DataFrame:
+    out = round_trip(docs.select("doc_id", "text"), lasting=lasting)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -319,4 +325,4 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: the tokens of each document, as digests and counts. Null texts are empty; repeated rows give repeated results."""
     session.bounded_batches(spark)
-    return digests(docs)
+    return digests(docs, lasting=False)

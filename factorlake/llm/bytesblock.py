@@ -61,16 +61,18 @@ _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
+    """Powers of the base and of its inverse modulo 2**64, at least n of each; those of a block are kept, more would stay with a worker that serves other stages."""
     global _powers
-    if _powers is None or len(_powers[0]) < n:
-        size, made = max(n, BLOCK_BYTES + 1024), []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
+    if _powers is not None and len(_powers[0]) >= n:
+        return _powers
+    size, made = max(n, BLOCK_BYTES + 1024), []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(size, base, np.uint64)
+        p[0] = 1
+        made.append(np.multiply.accumulate(p))
+    if size == BLOCK_BYTES + 1024:
         _powers = (made[0], made[1])
-    return _powers
+    return made[0], made[1]
 
 
 class Rolling:

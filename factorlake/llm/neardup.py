@@ -268,7 +268,7 @@ def _across(grouped: DataFrame, pivots: DataFrame, texts: DataFrame, threshold:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, th, n, comp, component_id) for each row of docs; th is xxhash64 of its text, comp null without words."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    rows = session.cut(texts.mapInArrow(_sketches, "doc_id long, th long, n long, node long, regs binary"))
+    rows = session.cut(texts.mapInArrow(session.tidy(_sketches), "doc_id long, th long, n long, node long, regs binary"))
     nodes = session.cut(rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("regs").alias("regs")))
     band = F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("regs", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS))))
     bands = nodes.select(band.alias("band"), "node")

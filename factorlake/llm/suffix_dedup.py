@@ -35,7 +35,7 @@ from factorlake.llm.suffixes import repeated_starts
 LENGTH = 200
 SEED = 64  # bytes of a minimizer
 HOT = 20_000
-SHARD_BYTES = 1_500_000
+SHARD_BYTES = 500_000  # sorting takes some 80 times that in a Python worker
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _KEY = ["__id", "__th"]
 
@@ -174,7 +174,7 @@ def _repeated_ranges(keyed: DataFrame, length: int, hot: int) -> DataFrame:
     The texts are dealt out by (__id, __th) to cut the segments; `remove` deals
     them out once more in the same way, so one exchange serves both.
     """
-    runs = keyed.select(*_KEY, "text").filter(F.octet_length("text") >= length).mapInArrow(_runs(length), "__id long, __th long, kg long, whole long, lo int, hi int")
+    runs = keyed.select(*_KEY, "text").filter(F.octet_length("text") >= length).mapInArrow(session.tidy(_runs(length)), "__id long, __th long, kg long, whole long, lo int, hi int")
     # Written before the join: a join of two exchanges can divide the rows of a minimizer that is everywhere.
     shared = session.cut(runs.groupBy("kg").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("kg"))
     hits = session.cut(runs.join(shared, "kg"))
@@ -182,13 +182,15 @@ def _repeated_ranges(keyed: DataFrame, length: int, hot: int) -> DataFrame:
     mixed = session.cut(kinds.groupBy("kg").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
     wanted = kinds.join(mixed, "kg").select("r.*", "kg", "whole", "m")
 
-    def segments(of: DataFrame) -> DataFrame:
+    def segments(of: DataFrame, kernel, schema: str) -> DataFrame:
         """Repeated rows give a segment twice; that only confirms a run already known to repeat whole."""
         per_doc = of.groupBy(*_KEY).agg(F.collect_list(F.struct("kg", "whole", "lo", "hi")).alias("runs"))
-        return keyed.alias("d").join(per_doc.alias("w").hint("shuffle_hash"), _same("d", "w")).select("d.*", "w.runs").mapInArrow(_segments(length), "kg long, whole long, seg binary")
+        return keyed.alias("d").join(per_doc.alias("w").hint("shuffle_hash"), _same("d", "w")).select("d.*", "w.runs").mapInArrow(session.tidy(kernel), schema)
 
-    sorted_ = segments(wanted.filter(F.col("m") <= hot)).repartition("kg").sortWithinPartitions("kg").mapInArrow(_suffix_sort(length), "kg long, whole long, ranges array<struct<a:int,b:int>>")
-    windows = segments(wanted.filter(F.col("m") > hot)).mapInArrow(_windows(length), "kg long, whole long, at int, one long, two long")
+    sorted_ = segments(wanted.filter(F.col("m") <= hot), _segments(length), "kg long, whole long, seg binary").repartition("kg").sortWithinPartitions("kg").mapInArrow(session.tidy(_suffix_sort(length)), "kg long, whole long, ranges array<struct<a:int,b:int>>")
+    # One kernel: as two, each task would have two Python workers.
+    cut, hashed = _segments(length), _windows(length)
+    windows = segments(wanted.filter(F.col("m") > hot), lambda batches: hashed(cut(batches)), "kg long, whole long, at int, one long, two long")
     again = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two")
     counted = windows.join(again, ["one", "two"]).groupBy("kg", "whole").agg(F.collect_list(F.struct(F.col("at").alias("a"), F.col("at").alias("b"))).alias("ranges"))
     twice = kinds.filter("n > 1")
@@ -238,7 +240,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     spans = _repeated_ranges(keyed, length, hot)
     rows = keyed.alias("d").join(spans.alias("s").hint("shuffle_hash"), _same("d", "s"), "left").select("d.*", "s.spans")
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema if f.name != "text"]
-    out = rows.mapInArrow(_cut_out(lenient), ", ".join([*fields, f"kept {'string' if lenient else 'binary'}", "n_bytes long", "removed array<struct<a:int,b:int>>"]))
+    out = rows.mapInArrow(session.tidy(_cut_out(lenient)), ", ".join([*fields, f"kept {'string' if lenient else 'binary'}", "n_bytes long", "removed array<struct<a:int,b:int>>"]))
     i, t = names.index(id_col), names.index(text_col)
     columns = [(F.col("__id") if k == i else F.col(f"rest.c{k}")).alias(n) for k, n in enumerate(names) if k != t]
     return out.select(*columns, F.col("kept").alias("__kept"), F.col("n_bytes").alias("__n_bytes"), F.col("removed").alias("__removed"))

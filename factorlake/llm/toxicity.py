@@ -132,7 +132,7 @@ def fit(sample: DataFrame, sizes: dict[int, int]) -> tuple[np.ndarray, np.ndarra
     if len(classes) < 2:
         return none
     n = np.array([classes[0], classes[1]], float)
-    counted = sample.mapInArrow(_frequencies, "bucket int, label int, n long").groupBy("bucket").agg(*(F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)))
+    counted = sample.mapInArrow(session.tidy(_frequencies), "bucket int, label int, n long").groupBy("bucket").agg(*(F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)))
     # Likelihood-ratio statistic of the two counts against the classes' sizes; sound for zero counts.
     part = lambda c: F.when(F.col(f"n{c}") > 0, F.col(f"n{c}") * F.log(F.col(f"n{c}") * F.lit(float(n.sum() / n[c])) / (F.col("n0") + F.col("n1")))).otherwise(0.0)
     clear = counted.filter("n0 + n1 >= 4").filter(F.lit(2.0) * (part(0) + part(1)) > CLEAR**2).toArrow().sort_by("bucket")
@@ -174,7 +174,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str], text_col: str = "
     model = fit(sample, sizes)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(text_col).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_scorer(*model, with_text), f"row {kind}, {'text string, ' if with_text else ''}score double")
+    return rows.mapInArrow(session.tidy(_scorer(*model, with_text)), f"row {kind}, {'text string, ' if with_text else ''}score double")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,6 +102,17 @@ def test_a_task_of_the_query_has_one_python_worker(spark):
     assert bpe.digests(docs)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
 
 
+def test_a_pipeline_task_leaves_no_tables_behind(spark):
+    docs = spark.createDataFrame([(1, "Hello  world")], "doc_id long, text string").coalesce(1)
+
+    def held(batches):
+        list(batches)
+        yield pa.RecordBatch.from_arrays([pa.array([bpe._encoder.cache_info().currsize, bpe._token_bytes.cache_info().currsize], pa.int64())], names=["n"])
+
+    assert bpe.stage(spark, docs, "").first().n_tokens == 3
+    assert {r.n for r in docs.mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_very_long_text(spark):
     text = "long words and more " * 200_000
     got = bpe.digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()

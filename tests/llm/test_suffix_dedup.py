@@ -50,3 +50,10 @@ def test_against_brute_force_by_either_way(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_a_task_has_one_python_worker(spark):
+    docs = spark.createDataFrame([(1, "x" * 300)], "doc_id long, text string")
+    plan = suffix_dedup._repeated_ranges(suffix_dedup._keyed(docs, "doc_id", "text"), 200, 1)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    # No kernel stands right above another one.
+    assert any("MapInArrow" in line for line in plan) and not any("MapInArrow" in a and "MapInArrow" in b for a, b in zip(plan, plan[1:]))

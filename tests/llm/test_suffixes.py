@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from factorlake.llm import suffixes
+from factorlake.llm import bytesblock, suffix_dedup, suffixes
 
 
 def strings():
@@ -51,3 +52,18 @@ def test_repeated_starts_against_brute_force():
         every = [x[i : i + length] for x in s for i in range(len(x) - length + 1)]
         got = suffixes.repeated_starts(s, length)
         assert [x.tolist() for x in got] == [[i for i in range(len(x) - length + 1) if every.count(x[i : i + length]) > 1] for x in s]
+
+
+def test_a_worker_keeps_no_memory_of_long_strings():
+    before = bytesblock.powers(10)
+    up, down = bytesblock.powers(4 * bytesblock.BLOCK_BYTES)
+    assert len(up) == len(down) == 4 * bytesblock.BLOCK_BYTES and np.array_equal(up[:10], before[0][:10]) and (up * down == 1).all()
+    assert len(bytesblock.powers(10)[0]) < 2 * bytesblock.BLOCK_BYTES
+
+
+def test_shards_stay_small():
+    rnd = np.random.default_rng(3)
+    seg = [rnd.integers(0, 256, 100_000, dtype=np.uint8).tobytes() for _ in range(12)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12), pa.int64()), pa.array(range(12), pa.int64()), pa.array(seg, pa.binary())], names=["kg", "whole", "seg"])
+    out = list(suffix_dedup._suffix_sort(200)(iter([batch])))
+    assert sum(b.num_rows for b in out) == 12 and max(b.num_rows for b in out) <= 7
